@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from corpusmill.functions import text as T
-from corpusmill.operators.scale import first_k
+from corpusmill.operators.scale import broadcast_if_small, first_k
 
 SCORE_PLACES = 6
 # Queries whose vectors one task may hold at once (64 floats each: about 2 MB).
 QUERY_BLOCK = 4096
+# Query terms that may be broadcast (a few tens of megabytes).
+QUERY_TERMS = 500_000
 # Vectors compared with one query block in one grid cell.
 VECTOR_BLOCK = 100_000
 
@@ -25,18 +27,25 @@ def _top(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFrame
     return first_k(scored, ["query_id"], [F.col(score).desc(), F.col(key)], k, rank="rank")
 
 
-def term_matches(queries: DataFrame, docs: DataFrame, key: str, text: str, query: str = "query") -> tuple[DataFrame, DataFrame]:
-    """(query terms with counts, document terms with counts and lengths), the latter only for asked-for terms.
+def asked_terms(queries: DataFrame, query: str = "query") -> DataFrame:
+    """(query, term, count of the term in the query)."""
+    terms = queries.select("query_id", F.explode_outer(T.tokens(query)).alias("term")).where("term IS NOT NULL")
+    return terms.groupBy("query_id", "term").agg(F.count("*").alias("q_count"))
 
-    The semi join drops every other token before anything is shuffled.
+
+def term_matches(asked: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Counts and document lengths of the asked-for terms: (key, length, term, tf).
+
+    Other tokens go before any shuffle. The rest are placed by document, so that counting here and scoring per
+    (query, document) later need no further exchange; the frequencies per term read the same exchange.
     """
-    asked = queries.select("query_id", F.explode(T.tokens(query)).alias("term")).groupBy("query_id", "term").agg(
-        F.count("*").alias("q_count")
-    )
-    tokens = docs.select(key, T.tokens(text).alias("_t"))
-    tokens = tokens.select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    found = tokens.join(asked.select("term").distinct(), "term", "left_semi")
-    return asked, found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    vocabulary = broadcast_if_small(asked.select("term").distinct())
+    # Lengths are taken below the explode, which would otherwise carry every array along with each of its tokens.
+    # explode_outer, because explode adds a filter that would tokenise the text a second time.
+    tokens = docs.select(key, T.tokens(text).alias("_t")).select(key, "_t", F.size("_t").alias("length"))
+    tokens = tokens.select(key, "length", F.explode_outer("_t").alias("term"))
+    found = tokens.join(vocabulary, "term", "left_semi").select(key, "length", "term").repartition(F.col(key))
+    return found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_scores(
@@ -44,8 +53,9 @@ def bm25_scores(
     all_terms: bool = False,
 ) -> DataFrame:
     """BM25 of every (query, document) that shares a term; a repeated query term counts each time."""
-    asked, found = term_matches(queries, docs, key, text)
-    sizes = docs.select(F.size(T.tokens(text)).alias("n"))
+    asked = asked_terms(queries)
+    found = term_matches(asked, docs, key, text)
+    sizes = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n"))
     n_docs, avg_len = sizes.agg(F.count("*")).scalar(), sizes.agg(F.avg("n")).scalar()
     spread = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = asked.join(spread, "term").withColumn(
@@ -53,6 +63,9 @@ def bm25_scores(
     )
     if all_terms:
         idf = idf.join(asked.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id")
+    # Never more rows than ``asked``, so its count bounds this side too.
+    if asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
+        idf = F.broadcast(idf)
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avg_len))
     parts = found.join(idf, "term").withColumn("part", F.col("weight") * saturation)
     aggs = [F.round(F.sum("part"), SCORE_PLACES).alias("score")]
@@ -81,9 +94,11 @@ def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chun
     """
     kept = lambda c: F.array_except(F.array_distinct(T.tokens(c, "lexical")), F.array(*[F.lit(w) for w in T.OVERLAP_STOPWORDS]))
     hint = F.lower(F.col(text)).rlike(NUMERIC_HINT).cast("int")
-    asked = queries.select("query_id", F.explode(kept("query")).alias("term"))
-    tokens = chunks.select(key, hint.alias("hint"), F.explode(kept(text)).alias("term"))
-    hits = tokens.join(asked, "term").groupBy("query_id", key, "hint").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", F.explode_outer(kept("query")).alias("term"))
+    tokens = chunks.select(key, hint.alias("hint"), kept(text).alias("_t")).select(key, "hint", F.explode_outer("_t").alias("term"))
+    vocabulary = broadcast_if_small(asked.select("term").distinct())
+    found = tokens.join(vocabulary, "term", "left_semi").select(key, "hint", "term").repartition(F.col(key))
+    hits = found.join(broadcast_if_small(asked, QUERY_TERMS), "term").groupBy("query_id", key, "hint").agg(F.count("*").alias("n"))
     hits = hits.select("query_id", key, (F.col("n") * 10 + F.col("hint")).cast("bigint").alias("score"))
     spare = first_k(chunks.select(key, hint.cast("bigint").alias("score")), ["score"], [F.col(key)], k)
     spare = spare.agg(F.collect_list(F.struct(F.col(key), "score"))).scalar()

@@ -19,6 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A broadcast hint where a count shows the side to be small; otherwise Spark picks the join itself."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of every key in the given (total) order; ``rank`` keeps the position as a column."""
     name = rank or "_rn"

@@ -260,12 +260,12 @@ WITH a AS (SELECT query_id, doc_id, score, content, 0 AS s FROM {v_hits} UNION A
            UNION ALL SELECT query_id, NULL, score / 4, content, 2 FROM {v_hits}),
 k AS (SELECT *, coalesce('id:' || doc_id, 'text:' || trim(content, ' ' || chr(9) || chr(10) || chr(13))) AS k FROM a),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY s, score DESC, content) AS rn FROM k)
-SELECT query_id, coalesce(doc_id, -1) AS doc_id, round(score, 6) AS score, content, CAST(s AS INT) AS source_no FROM r WHERE rn = 1
+SELECT query_id, coalesce(doc_id, -1) AS doc_id, round(score, 8) AS score, content, CAST(s AS INT) AS source_no FROM r WHERE rn = 1
 """)
 def merged_results(v_hits: DataFrame) -> DataFrame:
     base = v_hits.select("query_id", "doc_id", "score", "content")
     web = base.select("query_id", F.lit(None).cast("bigint").alias("doc_id"), (F.col("score") / 4).alias("score"), "content")
-    return context.merge_results([base, base.withColumn("score", F.col("score") / 2), web]).withColumn("score", F.round("score", 6)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    return context.merge_results([base, base.withColumn("score", F.col("score") / 2), web]).withColumn("score", F.round("score", 8)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
 
 
 @query("R18", """
@@ -356,9 +356,9 @@ def cited_windows(v_chunks: DataFrame, v_hits: DataFrame) -> DataFrame:
     return context.cited_window(v_chunks, cited, 3)
 
 
-@query("R23", "SELECT doc_id, idx, chunk_id, content FROM {v_chunks} WHERE doc_id = 5 ORDER BY chunk_id LIMIT 3 OFFSET 3")
+@query("R23", "SELECT doc_id, idx, chunk_id, content FROM {v_chunks} WHERE doc_id = 20 ORDER BY chunk_id LIMIT 3 OFFSET 3")
 def chunk_page(v_chunks: DataFrame) -> DataFrame:
-    return context.page_chunks(v_chunks, 5, 1, 3)
+    return context.page_chunks(v_chunks, 20, 1, 3)
 
 
 add_view("v_targets", "SELECT query_id, query_id AS doc_id FROM {v_queries} UNION ALL SELECT query_id, query_id + 1 FROM {v_queries}")
