@@ -1 +1,298 @@
-"""Queries."""
+"""Ingest, identity and change detection (D)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.functions import identity as I
+from corpusmill.operators import chunking, folders, ingest
+from corpusmill.plans.catalog import add_view, query
+from corpusmill.sources import corpus as sources
+
+IDENT = "sha256(doc_type || ':' || {u} || ':' || space_id)"
+CONTENT = "sha256(space_id || ':' || {c})"
+
+
+@query("D1 D2", f"""
+SELECT doc_id, {IDENT.replace('{u}', 'doc_id')} AS identity, {CONTENT.replace('{c}', 'content')} AS content_hash FROM {{v_docs}}
+""")
+def document_hashes(v_docs: DataFrame) -> DataFrame:
+    return ingest.with_hashes(v_docs, "doc_id").select("doc_id", "identity", "content_hash")
+
+
+@query("D3", f"""
+SELECT arrival, title, content FROM (SELECT *, row_number() OVER (PARTITION BY {IDENT.replace('{u}', 'unique_id')} ORDER BY arrival) AS rn FROM {{v_batch}}) WHERE rn = 1
+""")
+def first_of_batch(v_batch: DataFrame) -> DataFrame:
+    return ingest.dedup_first(ingest.with_hashes(v_batch), ["identity"], [F.col("arrival")]).select("arrival", "title", "content")
+
+
+def classify_sql(variant: bool) -> str:
+    dup = "FALSE" if variant else "TRUE"
+    return f"""
+WITH b AS (SELECT * FROM (SELECT *, {IDENT.replace('{u}', 'unique_id')} AS identity, {CONTENT.replace('{c}', 'content')} AS content_hash,
+             row_number() OVER (PARTITION BY {IDENT.replace('{u}', 'unique_id')} ORDER BY arrival) AS rn FROM {{v_batch}}) WHERE rn = 1),
+c AS (SELECT *, {IDENT.replace('{u}', 'unique_id')} AS identity, {CONTENT.replace('{c}', 'content')} AS content_hash FROM {{v_corpus}}),
+j AS (SELECT b.arrival, b.title, b.content_hash, c.doc_id, c.title AS old_title, c.content_hash AS old_hash, coalesce(json_extract_string(c.status, '$.state'), 'ready') AS state,
+        EXISTS (SELECT 1 FROM c o WHERE o.content_hash = b.content_hash AND o.doc_id IS DISTINCT FROM c.doc_id) AS held
+      FROM b LEFT JOIN c ON c.identity = b.identity),
+k AS (SELECT *, doc_id IS NOT NULL AND old_hash = content_hash AS same FROM j),
+f AS (SELECT *, row_number() OVER (PARTITION BY content_hash, same OR held ORDER BY arrival) AS turn FROM k)
+SELECT arrival, coalesce(title <> old_title, FALSE) AS title_changed,
+  CASE WHEN same AND state = 'ready' THEN 'unchanged' WHEN same THEN 'requeued' WHEN {dup} AND (held OR turn > 1) THEN 'duplicate'
+       WHEN doc_id IS NULL THEN 'new' ELSE 'changed' END AS action FROM f"""
+
+
+@query("D4", classify_sql(False))
+def classified_changes(v_batch: DataFrame, v_corpus: DataFrame) -> DataFrame:
+    out = ingest.classify_changes(ingest.with_hashes(v_batch), ingest.with_hashes(v_corpus))
+    return out.select("arrival", "title_changed", "action")
+
+
+@query("D4", classify_sql(True))
+def classified_variants(v_batch: DataFrame, v_corpus: DataFrame) -> DataFrame:
+    out = ingest.classify_changes(ingest.with_hashes(v_batch), ingest.with_hashes(v_corpus), variant=True)
+    return out.select("arrival", "title_changed", "action")
+
+
+@query("D5", """
+SELECT * FROM (SELECT doc_id, sha256(text) AS content_hash, min(doc_id) OVER (PARTITION BY text) AS original_id, count(*) OVER (PARTITION BY text) AS copies FROM {documents}) WHERE copies > 1
+""")
+def content_duplicates(documents: DataFrame) -> DataFrame:
+    hashed = documents.select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return ingest.find_content_duplicates(hashed).select("doc_id", "content_hash", "original_id", "copies")
+
+
+# A folder listing, and the corpus as last stored: some paths moved, some times, raw bytes or texts differ.
+add_view("v_listing", """
+SELECT doc_id, 'notes/' || source || '/' || CAST(doc_id AS STRING) || '.md' AS path, 1700000000.0 + CAST(doc_id AS DOUBLE) AS mtime,
+       md5(text) AS raw_hash, md5(text) AS content_hash, text AS content, n_chars AS size FROM {documents}
+""")
+add_view("v_stored", """
+SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'old/' ELSE 'notes/' END || source || '/' || CAST(doc_id AS STRING) || '.md' AS path,
+       CASE WHEN doc_id % 13 = 0 THEN NULL ELSE 1700000000.0 + CAST(doc_id AS DOUBLE) + CASE WHEN doc_id % 3 = 0 THEN 0.4 ELSE 60.0 END END AS mtime,
+       CASE WHEN doc_id % 2 = 0 THEN md5(text) ELSE md5(text || '.') END AS raw_hash,
+       CASE WHEN doc_id % 5 = 0 THEN md5(text || '!') ELSE md5(text) END AS content_hash,
+       CASE doc_id % 3 WHEN 0 THEN 100 + doc_id % 25 WHEN 1 THEN 1000 + doc_id % 97 ELSE 1 + doc_id % 5 END AS folder_id FROM {documents}
+""")
+
+
+@query("D6", """
+SELECT l.path, CASE WHEN s.path IS NULL THEN CASE WHEN trim(l.content) = '' THEN 'skip_empty' ELSE 'new' END WHEN abs(l.mtime - s.mtime) < 1.0 THEN 'skip_mtime'
+  WHEN l.raw_hash = s.raw_hash THEN 'skip_raw_hash' WHEN l.content_hash = s.content_hash THEN 'skip_content_hash' ELSE 'reindex' END AS action
+FROM {v_listing} l LEFT JOIN {v_stored} s ON s.path = l.path
+""")
+def changed_files(v_listing: DataFrame, v_stored: DataFrame) -> DataFrame:
+    return ingest.file_changes(v_listing, v_stored)
+
+
+@query("D7", """
+SELECT l.path FROM {v_listing} l LEFT JOIN {v_stored} s ON s.path = l.path WHERE s.mtime IS NULL OR abs(l.mtime - s.mtime) >= 1.0
+""")
+def stale_files(v_listing: DataFrame, v_stored: DataFrame) -> DataFrame:
+    return ingest.stale_paths(v_listing, v_stored)
+
+
+@query("D8", """
+WITH RECURSIVE t(folder_id) AS (SELECT 2 UNION ALL SELECT f.folder_id FROM {v_folders} f JOIN t ON f.parent_id = t.folder_id)
+SELECT doc_id, path FROM {v_stored} s WHERE folder_id IN (SELECT folder_id FROM t) AND NOT EXISTS (SELECT 1 FROM {v_listing} l WHERE l.path = s.path)
+""")
+def orphaned_documents(v_stored: DataFrame, v_listing: DataFrame, v_folders: DataFrame) -> DataFrame:
+    return ingest.orphans(v_stored, v_listing, folders.subtree(v_folders, 2)).select("doc_id", "path")
+
+
+@query("D9", f"SELECT page_id, sha256('1:' || content) AS content_hash FROM ({sources.PAGES_SQL})")
+def page_hashes(pages: DataFrame) -> DataFrame:
+    return sources.page_content_hash(pages, 1).select("page_id", "content_hash")
+
+
+add_view("v_edits", "SELECT user_id AS doc_id, event_id AS edit_id, ts, props AS content FROM {events}")
+
+
+@query("D10", """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts, edit_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM {v_edits}),
+v AS (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id ORDER BY ts, edit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version FROM g),
+h AS (SELECT doc_id, version, arg_max(content, (ts, edit_id)) AS content, max(ts) AS created_at, count(*) AS n_edits FROM v GROUP BY 1, 2)
+SELECT doc_id, version, content, created_at, n_edits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS rn FROM h
+  WHERE created_at >= TS'2024-04-15 00:00:00' - INTERVAL 90 DAY) WHERE rn <= 20
+""")
+def version_history(v_edits: DataFrame) -> DataFrame:
+    return ingest.version_history(v_edits, "2024-04-15 00:00:00")
+
+
+@query("D11", f"""
+WITH c AS (SELECT doc_id, space_id, doc_type, 'u-' || doc_id AS unique_id FROM {{v_docs}}),
+b AS (SELECT DISTINCT 'COMPOSIO_GOOGLE_DRIVE_CONNECTOR:' || unique_id || ':' || space_id AS k, unique_id, space_id FROM {{v_batch}} WHERE doc_type = 'GOOGLE_DRIVE_FILE'
+      UNION SELECT DISTINCT 'COMPOSIO_GOOGLE_DRIVE_CONNECTOR:' || unique_id || ':' || space_id, unique_id, space_id FROM (SELECT doc_id, space_id, 'u-' || doc_id AS unique_id FROM {{v_docs}}))
+SELECT doc_id, migrated, CASE WHEN migrated THEN 'GOOGLE_DRIVE_FILE' ELSE doc_type END AS doc_type,
+       sha256(CASE WHEN migrated THEN 'GOOGLE_DRIVE_FILE' ELSE doc_type END || ':' || unique_id || ':' || space_id) AS identity
+FROM (SELECT c.*, b.k IS NOT NULL AS migrated FROM c LEFT JOIN b ON b.k = c.doc_type || ':' || c.unique_id || ':' || c.space_id)
+""")
+def migrated_identities(v_docs: DataFrame) -> DataFrame:
+    uid = F.concat(F.lit("u-"), F.col("doc_id").cast("string"))
+    stored = ingest.with_hashes(v_docs.withColumn("unique_id", uid))
+    batch = v_docs.select(F.lit("GOOGLE_DRIVE_FILE").alias("doc_type"), uid.alias("unique_id"), "space_id")
+    return ingest.migrate_identity(batch, stored)
+
+
+@query("D12", """
+SELECT doc_id, coalesce(json_extract_string(status, '$.state'), 'ready') AS state, coalesce(substr(json_extract_string(status, '$.reason'), 1, 500), '') AS reason FROM {v_docs}
+""")
+def document_states(v_docs: DataFrame) -> DataFrame:
+    return v_docs.select("doc_id", I.doc_state("status").alias("state"), F.coalesce(I.failure_reason("status"), F.lit("")).alias("reason"))
+
+
+@query("D13", """
+SELECT DISTINCT unnest(CASE doc_type WHEN 'GOOGLE_DRIVE_FILE' THEN [doc_type, 'COMPOSIO_GOOGLE_DRIVE_CONNECTOR'] ELSE [doc_type] END) AS doc_type FROM {v_docs}
+""")
+def expanded_types(v_docs: DataFrame) -> DataFrame:
+    return ingest.expand_types(v_docs.select("doc_type"))
+
+
+add_view("v_files", """
+SELECT p_partkey AS file_id, replace(p_name, ' ', '_') || CASE p_partkey % 12 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.pptx' WHEN 3 THEN '.csv' WHEN 4 THEN '.md'
+         WHEN 5 THEN '.png' WHEN 6 THEN '.mp3' WHEN 7 THEN '.mp4' WHEN 8 THEN '.epub' WHEN 9 THEN '.exe' WHEN 10 THEN '.py' ELSE '' END AS name,
+       p_partkey * p_partkey * 1000 AS size, p_size * 997 AS n_chars FROM {part}
+""")
+
+
+@query("D14", """
+SELECT file_id, CAST(greatest(CASE WHEN size <= 0 OR name LIKE '%.png' THEN 1 ELSE greatest(1, size // CASE WHEN name LIKE '%.PDF' OR name LIKE '%.csv' THEN 102400
+  WHEN name LIKE '%.docx' OR name LIKE '%.epub' THEN 51200 WHEN name LIKE '%.pptx' THEN 204800 WHEN name LIKE '%.md' THEN 3000 WHEN name LIKE '%.mp3' THEN 1048576
+  WHEN name LIKE '%.mp4' THEN 5242880 ELSE 81920 END) END, n_chars // 2000) AS BIGINT) AS pages FROM {v_files}
+""")
+def page_estimates(v_files: DataFrame) -> DataFrame:
+    return v_files.select("file_id", I.estimate_pages("name", "size", "n_chars").alias("pages"))
+
+
+@query("D15", """
+SELECT file_id, kind, kind = 'unsupported' OR (kind IN ('document', 'image') AND name LIKE '%.epub') AS skipped FROM (SELECT file_id, name,
+  CASE WHEN name LIKE '%.md' OR name LIKE '%.py' THEN 'plaintext' WHEN name LIKE '%.mp3' OR name LIKE '%.mp4' THEN 'audio' WHEN name LIKE '%.csv' THEN 'direct_convert'
+       WHEN name LIKE '%.png' THEN 'image' WHEN name LIKE '%.PDF' OR name LIKE '%.docx' OR name LIKE '%.pptx' OR name LIKE '%.epub' THEN 'document' ELSE 'unsupported' END AS kind FROM {v_files})
+""")
+def file_classes(v_files: DataFrame) -> DataFrame:
+    return v_files.select("file_id", I.classify_file("name").alias("kind"), I.skip_file("name", I.BASIC_PARSER_EXT).alias("skipped"))
+
+
+@query("D16", """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY msg_ts) - 1 AS pos FROM {v_msgs} WHERE subtype <> 'channel_join'),
+d AS (SELECT channel_id, pos // 100 AS batch, count(*) AS n_messages, min(msg_ts) AS f, max(msg_ts) AS l, min_by(sent_at, msg_ts) AS fa, max_by(sent_at, msg_ts) AS la,
+        string_agg('[' || sent_at || '] ' || author || ': ' || text, chr(10) ORDER BY msg_ts) AS lines FROM p GROUP BY 1, 2)
+SELECT channel_id, batch, n_messages, channel_id || '_' || f || '_' || l AS unique_id,
+  concat_ws(chr(10), '<DOCUMENT>', '<METADATA>', 'CHANNEL_ID: ' || channel_id, 'MESSAGE_COUNT: ' || n_messages, 'FIRST_MESSAGE_TIME: ' || fa, 'LAST_MESSAGE_TIME: ' || la,
+    '</METADATA>', '<CONTENT>', 'FORMAT: markdown', 'TEXT_START', lines, 'TEXT_END', '</CONTENT>', '</DOCUMENT>') AS content FROM d
+""")
+def message_batches(v_msgs: DataFrame) -> DataFrame:
+    return ingest.batch_messages(v_msgs)
+
+
+add_view("v_sources", """
+SELECT c_custkey AS source_id, c_nationkey AS space_id, c_mktsegment AS source_type, c_custkey % 4 <> 0 AS enabled,
+       CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN TS'2024-01-20 10:00:00' WHEN 2 THEN TS'2025-01-01 00:00:00' ELSE TS'2024-01-31 08:00:00' END AS last_indexed_at,
+       TS'2024-01-01 00:00:00' + c_custkey * INTERVAL '1' HOUR AS next_run_at FROM {customer}
+""")
+
+
+@query("D17", """
+WITH w AS (SELECT source_id, CASE WHEN last_indexed_at <= TS'2024-01-31 12:00:00' THEN CAST(last_indexed_at AS DATE) ELSE DATE '2023-01-31' END AS s FROM {v_sources}),
+v AS (SELECT source_id, s, CASE WHEN s = DATE '2024-01-31' THEN DATE '2024-02-01' ELSE DATE '2024-01-31' END AS e FROM w)
+SELECT e.event_id, v.source_id, CAST(v.s AS VARCHAR) AS start_day, CAST(v.e AS VARCHAR) AS end_day FROM {events} e JOIN v ON v.source_id = e.user_id WHERE CAST(e.ts AS DATE) BETWEEN v.s AND v.e
+""")
+def items_to_index(v_sources: DataFrame, events: DataFrame) -> DataFrame:
+    windows = ingest.index_window(v_sources, "2024-01-31 12:00:00").select("source_id", "start_day", "end_day")
+    items = events.select("event_id", F.col("user_id").alias("source_id"), "ts")
+    return ingest.due_items(items, windows).select(
+        "event_id", "source_id", F.col("start_day").cast("string").alias("start_day"), F.col("end_day").cast("string").alias("end_day")
+    )
+
+
+@query("D18", """
+SELECT conv_id AS video_id, CAST(turn // 10000 AS BIGINT) AS part, string_agg(printf('[%.2fs-%.2fs] %s', turn * 4.25::DOUBLE, turn * 4.25::DOUBLE + 4.0::DOUBLE, text), chr(10) ORDER BY turn) AS transcript FROM {conversations} GROUP BY 1, 2
+""")
+def transcripts(conversations: DataFrame) -> DataFrame:
+    segments = conversations.select(
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("seq"), (F.col("turn") * 4.25).alias("start"), F.lit(4.0).alias("duration"), "text"
+    )
+    return ingest.transcripts(segments)
+
+
+add_view("v_visits", """
+SELECT page_id, page_id % 3 + 1 AS space_id, 's' || CAST(page_id % 10 AS STRING) AS session_id, url, 'Page ' || CAST(page_id AS STRING) AS title,
+       CASE WHEN page_id % 2 = 0 THEN NULL ELSE 'https://start.example/' END AS referrer, '2024-01-01T00:00:00Z' AS visited_at, page_id * 10 AS duration_ms, html AS text FROM {pages}
+""")
+
+
+@query("D19", """
+SELECT page_id, sha256('EXTENSION:' || url || ':' || space_id) AS identity, concat_ws(chr(10), '<DOCUMENT>', '<METADATA>', 'SESSION_ID: ' || session_id, 'URL: ' || url, 'TITLE: ' || title,
+  'REFERRER: ' || coalesce(referrer, ''), 'TIMESTAMP: ' || visited_at, 'DURATION_MS: ' || duration_ms, '</METADATA>', '<CONTENT>', 'FORMAT: markdown', 'TEXT_START', text, 'TEXT_END', '</CONTENT>', '</DOCUMENT>') AS content FROM {v_visits}
+""")
+def visit_documents(v_visits: DataFrame) -> DataFrame:
+    return ingest.visits_to_docs(v_visits).select("page_id", "identity", "content")
+
+
+@query("D20", """
+SELECT doc_id, idx, CAST(coalesce(sum(length(content)) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at,
+       CAST(sum(length(content)) OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS stop_at FROM {v_chunks}
+""")
+def stitched_offsets(v_chunks: DataFrame) -> DataFrame:
+    return chunking.stitch_offsets(v_chunks).select("doc_id", "idx", "start_at", "stop_at")
+
+
+PATHS_SQL = r"""
+SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY wanted ORDER BY doc_id) = 1 THEN wanted ELSE substr(wanted, 1, length(wanted) - 4) || ' (' || doc_id || ').xml' END AS path
+FROM (SELECT d.doc_id, '/documents/' || coalesce(p.path || '/', '') || rtrim(substr(coalesce(nullif(trim(regexp_replace(regexp_replace(title, '[\\/:*?"<>|]+', '_', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), ''), 'untitled.xml'), 1, 180)) || '.xml' AS wanted
+      FROM {v_filed} d LEFT JOIN t p ON p.folder_id = d.folder_id)"""
+TREE_SQL = """
+WITH RECURSIVE t(folder_id, path, depth) AS (SELECT folder_id, name, 1 FROM {v_folders} WHERE parent_id IS NULL
+  UNION ALL SELECT f.folder_id, t.path || '/' || replace(f.name, ':', '_'), t.depth + 1 FROM {v_folders} f JOIN t ON f.parent_id = t.folder_id)"""
+
+
+@query("D21", TREE_SQL + PATHS_SQL)
+def virtual_paths(v_filed: DataFrame, v_folders: DataFrame) -> DataFrame:
+    return ingest.virtual_paths(v_filed, v_folders)
+
+
+PRICES = {"small": 0.02, "large": 0.13}
+
+
+@query("D22", r"""
+WITH t AS (SELECT CAST(sum(len(list_filter(regexp_split_to_array(content, '[ \t\n\r]+'), lambda x: x <> ''))) AS BIGINT) AS tokens, count(*) AS n_chunks FROM {v_chunks})
+SELECT model, n_chunks, tokens, round(tokens * price / 1e6::DOUBLE, 6) AS cost_usd FROM t CROSS JOIN (VALUES ('small', 0.02::DOUBLE), ('large', 0.13::DOUBLE)) m(model, price)
+""")
+def embedding_cost(v_chunks: DataFrame) -> DataFrame:
+    return ingest.embedding_cost(v_chunks, PRICES)
+
+
+@query("D23", """
+SELECT CASE WHEN s.path IS NULL THEN 'created' WHEN l.path IS NULL THEN 'deleted' WHEN l.content_hash = s.content_hash THEN 'skipped' ELSE 'updated' END AS action, count(*) AS n
+FROM {v_listing} l FULL OUTER JOIN {v_stored} s ON s.path = l.path GROUP BY 1
+""")
+def snapshot_sync(v_listing: DataFrame, v_stored: DataFrame) -> DataFrame:
+    return ingest.sync_snapshot(v_listing, v_stored).groupBy("action").agg(F.count("*").alias("n"))
+
+
+add_view("v_mdx", """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '---' || chr(10) || 'title: "Doc ' || CAST(doc_id AS STRING) || '"' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text
+         WHEN 1 THEN '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text ELSE text END AS text FROM {documents}
+""")
+
+
+@query("D24", r"""
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Doc ' || doc_id ELSE 'Untitled' END AS title,
+  trim(regexp_replace(text, '(?s)^---[ \t]*\n(.*?)\n---[ \t]*\n', ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM {v_mdx}
+""")
+def front_matter(v_mdx: DataFrame) -> DataFrame:
+    return ingest.front_matter(v_mdx).select("doc_id", "title", "body")
+
+
+@query("D25", "SELECT message_id, count(*) AS copies FROM {v_calls} WHERE message_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(v_calls: DataFrame) -> DataFrame:
+    return ingest.duplicate_keys(v_calls, "message_id")
+
+
+@query("D25", """
+SELECT call_id, model FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY call_id) AS rn FROM {v_calls}) WHERE rn = 1 OR message_id IS NULL
+""")
+def lowest_per_key(v_calls: DataFrame) -> DataFrame:
+    return ingest.keep_lowest(v_calls, "message_id", "call_id").select("call_id", "model")
