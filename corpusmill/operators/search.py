@@ -91,7 +91,7 @@ def glob_docs(paths: DataFrame, pattern: str) -> DataFrame:
 
 
 def _any_term(c: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(c, t))
+    return c.rlike("|".join(f"\\Q{t}\\E" for t in terms))
 
 
 def route_queries(

@@ -130,7 +130,7 @@ SELECT o_orderkey AS qid, 'run' || CAST(o_custkey % 6 AS STRING) AS run_id, o_or
             WHEN 3 THEN 'I need to read more'
             ELSE 'Tool read_file completed the value is ' || amt || ' million dollars and 7 days' END AS predicted,
        CASE o_orderkey % 4 WHEN 1 THEN 'What percentage of orders were urgent?' WHEN 3 THEN 'When was the change?' ELSE 'What was the amount?' END AS question,
-       o_totalprice / 100 AS latency_ms, CAST(o_totalprice AS BIGINT) AS cost_micros,
+       o_totalprice / 100 AS latency_ms, CAST(floor(o_totalprice) AS BIGINT) AS cost_micros,
        CASE WHEN o_orderkey % 17 = 0 THEN 'timeout' ELSE NULL END AS error
 FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS amt, CAST(o_custkey % 100 AS STRING) || '.5' AS pct,
              CAST(o_custkey AS STRING) AS cnt FROM {orders}) o
