@@ -88,3 +88,17 @@ def query(op: str, sql: str | None = None, name: str | None = None):
         return fn
 
     return wrap
+
+
+def path_query(op: str, sql: str | None = None):
+    """Register a query that opens its inputs itself: ``fn(spark, sf_dir)``."""
+
+    def wrap(fn):
+        assert fn.__name__ not in QUERIES, fn.__name__
+        QUERIES[fn.__name__] = fn
+        OPERATORS[fn.__name__] = op
+        if sql:
+            ORACLES[fn.__name__] = duckdb_sql(sql)
+        return fn
+
+    return wrap

@@ -46,13 +46,13 @@ def match_flags(v_qa: DataFrame) -> DataFrame:
 
 
 @query("E4", """
-WITH g AS (SELECT query_id, list(DISTINCT chunk_id) AS got, list(DISTINCT chunk_id) FILTER (rank % 2 = 0) AS half FROM {v_hits} GROUP BY 1),
+WITH g AS (SELECT query_id, list(DISTINCT chunk_id) AS got, list(DISTINCT chunk_id) FILTER (rank <= 10) AS half FROM {v_hits} GROUP BY 1),
 w AS (SELECT query_id, got, CASE WHEN query_id % 5 = 0 THEN [] ELSE list_concat(half, [-1, -2]) END AS want FROM g)
 SELECT query_id, CASE WHEN len(want) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(got, want)) / len(want), 6) END AS recall FROM w
 """)
 def chunk_recall(v_hits: DataFrame) -> DataFrame:
     g = v_hits.groupBy("query_id").agg(
-        F.collect_list("chunk_id").alias("got"), F.collect_list(F.when(F.col("rank") % 2 == 0, F.col("chunk_id"))).alias("half")
+        F.collect_list("chunk_id").alias("got"), F.collect_list(F.when(F.col("rank") <= 10, F.col("chunk_id"))).alias("half")
     )
     extra = F.array(F.lit(-1).cast("bigint"), F.lit(-2).cast("bigint"))
     want = F.when(F.col("query_id") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.concat("half", extra))

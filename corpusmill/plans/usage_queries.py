@@ -255,21 +255,21 @@ def empty_folders(v_folders: DataFrame, v_filed: DataFrame) -> DataFrame:
     return folders.empty_folders(v_folders, v_filed).select("folder_id", "name")
 
 
-BEATS = "SELECT notif_id FROM {v_notif} WHERE user_id % 4 <> 1"
+BEATS = "SELECT notif_id FROM {v_notif} WHERE read"
 STALE = f"""SELECT notif_id, CAST(json_extract_string(metadata, '$.connector_id') AS BIGINT) AS connector_id, 'failed' AS status FROM {{v_notif}}
 WHERE type = 'connector_indexing' AND json_extract_string(metadata, '$.status') = 'in_progress' AND notif_id NOT IN ({BEATS})"""
 
 
 @query("O23", STALE)
 def stale_jobs(v_notif: DataFrame) -> DataFrame:
-    return usage.stale_jobs(v_notif, v_notif.where("user_id % 4 <> 1"))
+    return usage.stale_jobs(v_notif, v_notif.where("read"))
 
 
 @query("O23", f"""
 SELECT doc_id, CASE WHEN connector_id IN (SELECT connector_id FROM ({STALE})) AND json_extract_string(status, '$.state') IN ('pending', 'processing') THEN 'failed' ELSE coalesce(json_extract_string(status, '$.state'), 'ready') END AS state FROM {{v_docs}}
 """)
 def stuck_documents(v_notif: DataFrame, v_docs: DataFrame) -> DataFrame:
-    stale = usage.stale_jobs(v_notif, v_notif.where("user_id % 4 <> 1"))
+    stale = usage.stale_jobs(v_notif, v_notif.where("read"))
     return usage.fail_stuck_documents(v_docs, stale).select("doc_id", usage.I.doc_state("status").alias("state"))
 
 

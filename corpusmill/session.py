@@ -26,14 +26,16 @@ def get_session(app: str = "corpusmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; only where it names none (tests, a laptop) a temporary one is made."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusmill-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
-
-    Only where the session names none (tests, a laptop) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """Cut lineage with a reliable checkpoint."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

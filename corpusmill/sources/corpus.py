@@ -131,12 +131,19 @@ RUN_SCHEMA = (
 )
 
 
-def read_runs(spark: SparkSession, glob: str) -> DataFrame:
-    """Result rows of benchmark files; files without a result list are left out; a run is named by its file."""
-    files = spark.read.schema(RUN_SCHEMA).option("multiLine", "true").json(glob).withColumn("path", F.col("_metadata.file_path"))
+def parse_runs(files: DataFrame) -> DataFrame:
+    """Result rows of benchmark payloads (path, value); payloads without results drop out; a run is named by its path."""
     label = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
-    files = files.where(F.size("results") > 0).select(label.alias("run_id"), F.explode("results").alias("r"))
-    return files.where("r.id IS NOT NULL").select("run_id", F.col("r.id").alias("qid"), F.col("r.group").alias("grp"), "r.gold", "r.predicted", "r.metrics.*")
+    rows = files.select(label.alias("run_id"), F.explode(F.from_json("value", RUN_SCHEMA)["results"]).alias("r"))
+    return rows.where("r.id IS NOT NULL").select(
+        "run_id", F.col("r.id").alias("qid"), F.col("r.group").alias("grp"), "r.gold", "r.predicted", "r.metrics.*"
+    )
+
+
+def read_runs(spark: SparkSession, glob: str) -> DataFrame:
+    """Benchmark result files, one JSON document each."""
+    files = spark.read.option("wholetext", "true").text(glob)
+    return parse_runs(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def last_per_chunk(chunks: DataFrame, order: str) -> DataFrame:
