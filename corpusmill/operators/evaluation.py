@@ -14,7 +14,9 @@ from corpusmill.functions import answers as A
 from corpusmill.functions import text as T
 from corpusmill.functions.answers import entities_of
 from corpusmill.operators.chunking import prefix_sums
+from corpusmill.functions.text import let
 from corpusmill.operators.scale import broadcast_if_small, first_k, running_total
+from corpusmill.session import checkpointed
 
 
 def evaluate_answers(df: DataFrame, pred: str = "predicted", gold: str = "gold") -> DataFrame:
@@ -246,32 +248,51 @@ def issue_counts(checked: DataFrame) -> DataFrame:
     return checked.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
+def _inner(c: Column) -> Column:
+    """Words that are neither first nor last, hence whole wherever the text occurs."""
+    words = F.split(c, " ")
+    return let(words, lambda ws: F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))))
+
+
+def _pairs_of_words(words: Column) -> Column:
+    return let(words, lambda ws: F.zip_with(
+        F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))),
+        lambda x, y: F.concat(x, F.lit(" "), y),
+    ))
+
+
+def _eight_chars(c: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 7, F.lit(1))), lambda i: F.substring(c, i, F.lit(8)))
+
+
 def _contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b) pairs whose ``norm`` text of ``inner`` lies in that of ``outer``.
 
-    A contained text brings its inner words whole, so its rarest inner word is looked up among the words of the
-    other side: an equality join instead of all pairs. Texts of one or two words look up their first eight
-    characters among the outer texts' character runs.
+    A contained text brings its inner words along whole and side by side, so its longest inner pair of words is looked
+    up among the pairs of the other side: an equality join instead of all pairs. Texts with a single inner word look
+    that up, and those with none their first eight characters among the others' character runs.
     """
-    words = lambda c: F.split(c, " ")
-    inside = inner.select(a, F.slice(words(F.col("norm")), F.lit(2), F.greatest(F.size(words(F.col("norm"))) - 2, F.lit(0))).alias("ws"))
-    long = inside.select(a, F.explode(F.array_distinct("ws")).alias("w"))
-    outer_words = outer.select(b, F.explode_outer(F.array_distinct(words(F.col("norm")))).alias("w"))
-    outer_words = outer_words.join(broadcast_if_small(long.select("w").distinct()), "w", "left_semi")
-    known = long.join(outer_words.groupBy("w").agg(F.count("*").alias("df")), "w", "left")
-    # A word the other side lacks rules the text out, so a missing count sorts first and finds nothing.
-    anchor = known.groupBy(a).agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    pairs = outer_words.join(broadcast_if_small(anchor), "w").select(a, b)
-    tiny = inner.join(inside.where(F.size("ws") == 0).select(a), a, "left_semi").select(a, F.left("norm", F.lit(8)).alias("g"))
-    if not tiny.isEmpty():
-        grams = outer.select(b, "norm").select(
-            b, F.explode_outer(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length("norm") - 7, F.lit(1))), lambda i: F.substring(F.col("norm"), i, F.lit(8))
-            ))).alias("g"),
-        )
-        pairs = pairs.unionByName(grams.join(broadcast_if_small(tiny), "g").select(a, b))
-    pairs = pairs.join(inner.select(a, F.col("norm").alias("_in")), a).join(outer.select(b, F.col("norm").alias("_out")), b)
-    return pairs.where(F.contains("_out", "_in")).select(a, b).distinct()
+    rows = inner.select(a, "norm", _inner(F.col("norm")).alias("ws"))
+    longest = lambda c: F.array_max(F.transform(c, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    norm, every = F.col("norm"), F.split("norm", " ")
+    levels = [
+        (F.size("ws") >= 2, longest(_pairs_of_words(F.col("ws"))), _pairs_of_words(every)),
+        (F.size("ws") == 1, F.get("ws", F.lit(0)), every),
+        (F.size("ws") == 0, F.left(norm, F.lit(8)), _eight_chars(norm)),
+    ]
+    found = None
+    for i, (which, anchor, runs) in enumerate(levels):
+        part = rows.where(which)
+        if i and part.isEmpty():
+            continue
+        keyed = part.select(a, F.col("norm").alias("_in"), anchor.alias("w"))
+        lookup = outer.select(b, F.array_distinct(runs).alias("_r")).select(b, F.explode_outer("_r").alias("w"))
+        # Runs nobody asks for go before the texts are fetched.
+        lookup = lookup.join(broadcast_if_small(keyed.select("w").distinct()), "w", "left_semi")
+        pairs = keyed.join(lookup, "w").join(outer.select(b, F.col("norm").alias("_out")), b)
+        pairs = pairs.where(F.contains("_out", "_in")).select(a, b)
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 def locate_evidence(evidence: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -282,10 +303,14 @@ def locate_evidence(evidence: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """
     ev = evidence.select("qid", "evidence", A.normalize_evidence("evidence").alias("norm"))
     ps = paragraphs.select("para_id", "text", A.normalize_evidence("text").alias("norm"))
-    exact = ev.join(ps, ev["evidence"] == ps["text"]).select("qid", "para_id", F.lit(0).alias("tier"))
-    normal = ev.where("norm <> ''").join(ps.select("para_id", F.col("norm").alias("_n")), F.col("norm") == F.col("_n"))
-    hits = exact.unionByName(normal.select("qid", "para_id", F.lit(1).alias("tier")))
-    rest = ev.where("norm <> ''").join(hits.select("qid").distinct(), "qid", "left_anti")
+    # Equal texts meet on their digests, which are short.
+    digest = lambda df, key, c: df.select(key, F.sha2(c, 256).alias("d"))
+    exact = digest(ev, "qid", "evidence").join(digest(ps, "para_id", "text"), "d").select("qid", "para_id", F.lit(0).alias("tier"))
+    some = ev.where("norm <> ''")
+    normal = digest(some, "qid", "norm").join(digest(ps, "para_id", "norm"), "d").select("qid", "para_id", F.lit(1).alias("tier"))
+    hits = exact.unionByName(normal)
+    # What is left is read several times below.
+    rest = checkpointed(some.join(hits.select("qid").distinct(), "qid", "left_anti"))
     inside = _contained(rest.where(F.length("norm") > 30), ps, "qid", "para_id")
     around = _contained(ps.where(F.length("norm") > 30), rest, "para_id", "qid")
     held = inside.unionByName(around.select("qid", "para_id")).distinct().withColumn("tier", F.lit(2))

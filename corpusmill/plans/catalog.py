@@ -13,11 +13,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.sources.corpus import spread_scan
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 OPERATORS: dict[str, str] = {}
 VIEWS: dict[str, tuple[str | Callable[..., DataFrame], str]] = {}
 
+# Tables whose rows cost much to process (long texts, answers to score).
+WIDE_ROWS = {"documents", "pages", "orders"}
 _REF = re.compile(r"\{([a-z_]+)\}")
 
 
@@ -37,7 +41,8 @@ def built_view(sql: str):
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread_scan(table) if name in WIDE_ROWS else table
     spec = VIEWS[name][0]
     if callable(spec):
         return spec(**{p: load(spark, sf_dir, p) for p in inspect.signature(spec).parameters})

@@ -19,6 +19,16 @@ def read_corpus(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*(columns or [c for c in df.columns if c not in ("embedding", "vector")]))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores before heavy work on each row.
+
+    Only a plain scan with fewer splits than cores is touched, so the data moved is at most one split per core; a
+    large table keeps its splits and gets no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_files(spark: SparkSession, root: str, exts: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
     """Files below ``root``: path, relative path, name, time, size. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -142,7 +152,7 @@ def parse_runs(files: DataFrame) -> DataFrame:
 
 def read_runs(spark: SparkSession, glob: str) -> DataFrame:
     """Benchmark result files, one JSON document each."""
-    files = spark.read.option("wholetext", "true").text(glob)
+    files = spark.read.text(glob, wholetext=True)
     return parse_runs(files.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
