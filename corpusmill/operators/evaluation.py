@@ -308,8 +308,8 @@ def locate_evidence(evidence: DataFrame, paragraphs: DataFrame) -> DataFrame:
     exact = digest(ev, "qid", "evidence").join(digest(ps, "para_id", "text"), "d").select("qid", "para_id", F.lit(0).alias("tier"))
     some = ev.where("norm <> ''")
     normal = digest(some, "qid", "norm").join(digest(ps, "para_id", "norm"), "d").select("qid", "para_id", F.lit(1).alias("tier"))
-    hits = exact.unionByName(normal)
-    # What is left is read several times below.
+    # Both are read several times below, and reading all texts again would cost more than storing these rows.
+    hits = checkpointed(exact.unionByName(normal))
     rest = checkpointed(some.join(hits.select("qid").distinct(), "qid", "left_anti"))
     inside = _contained(rest.where(F.length("norm") > 30), ps, "qid", "para_id")
     around = _contained(ps.where(F.length("norm") > 30), rest, "para_id", "qid")
