@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 BLOCK = 32_768
@@ -127,5 +128,5 @@ def pack(rows: DataFrame, length: Column, sizes: Sequence[int] = SIZES, block: i
         if count:
             yield from packed(pa.Table.from_batches(held))
 
-    kind = pieces.schema.add("bin_id", "string").add("bin_size", "integer").add("bin_offset", "long")
-    return pieces.mapInArrow(run, kind)
+    extra = T.StructType().add("bin_id", "string").add("bin_size", "integer").add("bin_offset", "long")
+    return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, *extra.fields]))
