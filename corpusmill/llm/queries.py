@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing, packing, tokens
-from corpusmill.llm.common import word_count
+from corpusmill.llm import minhash, mixing, packing, tokens, toxicity
+from corpusmill.llm.common import remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,20 @@ FROM c
 def op7_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"), word_count(F.col("text")))
     return rows.select("row.doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query()
+def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels are learnt from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
+    fitted, model = toxicity.trained(docs.select("doc_id", "text"), labels)
+    rows = toxicity.scored(docs.select("doc_id", "text"), fitted, model)
+    return rows.select(
+        "row.doc_id", (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted")
+    )
