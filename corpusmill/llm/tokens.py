@@ -12,6 +12,7 @@ null ids come first; an empty table gives a store without documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Sequence
 from itertools import chain
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, list_array, shared_path
+from corpusmill.llm.common import arrow_map, list_array, per_worker, shared_path
 
 #: The byte-level vocabulary's pre-tokenizer pattern.
 PIECES = (
@@ -36,42 +37,76 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def piece_encoder(path: str | None = None, keep: int = 400_000, whole: int = 200):
+def piece_encoder(path: str | None = None, keep: int = 600_000, whole: int = 200):
     """A function from texts to arrays of token ids, for use inside a task.
 
-    Merges never cross a piece of the pre-tokenizer, so each distinct piece is encoded once and looked up after that.
-    At most ``keep`` pieces are remembered (then the memory is emptied), none longer than ``whole`` characters. Control
-    strings in a text are ordinary text.
+    Merges never cross a piece of the pre-tokenizer, so each distinct chunk of pieces is encoded once; after that its
+    place in one long array of ids is looked up, and a text's ids are gathered from there. About ``keep`` chunks are
+    remembered (then the memory is emptied), none longer than ``whole`` characters for long. Control strings in a text are ordinary text.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path or tokenizer_path())
-    model.encode_special_tokens = True
+    tokenize = Tokenizer.from_file(path or tokenizer_path()).model.tokenize
+    signs = byte_signs()
     split = regex.compile(PIECES).findall
-    known: dict[str, list[int]] = {}
+    inner = re.compile(r" \s").search
+    place: dict[str, int] = {}
+    parts: dict[str, list[int]] = {}
+    ids, starts, sizes = [np.zeros(0, dtype=kind) for kind in (np.uint32, np.int64, np.int64)]
+
+    def chunks(text: str) -> list[str]:
+        """A text cut before spaces, where no run of white space is cut: pieces never cross such a cut."""
+        if inner(text):
+            return split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + w for w in rest]]
+
+    def learn(new: set[str]) -> None:
+        nonlocal ids, starts, sizes
+        found, n = [], []
+        for chunk in new:
+            before = len(found)
+            # A space and letters are one piece.
+            for piece in (chunk,) if chunk[1:].isalpha() and (chunk[0] == " " or chunk.isalpha()) else split(chunk):
+                got = parts.get(piece)
+                if got is None:
+                    got = parts[piece] = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(signs))]
+                found += got
+            n.append(len(found) - before)
+        place.update(zip(new, range(len(place), len(place) + len(new))))
+        at = np.cumsum([len(ids), *n])
+        ids, starts, sizes = (np.concatenate(x).astype(x[0].dtype) for x in ((ids, found), (starts, at[:-1]), (sizes, n)))
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        pieces = [split(t) for t in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(known))
-        if len(known) + len(new) > keep:
-            known.clear()
-            new = list(set(chain.from_iterable(pieces)))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            known.update(zip(some, [e.ids for e in model.encode_batch(some, add_special_tokens=False)]))
-        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, p)), dtype=np.uint32) for p in pieces]
-        for piece in new:
-            if len(piece) > whole:
-                del known[piece]
-        return out
-
+        nonlocal ids, starts, sizes
+        cut = [chunks(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(place)
+        if len(place) + len(new) > keep or forget[0]:
+            place.clear()
+            parts.clear()
+            ids, starts, sizes = ids[:0], starts[:0], sizes[:0]
+            new = set(chain.from_iterable(cut))
+        forget[0] = any(len(c) > whole for c in new)  # a very long chunk must not stay
+        learn(new)
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        found = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        return np.split(found, ends[np.cumsum([len(c) for c in cut])][:-1]) if cut else []
+
+    forget = [False]
     return encode
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable sign that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the
+    others follow one another from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def in_slices(texts: list[str], chars: int = 2_000_000):
     """Slices of ``texts`` with about ``chars`` characters each; a longer text makes one of its own."""
     start = total = 0
@@ -88,7 +123,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end:
     """``doc_id`` and ``n_tokens`` (with ``end`` ids at the end) of every whole text."""
 
     def make():
-        encode = piece_encoder()
+        encode = per_worker("piece_encoder", piece_encoder)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -115,7 +150,7 @@ def write_tokens(
     )
 
     def make():
-        encode = piece_encoder()
+        encode = per_worker("piece_encoder", piece_encoder)
         tail = np.array([end_id], dtype=np.uint32)
         so_far = 0
 
