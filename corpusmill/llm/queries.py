@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import minhash, mixing, packing, tokens, toxicity
+from corpusmill.llm import fingerprints, minhash, mixing, packing, tokens, toxicity
 from corpusmill.llm.common import remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "row.doc_id", (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score", toxicity.predicted(F.col("score")).alias("predicted")
     )
+
+
+@query()
+def op4_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.fingerprints(docs, fingerprints.rarity_ranks(docs))
