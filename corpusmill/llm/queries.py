@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, minhash, mixing, packing, tokens, toxicity
+from corpusmill.llm import fingerprints, html_text, minhash, mixing, packing, tokens, toxicity
 from corpusmill.llm.common import remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op3_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return fingerprints.fingerprints(docs, fingerprints.rarity_ranks(docs))
+
+
+@query()
+def op9_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))

@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def piece_encoder(path: str | None = None, keep: int = 600_000, whole: int = 200):
+def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 600_000, whole: int = 100):
     """A function from texts to arrays of token ids, for use inside a task.
 
-    Merges never cross a piece of the pre-tokenizer, so each distinct chunk of pieces is encoded once; after that its
-    place in one long array of ids is looked up, and a text's ids are gathered from there. About ``keep`` chunks are
-    remembered (then the memory is emptied), none longer than ``whole`` characters for long. Control strings in a text are ordinary text.
+    Merges never cross a piece of the pre-tokenizer, and pieces never cross a space before a word. So a text is cut at
+    its spaces; each distinct word is encoded once, and after that its place in one long array of ids is looked up and
+    a text's ids are gathered from there. About ``keep`` words and ``keep_pieces`` pieces are remembered (then that
+    memory is emptied), none longer than ``whole`` characters for long. Control strings in a text are ordinary text.
     """
     import regex
     from tokenizers import Tokenizer
@@ -51,49 +53,63 @@ def piece_encoder(path: str | None = None, keep: int = 600_000, whole: int = 200
     signs = byte_signs()
     split = regex.compile(PIECES).findall
     inner = re.compile(r" \s").search
-    place: dict[str, int] = {}
-    parts: dict[str, list[int]] = {}
-    ids, starts, sizes = [np.zeros(0, dtype=kind) for kind in (np.uint32, np.int64, np.int64)]
+    place: dict[str | tuple[str], int] = {}
+    pieces: dict[str, bytes] = {}
+    ids, starts, sizes = [np.zeros(0, dtype=kind) for kind in (np.uint16, np.int64, np.int64)]
 
-    def chunks(text: str) -> list[str]:
-        """A text cut before spaces, where no run of white space is cut: pieces never cross such a cut."""
+    def words(text: str) -> list[str | tuple[str]]:
+        """A word stands for a space and itself, a tuple for what it holds. White space is never cut within a run."""
         if inner(text):
-            return split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def learn(new: set[str]) -> None:
-        nonlocal ids, starts, sizes
-        found, n = [], []
-        for chunk in new:
-            before = len(found)
-            # A space and letters are one piece.
-            for piece in (chunk,) if chunk[1:].isalpha() and (chunk[0] == " " or chunk.isalpha()) else split(chunk):
-                got = parts.get(piece)
-                if got is None:
-                    got = parts[piece] = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(signs))]
-                found += got
-            n.append(len(found) - before)
-        place.update(zip(new, range(len(place), len(place) + len(new))))
-        at = np.cumsum([len(ids), *n])
-        ids, starts, sizes = (np.concatenate(x).astype(x[0].dtype) for x in ((ids, found), (starts, at[:-1]), (sizes, n)))
+            return [(p,) for p in split(text)]
+        out: list = text.split(" ")
+        out[0] = (out[0],)
+        return out
+
+    def encoded(piece: str) -> bytes:
+        got = pieces.get(piece)
+        if got is None:
+            got = array("H", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(signs))]).tobytes()
+            if len(piece) <= whole:
+                pieces[piece] = got
+        return got
+
+    def of_word(word: str | tuple[str]) -> bytes:
+        text = word[0] if isinstance(word, tuple) else " " + word
+        body = text[1:]
+        if body.isalpha() and (text[0] == " " or text.isalpha()):  # a space and letters are one piece
+            return encoded(text)
+        if text[:1] == " " and body[-1:] in (".", ",") and body[:-1].isalpha():
+            return encoded(text[:-1]) + encoded(body[-1])
+        return b"".join(map(encoded, split(text)))
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
         nonlocal ids, starts, sizes
-        cut = [chunks(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(place)
-        if len(place) + len(new) > keep or forget[0]:
+        if not texts:
+            return []
+        if len(pieces) > keep_pieces:
+            pieces.clear()
+        if len(place) > keep or forget[0]:
             place.clear()
-            parts.clear()
             ids, starts, sizes = ids[:0], starts[:0], sizes[:0]
-            new = set(chain.from_iterable(cut))
-        forget[0] = any(len(c) > whole for c in new)  # a very long chunk must not stay
-        learn(new)
-        at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        cut = [words(t) for t in texts]
+        every = list(chain.from_iterable(cut))
+        at = np.fromiter(map(place.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+        new, unknown = [], np.flatnonzero(at < 0)
+        for i in unknown.tolist():
+            w = every[i]
+            n = place.get(w)
+            if n is None:
+                n = place[w] = len(place)
+                new.append(of_word(w))
+            at[i] = n
+        n = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) // 2
+        forget[0] = bool(len(n)) and int(n.max()) > whole  # a very long word must not stay
+        begin = len(ids) + np.cumsum(n) - n
+        ids, starts, sizes = np.concatenate([ids, np.frombuffer(b"".join(new), dtype=np.uint16)]), np.concatenate([starts, begin]), np.concatenate([sizes, n])
         n = sizes[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        found = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
-        return np.split(found, ends[np.cumsum([len(c) for c in cut])][:-1]) if cut else []
+        found = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].astype(np.uint32)
+        return np.split(found, ends[np.cumsum([len(c) for c in cut])][:-1])
 
     forget = [False]
     return encode
