@@ -5,12 +5,12 @@ ring of places, a second one gives each place its value, and coordinate k is the
 by k places. The values that a place has under all turns lie side by side, so a signature is a minimum over slices.
 
 Copies (equal sets) are one *class*. Bands of six coordinates deal the classes into buckets. Small buckets compare all
-their classes; a large one compares each class with its first, which for a group of near copies is already enough to
-join it. Where a large bucket still holds classes of different components, its classes are dealt again by their other
-bands, so that only those alike in more than one band meet; this goes on until no large bucket is mixed, and the last
-level compares all that remain. Candidates pass a bound on set sizes and on the estimated similarity (six standard
-deviations wide), then are confirmed on their full sets. A link that a signature's bands would miss has a chance of
-(1 - 0.8 ** 6) ** 48, less than one in a million, at a similarity of exactly 0.8.
+their classes; a large one compares each class with its centre, which for a group of near copies is already enough to
+join most. Then only pairs of different components are still open: large buckets that hold such pairs are dealt into
+blocks of bounded size, and each pair of blocks is compared in a task that gives only the links of a forest, never the
+pairs. Candidates pass a bound on set sizes and on the estimated similarity (six standard deviations wide), then are
+confirmed on their full sets. A link that a signature's bands would miss has a chance of (1 - 0.8 ** 6) ** 48, less
+than one in a million, at a similarity of exactly 0.8.
 
 Defined cases: a null text, and one without words, has the empty set and links with nothing; a text of fewer words than
 a shingle is one shingle; rows with one id and one text are copies; an empty table gives an empty table; only the id
@@ -20,6 +20,7 @@ and the text are read, so other columns may have any name.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,8 @@ from corpusmill.llm.components import components
 from corpusmill.operators.scale import broadcast_if_small
 
 BANDS, ROWS, RING = 48, 6, 1 << 20
-SMALL, AGAIN, LEVELS = 8, 16, 4
+#: Buckets of so many classes compare all their pairs at once; classes of a block.
+SMALL, BLOCK = 8, 256
 #: A threshold of 80 in 100, in whole numbers.
 AT_LEAST = (80, 100)
 
@@ -120,14 +122,19 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return arrow_map(rows, make, "doc_id long, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
+def least_alike(at_least: tuple[int, int]) -> float:
+    """The share of equal coordinates that a pair at the threshold falls below by six standard deviations only."""
+    low = at_least[0] / at_least[1]
+    return low - 6 * (low * (1 - low) / (BANDS * ROWS)) ** 0.5
+
+
 def likely(pairs: DataFrame, classes: DataFrame, at_least: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (a, b) whose set sizes and signatures allow the threshold."""
-    side = classes.select("cls", "n", "sig")
-    low = at_least[0] / at_least[1]
-    floor = low - 6 * (low * (1 - low) / (BANDS * ROWS)) ** 0.5
+    side = classes.select("node", "n", "sig")
+    floor = least_alike(at_least)
 
     for name in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")), name)
+        pairs = pairs.join(side.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}")), name)
     pairs = pairs.where(at_least[1] * F.least("n_a", "n_b") >= at_least[0] * F.greatest("n_a", "n_b"))
 
     def make():
@@ -138,102 +145,167 @@ def likely(pairs: DataFrame, classes: DataFrame, at_least: tuple[int, int]) -> D
 
         return each
 
-    return arrow_map(pairs.select("a", "b", "sig_a", "sig_b"), make, "a binary, b binary")
+    return arrow_map(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
+
+
+def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``node``, ``cls`` and a text of each of ``nodes``."""
+    wanted = stored(nodes.distinct().join(classes.select("node", "cls", "first_doc"), "node"), "minhash-ends")
+    rows = docs.select(F.col(key).cast("bigint").alias("first_doc"), F.col(text).alias("text"))
+    return stored(rows.join(broadcast_if_small(wanted, 1_000_000), "first_doc").select("node", "cls", "text"), "minhash-texts")
+
+
+def named_sets(words: int, keep: int = 300):
+    """A function from a class and a text to the class's set; None where an id names another text than the class's."""
+    hashed = shingle_hasher(words)
+    kept: dict[bytes, np.ndarray | None] = {}
+
+    def shingles(name: bytes, text: bytes) -> np.ndarray | None:
+        if name not in kept:
+            if len(kept) >= keep:
+                kept.clear()
+            s = hashed([text])[0]
+            kept[name] = s if hashlib.blake2b(s, digest_size=16).digest() == name else None
+        return kept[name]
+
+    return shingles
+
+
+def reaches(s: np.ndarray | None, t: np.ndarray | None, at_least: tuple[int, int]) -> bool:
+    both = 0 if s is None or t is None else len(np.intersect1d(s, t, assume_unique=True))
+    return both > 0 and at_least[1] * both >= at_least[0] * (len(s) + len(t) - both)
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, at_least: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` whose full sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = stored(ends.join(classes.select("cls", "first_doc"), "cls"), "minhash-ends")
-    rows = docs.select(F.col(key).cast("bigint").alias("first_doc"), F.col(text).alias("text"))
-    texts = stored(rows.join(broadcast_if_small(wanted, 1_000_000), "first_doc").select("cls", "text"), "minhash-texts")
+    texts = class_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, key, text)
     for name in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("cls").alias(name), F.col("text").alias(f"text_{name}")), name)
-    need, of = at_least
+        pairs = pairs.join(texts.select(F.col("node").alias(name), F.col("cls").alias(f"cls_{name}"), F.col("text").alias(f"text_{name}")), name)
 
     def make():
-        hashed = shingle_hasher(words)
-        kept: dict[bytes, np.ndarray | None] = {}
-
-        def shingles(name: bytes, text: bytes) -> np.ndarray | None:
-            """The set, or None where an id names another text than the class was made from."""
-            if name not in kept:
-                if len(kept) > 200:
-                    kept.clear()
-                s = hashed([text])[0]
-                kept[name] = s if hashlib.blake2b(s, digest_size=16).digest() == name else None
-            return kept[name]
+        shingles = named_sets(words)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            names = [batch.column(x).to_pylist() for x in "ab"]
-            found = []
-            for a, b, x, y in zip(*names, utf8_column(batch.column("text_a")), utf8_column(batch.column("text_b"))):
-                s, t = shingles(a, x), shingles(b, y)
-                both = 0 if s is None or t is None else len(np.intersect1d(s, t, assume_unique=True))
-                found.append(both > 0 and of * both >= need * (len(s) + len(t) - both))
+            names = [batch.column(f"cls_{x}").to_pylist() for x in "ab"]
+            texts = [utf8_column(batch.column(f"text_{x}")) for x in "ab"]
+            found = [reaches(shingles(a, x), shingles(b, y), at_least) for a, b, x, y in zip(*names, *texts)]
             return batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
         return each
 
-    return arrow_map(pairs.select("a", "b", "text_a", "text_b"), make, "a binary, b binary").distinct()
-
-
-def candidate_pairs(buckets: DataFrame, labels: DataFrame | None, everything: bool) -> DataFrame:
-    """Pairs to compare in ``buckets`` (key, cls): in small ones all, in large ones each with the first; only between
-    different components where ``labels`` are given. ``everything``: all, in large ones too."""
-    if labels is None:
-        rows = buckets.withColumn("root", F.col("cls"))
-    else:
-        rows = rooted(buckets, labels)
-    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("first"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 1 and r0 < r1")
-    rows = stored(rows.join(sums.select("key", "n", "first"), "key"), "minhash-buckets")
-    few = F.lit(True) if everything else F.col("n") <= SMALL
-    other = rows.where(few).select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-    small = rows.where(few).join(other, "key").where("cls < b and root <> root_b").select(F.col("cls").alias("a"), "b")
-    large = rows.where(~few & (F.col("cls") != F.col("first"))).select(F.col("first").alias("a"), F.col("cls").alias("b"))
-    return small.unionByName(large).distinct()
-
-
-def rooted(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    return buckets.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-
+    return arrow_map(pairs.select("a", "b", "cls_a", "cls_b", "text_a", "text_b"), make, "a long, b long").distinct()
+
+
+def first_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare at first in ``buckets`` (key, node): in small ones all, in large ones each with the centre, the
+    class that meets most others in all its buckets (the text that near copies were made from, if it is there); the
+    large buckets."""
+    sums = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(buckets.join(sums, "key"), "minhash-buckets")
+    weights = stored(rows.groupBy("node").agg(F.sum("n").alias("weight")), "minhash-weights")
+    few = F.col("n") <= SMALL
+    small = rows.where(few).select("key", F.col("node").alias("a")).join(rows.where(few).select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    large = rows.where(~few).select("key", "node")
+    centre = large.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("first"))
+    star = large.join(centre, "key").where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
+    return small.unionByName(star).distinct(), large
+
+
+def rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, at_least: tuple[int, int]) -> DataFrame | None:
+    """Links (a, b) between different components in the buckets ``large`` (key, node), those of a forest in each block."""
+    rows = rooted(large, labels) if labels is not None else large.withColumn("root", F.col("node"))
+    mixed_ones = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    rows = stored(rows.join(mixed_ones.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key"), "minhash-open")
+    if rows.isEmpty():
+        return None
+    texts = class_texts(rows.select("node"), classes, docs, key, text)
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # Block b meets every block: as the smaller number it is side 0, as the larger side 1, with itself side 0.
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(F.col("b") <= o, 0).otherwise(1).alias("side")),
+    )
+    rows = rows.select("key", "node", "root", F.explode(pair).alias("p")).select("key", "node", "root", "p.*")
+    rows = rows.join(classes.select("node", "n", "bands", "sig"), "node").join(texts, "node")
+    rows = rows.select("key", "i", "j", "side", "node", "root", "n", "bands", "sig", "cls", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    floor = least_alike(at_least)
+    need, of = at_least
 
-def mixed_buckets(buckets: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Large buckets that hold more than one component, dealt again: each class by the next ``AGAIN`` of its bands."""
-    rows = rooted(buckets, labels) if labels is not None else buckets.withColumn("root", F.col("cls"))
-    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    again = buckets.join(sums.where((F.col("n") > SMALL) & (F.col("r0") < F.col("r1"))).select("key"), "key")
-    turn = F.pmod(F.col("key"), F.lit(BANDS)).cast("int")
-    others = F.slice(F.concat("bands", "bands"), turn + 1, AGAIN)
-    rows = again.join(classes.select("cls", "bands"), "cls").select("key", "cls", F.explode(others).alias("other"))
-    return rows.where("key <> other").select(F.xxhash64("key", "other").alias("key"), "cls").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = named_sets(words, 4 * BLOCK)
+
+        def solved(group: pa.Table) -> pa.RecordBatch | None:
+            group = group.combine_chunks()
+            side, node, root, n = (group.column(c).to_numpy() for c in ("side", "node", "root", "n"))
+            this, same = group.column("key")[0].as_py(), group.column("i")[0] == group.column("j")[0]
+            left = np.flatnonzero(side == 0)
+            right = left if same else np.flatnonzero(side == 1)
+            sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+            bands = np.array(group.column("bands").to_pylist(), dtype=np.int64)
+            names, raw = group.column("cls").to_pylist(), utf8_column(group.column("text").chunk(0))
+            ends: list[tuple[int, int]] = []
+            up = {r: r for r in root.tolist()}
+
+            def top(r: int) -> int:
+                while up[r] != r:
+                    r = up[r]
+                return r
+
+            for x in left.tolist():
+                y = right[(root[right] != root[x]) & (of * np.minimum(n[right], n[x]) >= need * np.maximum(n[right], n[x]))]
+                if same:
+                    y = y[y > x]
+                y = y[((sigs[y] == sigs[x]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= floor] if len(y) else y
+                # A pair that shares several buckets is compared in the one with the smallest key alone.
+                y = y[np.where(bands[y] == bands[x], bands[x], np.iinfo(np.int64).max).min(axis=1) == this] if len(y) else y
+                for z in y.tolist():
+                    if top(int(root[x])) != top(int(root[z])) and reaches(shingles(names[x], raw[x]), shingles(names[z], raw[z]), at_least):
+                        up[top(int(root[x]))] = top(int(root[z]))
+                        ends.append((int(node[x]), int(node[z])))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ends)], ["a", "b"]) if ends else None
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            key_, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((np.diff(key_) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for a, b in zip([0, *cuts[:-1]], cuts):  # the last group may go on in the next batch
+                if (out := solved(held.slice(a, b - a))) is not None:
+                    yield out
+            held = held.slice(cuts[-1]) if len(cuts) else held
+        if held is not None and (out := solved(held)) is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, at_least: tuple[int, int] = AT_LEAST) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id that links reach,
     itself included) and ``kept`` (it is that id)."""
     every = stored(sketches(docs, key, text, words), "minhash-rows")
-    classes = stored(
-        every.where("cls is not null").groupBy("cls").agg(
-            F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"),
-            F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig"),
-        ),
-        "minhash-classes",
+    classes = every.where("cls is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"),
+        F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig"),
     )
-    buckets = classes.select("cls", F.explode("bands").alias("key")).distinct()
-    links, labels = None, None
-    for level in range(LEVELS + 1):
-        pairs = stored(likely(candidate_pairs(buckets, labels, level == LEVELS), classes, at_least), "minhash-pairs")
-        if not pairs.isEmpty():
-            found = stored(confirmed(pairs, classes, docs, key, text, words, at_least), "minhash-links")
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if level < LEVELS:
-            buckets = stored(mixed_buckets(buckets, classes, labels), "minhash-again")
-            if buckets.isEmpty():
-                break
-    rows = every.select("doc_id", "n_shingles", "cls")
-    rows = rows.withColumn("root", F.col("cls")) if labels is None else rooted(rows, labels)
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    pairs, large = first_pairs(classes.select("node", F.explode("bands").alias("key")))
+    pairs = stored(likely(pairs, classes, at_least), "minhash-pairs")
+    links = labels = None
+    if not pairs.isEmpty():
+        links = stored(confirmed(pairs, classes, docs, key, text, words, at_least), "minhash-links")
+        labels = components(links)
+    more = open_links(large, labels, classes, docs, key, text, words, at_least)
+    if more is not None:
+        more = stored(more, "minhash-more")
+        if not more.isEmpty():
+            labels = components(more if links is None else links.unionByName(more))
+    rows = every.select("doc_id", "n_shingles", "cls").join(classes.select("cls", "node"), "cls", "left")
+    rows = rows.withColumn("root", F.col("node")) if labels is None else rooted(rows, labels)
     firsts = rows.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min("doc_id").alias("first_doc"))
     out = rows.join(firsts, F.col("root") == F.col("_r"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("first_doc"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, html_text, minhash, mixing, packing, tokens, toxicity
+from corpusmill.llm import fingerprints, html_text, lattice, minhash, mixing, packing, tokens, toxicity
 from corpusmill.llm.common import remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,18 @@ def op4_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query(
+    """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), FALSE) AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, root) AS (WITH RECURSIVE c(vec_id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.vec_id)
+      SELECT vec_id, min(root) FROM c GROUP BY 1)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e JOIN r USING (vec_id)
+"""
+)
+def op6_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
