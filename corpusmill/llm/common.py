@@ -56,6 +56,18 @@ def utf8_column(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def in_slices(texts: list, size: int = 2_000_000):
+    """Slices of ``texts`` (or bytes) of about ``size`` in all; a longer one makes a slice of its own."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield texts[start : i + 1]
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list column from one numpy array per row."""
     ends = np.zeros(len(parts) + 1, dtype=np.int32)

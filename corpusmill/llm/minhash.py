@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, list_array, mixed, stored, utf8_column
+from corpusmill.llm.common import arrow_map, in_slices, mixed, stored, utf8_column
 from corpusmill.llm.components import components
 from corpusmill.operators.scale import broadcast_if_small
 
@@ -46,6 +46,9 @@ def shingle_hasher(words: int, keep: int = 500_000):
     known: dict[bytes, int] = {}
 
     def hashed(texts: list[bytes]) -> list[np.ndarray]:
+        return [s for some in in_slices(texts) for s in of_slice(some)]
+
+    def of_slice(texts: list[bytes]) -> list[np.ndarray]:
         split = [t.lower().split() for t in texts]
         new = set(chain.from_iterable(split)).difference(known)
         if len(known) + len(new) > keep:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import fingerprints, html_text, lattice, minhash, mixing, packing, tokens, toxicity
+from corpusmill.llm import bloom_lm, fingerprints, html_text, lattice, minhash, mixing, packing, tokens, toxicity
 from corpusmill.llm.common import remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ FROM embeddings e JOIN r USING (vec_id)
 )
 def op6_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scored(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)

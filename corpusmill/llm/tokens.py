@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, list_array, per_worker, shared_path
+from corpusmill.llm.common import arrow_map, in_slices, list_array, per_worker, shared_path
 
 #: The byte-level vocabulary's pre-tokenizer pattern.
 PIECES = (
@@ -123,18 +123,6 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def in_slices(texts: list[str], chars: int = 2_000_000):
-    """Slices of ``texts`` with about ``chars`` characters each; a longer text makes one of its own."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield texts[start : i + 1]
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield texts[start:]
-
-
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:
     """``doc_id`` and ``n_tokens`` (with ``end`` ids at the end) of every whole text."""
 
