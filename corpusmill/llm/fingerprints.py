@@ -10,8 +10,9 @@ most they could share: each filter of the shorter chain takes its best partner i
 A fingerprint is text: the number of features in each filter and the filters in base 64. Equal texts have equal
 fingerprints under one set of ranks.
 
-Defined cases: a null text is empty; a text without features (short, or all windows alike) has one feature, its whole
-bytes, and is like nothing but a text with the same bytes; the fingerprint of the empty text is empty, and it is like
+Defined cases: a null text is empty; a text in which no window has enough points (all alike, or few) takes the 16 windows
+with the least hashes; a text shorter than a window has one feature, its whole bytes, and is like nothing but a text
+with the same bytes; the fingerprint of the empty text is empty, and it is like
 the empty text alone. Rows with one id follow one another in text order, null ids come first. An empty table gives an
 empty table; only the id and the text are read.
 """
@@ -31,6 +32,8 @@ from corpusmill.llm.common import arrow_map, mixed, utf8_column
 
 WINDOW, POINTS = 64, 16
 BITS, PER_FILTER, HASHES = 2048, 160, 5
+#: Features of a text in which no window has enough points.
+LEAST = 16
 #: Entropies are counted in thousandths of the most that a window can have (6 bits).
 CELLS, LOW, HIGH = 1001, 100, 990
 SLICE = 1 << 18
@@ -148,6 +151,11 @@ def digest(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, boo
     """Filters, their counts, and whether the one feature is the whole text."""
     if not data:
         return (*filters(np.empty(0, dtype=np.uint64)), True)
+    if not len(starts) and len(data) >= WINDOW:  # windows all alike, or few: those with the least hashes
+        every = np.frombuffer(data, dtype=np.uint8)
+        ends = len(data) - WINDOW + 1
+        least = [np.unique(_hashes(every, np.arange(a, min(a + SLICE, ends))))[:LEAST] for a in range(0, ends, SLICE)]
+        return (*filters(np.unique(np.concatenate(least))[:LEAST]), False)
     if not len(starts):
         whole = np.frombuffer(hashlib.blake2b(data, digest_size=8).digest(), dtype="<u8")
         return (*filters(whole.astype(np.uint64)), True)
