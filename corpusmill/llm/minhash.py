@@ -35,7 +35,7 @@ from corpusmill.operators.scale import broadcast_if_small
 
 BANDS, ROWS, RING = 48, 6, 1 << 20
 #: Buckets of so many classes compare all their pairs at once; classes of a block.
-SMALL, BLOCK = 8, 256
+SMALL, BLOCK = 8, 1024
 #: A threshold of 80 in 100, in whole numbers.
 AT_LEAST = (80, 100)
 
@@ -225,7 +225,7 @@ def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, d
     rows = stored(rows.join(mixed_ones.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key"), "minhash-open")
     if rows.isEmpty():
         return None
-    texts = class_texts(rows.select("node"), classes, docs, key, text)
+    sides = stored(class_texts(rows.select("node"), classes, docs, key, text).join(classes.select("node", "n", "bands", "sig"), "node"), "minhash-sides")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # Block b meets every block: as the smaller number it is side 0, as the larger side 1, with itself side 0.
     pair = F.transform(
@@ -233,7 +233,7 @@ def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, d
         lambda o: F.struct(F.least("b", o).alias("i"), F.greatest("b", o).alias("j"), F.when(F.col("b") <= o, 0).otherwise(1).alias("side")),
     )
     rows = rows.select("key", "node", "root", F.explode(pair).alias("p")).select("key", "node", "root", "p.*")
-    rows = rows.join(classes.select("node", "n", "bands", "sig"), "node").join(texts, "node")
+    rows = rows.join(sides, "node")
     rows = rows.select("key", "i", "j", "side", "node", "root", "n", "bands", "sig", "cls", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     floor = least_alike(at_least)
     need, of = at_least
