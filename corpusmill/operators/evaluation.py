@@ -5,14 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from corpusmill.functions import answers as A
 from corpusmill.functions import text as T
-from corpusmill.functions.answers import entities_of
 from corpusmill.operators.chunking import prefix_sums
 from corpusmill.functions.text import let
 from corpusmill.operators.scale import broadcast_if_small, first_k, running_total
@@ -323,26 +320,21 @@ def locate_evidence(evidence: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return found.unionByName(lost)
 
 
-SPAN = S.StructType().add("start", S.IntegerType()).add("stop", S.IntegerType()).add("method", S.StringType())
-
 # Unit words that belong to the number before them.
-UNIT_TAIL = re.compile(r"\s*(?:billion|million|thousand|percent|%|bps|basis points|usd|dollars?)\b", re.IGNORECASE)
+UNIT_TAIL = r"(?i)^\s*(?:billion|million|thousand|percent|%|bps|basis points|usd|dollars?)\b"
+
+
+def entity_span(source: Column, wanted: Column) -> Column:
+    """Span of the first number of ``source`` that equals the first number of ``wanted`` in kind and size, with its unit
+    word; null without one."""
+    first = F.get(A.numeric_entities(wanted), F.lit(0))
 
+    def span(hit: Column) -> Column:
+        tail = F.length(F.regexp_extract(F.substring(source, hit["stop"] + 1, F.length(source)), UNIT_TAIL, 0))
+        return F.when(hit.isNotNull(), F.struct(hit["start"].alias("start"), (hit["stop"] + tail).alias("stop"), F.lit("numeric_entity").alias("method")))
 
-@F.pandas_udf(SPAN)
-def entity_span(source: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-    """Span of the first number of ``source`` that equals the first number of ``wanted`` in kind and size."""
-    rows = []
-    for text, value in zip(source, wanted):
-        rows.append((None, None, None))
-        target = entities_of(value)[:1]
-        for e in entities_of(text) if target else []:
-            t = target[0]
-            if e["kind"] == t["kind"] and abs(t["normalized"] - e["normalized"]) <= max(1e-9, abs(t["normalized"]) * 0.01):
-                tail = UNIT_TAIL.match(text, e["stop"])
-                rows[-1] = (e["start"], tail.end() if tail else e["stop"], "numeric_entity")
-                break
-    return pd.DataFrame(rows, columns=["start", "stop", "method"])
+    found = T.let(first, lambda t: F.get(F.filter(A.numeric_entities(source), lambda e: A.same_entity(t, e)), F.lit(0)))
+    return T.let(found, span)
 
 
 def text_span(source: str, value: str) -> Column:
@@ -367,7 +359,7 @@ def text_span(source: str, value: str) -> Column:
 def align_spans(df: DataFrame, source: str = "evidence", value: str = "answer") -> DataFrame:
     """Where the source says the value: span, method and the sentences around it."""
     rows = df.withColumn("_t", text_span(source, value)).withColumn("_e", entity_span(F.col(source), F.col(value)))
-    rows = rows.withColumn("_s", F.coalesce("_t", F.when(F.col("_e.method").isNotNull(), F.col("_e"))))
+    rows = rows.withColumn("_s", F.coalesce("_t", F.when(F.col("_e").isNotNull(), F.col("_e"))))
     ends = F.split(F.regexp_replace(F.col(source), r"([.!?])(\s+)", "$1$2\u0001"), "\u0001")
     rows = rows.withColumn("_parts", ends).withColumn("_at", prefix_sums(F.transform("_parts", lambda p: F.length(p))))
     # The sentence with the value, the one before it and the one after it.

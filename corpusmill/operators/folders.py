@@ -1,7 +1,8 @@
 """Folder trees: ancestors, depth, subtrees, paths, empty folders.
 
-The ancestor table is built by doubling: from ancestors up to distance d one self-join gives those up to 2d. Depth
-is at most ``MAX_DEPTH``, so a few equality joins on folder ids do, whatever the number of folders.
+The ancestor table is built by doubling: from ancestors up to distance d one self-join gives those up to 2d, until no
+chain grows, so a tree of any depth takes as many rounds as its depth has binary digits. Each round is checkpointed. A
+folder in a cycle has each folder of the cycle as an ancestor once, at the least distance.
 """
 
 from __future__ import annotations
@@ -10,21 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.session import checkpointed
 
-MAX_DEPTH = 8
 
-
-def ancestors(folders: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(folders: DataFrame) -> DataFrame:
     """(folder_id, ancestor_id, distance), each folder its own ancestor at distance 0."""
-    up = folders.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")).where("ancestor_id IS NOT NULL")
+    up = folders.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
+    up = checkpointed(up.where("ancestor_id IS NOT NULL AND ancestor_id <> folder_id"))
     reach = 1
-    while reach < max_depth:
+    while True:
         top = up.groupBy("folder_id").agg(F.max_by("ancestor_id", "distance").alias("_top"), F.max("distance").alias("_far"))
         # Only chains that reach the current distance can grow.
         grow = top.where(F.col("_far") == reach).join(
             up.select(F.col("folder_id").alias("_top"), F.col("ancestor_id"), F.col("distance").alias("_d")), "_top"
         )
-        up = up.unionByName(grow.select("folder_id", "ancestor_id", (F.col("_far") + F.col("_d")).alias("distance")))
+        grow = grow.select("folder_id", "ancestor_id", (F.col("_far") + F.col("_d")).alias("distance")).where("folder_id <> ancestor_id")
+        grow = checkpointed(grow.join(up, ["folder_id", "ancestor_id"], "left_anti"))
+        if grow.isEmpty():
+            break
+        up = up.unionByName(grow)
         reach *= 2
     own = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"))
     return own.unionByName(up)
@@ -51,7 +56,7 @@ def is_cycle(folders: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def folder_paths(folders: DataFrame) -> DataFrame:
-    """Path of safe names from the root; at most ``MAX_DEPTH`` names per folder."""
+    """Path of safe names from the root."""
     named = ancestors(folders).join(
         folders.select(F.col("folder_id").alias("ancestor_id"), T.safe_segment("name", "folder").alias("name")), "ancestor_id"
     )

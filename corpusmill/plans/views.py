@@ -50,12 +50,14 @@ UNION ALL
 SELECT CAST(100 + n_nationkey AS BIGINT), CAST(1 + n_regionkey AS BIGINT), n_name FROM {nation}
 UNION ALL
 SELECT CAST(1000 + c_custkey AS BIGINT), CAST(100 + c_nationkey AS BIGINT), c_name FROM {customer}
+UNION ALL
+SELECT CAST(-1 - n_nationkey AS BIGINT), CAST(CASE WHEN n_nationkey > 0 THEN -n_nationkey END AS BIGINT), 'deep ' || n_name FROM {nation}
 """)
 
 # Documents filed in the folder tree: under customers' folders, nations' folders, or at the root.
 add_view("v_filed", """
 SELECT doc_id, space_id, title, doc_type, updated_at,
-       CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 100 + doc_id % 20 ELSE 1000 + doc_id % 97 END AS folder_id
+       CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 100 + doc_id % 20 WHEN 2 THEN -20 - doc_id % 3 ELSE 1000 + doc_id % 97 END AS folder_id
 FROM {v_docs}
 """)
 

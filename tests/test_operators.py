@@ -85,9 +85,10 @@ def test_numbers_are_matched_one_to_one(spark):
     pairs = [(i, " and ".join(rng.choices(parts, k=rng.randint(0, 4))), " and ".join(rng.choices(parts, k=rng.randint(0, 4)))) for i in range(150)]
     df = spark.createDataFrame(pairs, "i int, g string, p string")
     e = df.select("i", A.numeric_entities(F.col("g")).alias("g"), A.numeric_entities(F.col("p")).alias("p"))
+    entities = {r.i: ([x.asDict() for x in r.g], [x.asDict() for x in r.p]) for r in e.collect()}
     got = {r.i: (r.m, r.e.f1, r.e.primary) for r in e.select("i", A.number_match(F.col("g"), F.col("p")).alias("m"), A.entity_prf(F.col("g"), F.col("p")).alias("e")).collect()}
     for i, g, p in pairs:
-        ge, pe = A.entities_of(g), A.entities_of(p)
+        ge, pe = entities[i]
         near = lambda a, b: abs(a["base"] - b["base"]) <= max(1e-9, abs(a["base"]) * 1e-3)
         same = lambda a, b: a["kind"] == b["kind"] and abs(a["normalized"] - b["normalized"]) <= max(1e-9, abs(a["normalized"]) * 0.01)
         match = True if not ge else bool(pe) and (greedy(ge, pe, near) == len(ge) or greedy(ge, pe, same) == len(ge))
@@ -97,6 +98,17 @@ def test_numbers_are_matched_one_to_one(spark):
         assert got[i][0] == match and abs(got[i][1] - f1) < 1e-9 and got[i][2] == primary, (g, p, got[i])
 
 
+def test_numbers_of_a_text(spark):
+    text = "Net (1,234.5) million, up 8% to $3B;" + " x" * 12 + " \u22127 bps." + " x" * 20 + " 12 shares"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(A.numeric_entities("t").alias("e")).collect()
+    found = [(e.raw, text.replace("\u2212", "-")[e.start : e.stop], e.base, e.kind, e.normalized) for e in got[0].e]
+    assert found == [
+        ("(1,234.5)", "(1,234.5)", -1234.5, "percent", -1234.5), ("8", "8", 8.0, "percent", 8.0), ("$3", "$3", 3.0, "percent", 3.0),
+        ("-7", "-7", -7.0, "bps", -7.0), ("12", "12", 12.0, "count", 12.0),
+    ]
+    assert got[1].e == [] and got[2].e == []
+
+
 def test_bag_and_set_f1_differ(spark):
     df = spark.createDataFrame([("a a b", "a b b"), ("", ""), ("a", ""), ("x", "y")], "p string, g string")
     got = df.select(A.f1_bag("p", "g").alias("b"), A.f1_set("p", "g")["f1"].alias("s")).collect()
