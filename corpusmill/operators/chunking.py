@@ -242,6 +242,7 @@ def chunk_hybrid(df: DataFrame, max_tokens: int, text: str = "text", key: str =
 ALIASES = {
     "sandwitch_chunk": "sandwich_chunk",
     "sandwich_chunk": "sandwich_chunk",
+    "hybrid_sandwich": "sandwich_chunk",
     "chunk_hybrid": "chunk_hybrid",
     "chunk_recursive": "chunk_recursive",
     "chunk_text": "chunk_text",

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -298,12 +298,16 @@ def compare_rankers(lists: dict[str, DataFrame], targets: DataFrame, key: str, t
     return out
 
 
-def rerank(hits: DataFrame, scorer: Column | None, payload_key: str = "doc_id", n: int = 1000) -> DataFrame:
-    """New order by ``scorer`` (built-in expression or Arrow function); without a scorer the order stays."""
+def rerank(hits: DataFrame, scorer: Column | None, payload_key: str = "doc_id", n: int | None = None) -> DataFrame:
+    """New order by ``scorer`` (built-in expression or Arrow function) of all hits, or of the first ``n`` of each query;
+    without a scorer the order stays."""
     if scorer is None:
         return hits
     scored = hits.withColumnRenamed("rank", "old_rank").withColumn("score", F.round(scorer, SCORE_PLACES))
-    return first_k(scored, ["query_id"], [F.col("score").desc(), F.col("old_rank"), F.col(payload_key)], n, rank="rank")
+    order = [F.col("score").desc(), F.col("old_rank"), F.col(payload_key)]
+    if n is None:
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint"))
+    return first_k(scored, ["query_id"], order, n, rank="rank")
 
 
 def ann_recall(exact: DataFrame, approx: DataFrame, key: str = "doc_id") -> DataFrame:

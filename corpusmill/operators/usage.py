@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -240,19 +242,32 @@ def list_threads(threads: DataFrame, user: str, n: int, owner: bool = False) ->
     return active.unionByName(rows.where("archived"))
 
 
-def snapshot_hash(messages: DataFrame, block: Column, part_rows: int = 1000) -> DataFrame:
-    """SHA-256 of each thread's messages in id order; a long thread is hashed in parts and over the parts' digests."""
-    rows = positions(messages, ["thread_id"], [F.col("id")], block, "_pos").withColumn("_part", F.floor((F.col("_pos") - 1) / part_rows))
-    body = F.to_json(F.struct("content", "id", "role"))
-    parts = rows.groupBy("thread_id", "_part").agg(
-        F.array_sort(F.collect_list(F.struct("id", body.alias("j")))).alias("m")
-    )
-    digest = F.sha2(F.concat(F.lit("["), F.array_join(F.transform("m", lambda x: x["j"]), ","), F.lit("]")), 256)
-    digests = parts.select("thread_id", "_part", digest.alias("d")).groupBy("thread_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_part", "d"))), lambda x: x["d"]).alias("ds")
-    )
-    whole = F.when(F.size("ds") == 1, F.col("ds")[0]).otherwise(F.sha2(F.array_join("ds", ""), 256))
-    return digests.select("thread_id", whole.alias("content_hash"))
+def snapshot_hash(messages: DataFrame) -> DataFrame:
+    """SHA-256 of each thread's messages as one JSON array in id order, whatever their number: a thread's rows stream
+    through a task, which holds the hash so far and one batch."""
+    rows = messages.select("thread_id", "id", F.to_json(F.struct("content", "id", "role")).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thread, digest = None, None
+
+        def ended() -> pa.RecordBatch:
+            digest.update(b"]")
+            return pa.RecordBatch.from_arrays([pa.array([thread], pa.int64()), pa.array([digest.hexdigest()])], ["thread_id", "content_hash"])
+
+        for batch in batches:
+            for t, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if digest is not None and t == thread:
+                    digest.update(b",")
+                else:
+                    if digest is not None:
+                        yield ended()
+                    thread, digest = t, hashlib.sha256(b"[")
+                digest.update(body.encode())
+        if digest is not None:
+            yield ended()
+
+    ordered = rows.withColumn("thread_id", F.col("thread_id").cast("bigint")).repartition("thread_id").sortWithinPartitions("thread_id", "id")
+    return ordered.mapInArrow(run, "thread_id long, content_hash string")
 
 
 def stale_jobs(jobs: DataFrame, beats: DataFrame) -> DataFrame:

@@ -78,14 +78,9 @@ def vector_ann_recall(v_queries: DataFrame, v_doc_vectors: DataFrame) -> DataFra
     return retrieval.ann_recall(exact, retrieval.vector_ann(v_queries, v_doc_vectors, 10))
 
 
-add_view("v_short_queries", """
-SELECT query_id, split_part(query, ' ', 1) || ' ' || split_part(query, ' ', 2) || ' ' || split_part(query, ' ', 3) AS query FROM {v_queries}
-""")
-
-
-@query("R4", bm25_sql("{v_short_queries}", "{documents}", "doc_id", "text", 10, all_terms=True))
-def fulltext_all(v_short_queries: DataFrame, documents: DataFrame) -> DataFrame:
-    return retrieval.fulltext_all(v_short_queries, documents, 10)
+@query("R4", bm25_sql("{v_queries}", "{documents}", "doc_id", "text", 10, all_terms=True))
+def fulltext_all(v_queries: DataFrame, documents: DataFrame) -> DataFrame:
+    return retrieval.fulltext_all(v_queries, documents, 10)
 
 
 OW = ", ".join(f"'{w}'" for w in T.OVERLAP_STOPWORDS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corpusmill import registry
 from corpusmill.plans.catalog import path_query, query
 from corpusmill.plans.chunk_queries import chars_sql
 from corpusmill.plans.retrieval_queries import BM25_DOCS, rrf_sql, VECTOR_DOCS
+from corpusmill.session import checkpoint_dir
 from corpusmill.sources import corpus
 
 
@@ -17,9 +20,16 @@ def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.read_corpus(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang", "source", "n_chars"])
 
 
-@path_query("S2")
-def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.scan_files(spark, sf_dir, [".parquet"], ["_temporary"]).select("relative_path", "name", "size")
+@query("S2", """
+SELECT 'folder=' || CAST(page_id % 7 AS VARCHAR) AS folder, CAST(sum(octet_length(encode(html)) + 1) AS BIGINT) AS n_bytes
+FROM {pages} WHERE page_id % 7 <> 6 GROUP BY 1
+""")
+def file_scan(pages: DataFrame) -> DataFrame:
+    """The pages' markup as text files in folders, one of which is left out of the scan."""
+    root = f"{checkpoint_dir(pages.sparkSession)}/files/{uuid.uuid4().hex}"
+    pages.select((F.col("page_id") % 7).alias("folder"), "html").write.partitionBy("folder").text(root)
+    files = corpus.scan_files(pages.sparkSession, root, [".txt"], ["folder=6"])
+    return files.groupBy(F.element_at(F.split("relative_path", "/"), 1).alias("folder")).agg(F.sum("size").alias("n_bytes"))
 
 
 @query("S3", corpus.PAGES_SQL)
@@ -106,13 +116,13 @@ def registered_retriever(v_queries: DataFrame, documents: DataFrame, v_doc_vecto
 
 
 @query("U2", r"""
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z0-9]+')) AS w FROM {documents}),
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {documents}),
 b AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) % 8 AS b, count(*) AS n FROM t GROUP BY 1, 2),
 s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1)
 SELECT doc_id, CAST(b AS BIGINT) AS dim, round(n / norm, 6) AS value FROM b JOIN s USING (doc_id)
 """)
 def hashed_embeddings(documents: DataFrame) -> DataFrame:
-    rows = registry.embed(documents, {"hashing": registry.hashing_embedder(8)}, max_chars=2000)
+    rows = registry.embed(documents, {"hashing": registry.hashing_embedder(8)})
     flat = rows.select("doc_id", F.posexplode("vector").alias("dim", "value"))
     return flat.where("value <> 0").select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value"), 6).alias("value"))
 

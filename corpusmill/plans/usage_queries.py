@@ -221,7 +221,7 @@ SELECT conv_id AS thread_id, sha256('[' || string_agg(to_json(struct_pack(conten
 """)
 def snapshot_hashes(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("id"), "role", F.col("text").alias("content"))
-    return usage.snapshot_hash(rows, F.floor(F.col("id") / 10_000))
+    return usage.snapshot_hash(rows)
 
 
 ANCESTORS = """

@@ -76,13 +76,15 @@ def hashing_embedder(dim: int) -> Column:
     return vectors
 
 
-def embed(df: DataFrame, models: dict[str, Callable], text: str = "text", max_chars: int | None = None) -> DataFrame:
-    """One row per (row, model) with its vector; texts are cut to the model's limit first. ``models`` map a text
-    column to a vector column and run on Arrow batches."""
-    body = F.col(text) if max_chars is None else F.left(F.col(text), F.lit(max_chars))
+def embed(df: DataFrame, models: dict[str, Callable], text: str = "text", limits: dict[str, int] | None = None) -> DataFrame:
+    """One row per (row, model) with its vector and whether its text was cut. ``models`` map a text column to a vector
+    column and run on Arrow batches; ``limits`` gives the characters that a model can read, where it has a limit."""
     out = None
     for name, fn in models.items():
-        one = df.withColumn("model", F.lit(name)).withColumn("vector", fn(body))
+        limit = (limits or {}).get(name)
+        body = F.col(text) if limit is None else F.left(F.col(text), F.lit(limit))
+        cut = F.lit(False) if limit is None else F.coalesce(F.length(text) > limit, F.lit(False))
+        one = df.withColumn("model", F.lit(name)).withColumn("vector", fn(body)).withColumn("truncated", cut)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -160,6 +160,16 @@ def last_per_chunk(chunks: DataFrame, order: str) -> DataFrame:
     return first_k(chunks, ["chunk_id"], [F.col(order).desc()], 1)
 
 
+def table_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none yet; any other error stays an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at") -> None:
     """Upsert by chunk id into a table with one partition per space and strategy.
 
@@ -170,10 +180,7 @@ def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at") -> Non
 
     spark = chunks.sparkSession
     new = last_per_chunk(chunks, order)
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = None
+    old = table_if_there(spark, path)
     if old is not None:
         touched = new.select("space_id", "strategy").distinct()
         old = old.join(touched, ["space_id", "strategy"], "left_semi")

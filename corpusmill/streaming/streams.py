@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.utils import AnalysisException
 
 from corpusmill.operators import chunking, ingest
 from corpusmill.session import checkpoint_dir
+from corpusmill.sources.corpus import table_if_there
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -83,9 +83,8 @@ def dedup_calls(stream: DataFrame, keys: list[str], late: str = "1 hour", ts: st
 def append_once(stream: DataFrame, key: str = "message_id", late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Rows with a key once each; rows without one always."""
     marked = stream.withWatermark(ts, late)
-    # A row without a key is told apart by a random one, so one stream keeps both kinds.
-    once = marked.withColumn("_once", F.coalesce(F.col(key).cast("string"), F.uuid()))
-    return once.dropDuplicatesWithinWatermark(["_once"]).drop("_once")
+    # Rows without a key pass by the state: they need none, and a task that runs again gives the same rows.
+    return marked.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(marked.where(F.col(key).isNull()))
 
 
 def _sorted_rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -228,10 +227,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, path: str, strategies: list[st
     spark = batch.sparkSession
 
     def stored(name: str) -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{path}/{name}").where(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            return None
+        table = table_if_there(spark, f"{path}/{name}")
+        return None if table is None else table.where(F.col("batch_id") < batch_id)
 
     def write(df: DataFrame, name: str) -> None:
         df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
