@@ -8,21 +8,30 @@ from pyspark.sql import functions as F
 from corpusmill.functions.text import col
 
 # File classes by extension.
-PLAINTEXT_EXT = (
-    ".md .markdown .txt .text .json .jsonl .yaml .yml .toml .ini .cfg .conf .xml .css .scss .less .sass .py .pyw .pyi "
-    ".pyx .js .jsx .ts .tsx .mjs .cjs .java .kt .kts .scala .groovy .c .h .cpp .cxx .cc .hpp .hxx .cs .fs .fsx .go .rs "
-    ".rb .php .pl .pm .lua .swift .m .mm .r .jl .sh .bash .zsh .fish .bat .cmd .ps1 .sql .graphql .gql .env .gitignore "
-    ".dockerignore .editorconfig .makefile .cmake .log .rst .tex .bib .org .adoc .asciidoc .vue .svelte .astro .tf .hcl "
-    ".proto"
-).split()
-AUDIO_EXT = ".mp3 .mp4 .mpeg .mpga .m4a .wav .webm".split()
-DIRECT_EXT = ".csv .tsv .html .htm .xhtml".split()
-IMAGE_EXT = ".png .jpg .jpeg .gif .bmp .tiff .tif .webp .svg .heic .heif".split()
-BASIC_PARSER_EXT = ".pdf .docx .xlsx .pptx .png .jpg .jpeg .tiff .tif .bmp .webp".split()
-DOCUMENT_EXT = (
-    ".pdf .docx .doc .xlsx .xls .pptx .ppt .docm .dot .dotm .pptm .pot .potx .xlsm .xlsb .xlw .rtf .epub .odt .ods .odp "
-    ".hwp"
-).split()
+PLAINTEXT_EXT = [
+    ".md", ".markdown", ".txt", ".text", ".json", ".jsonl", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".xml", ".css",
+    ".scss", ".less", ".sass", ".py", ".pyw", ".pyi", ".pyx", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".kt",
+    ".kts", ".scala", ".groovy", ".c", ".h", ".cpp", ".cxx", ".cc", ".hpp", ".hxx", ".cs", ".fs", ".fsx", ".go", ".rs", ".rb",
+    ".php", ".pl", ".pm", ".lua", ".swift", ".m", ".mm", ".r", ".jl", ".sh", ".bash", ".zsh", ".fish", ".bat", ".cmd", ".ps1",
+    ".sql", ".graphql", ".gql", ".env", ".gitignore", ".dockerignore", ".editorconfig", ".makefile", ".cmake", ".log", ".rst",
+    ".tex", ".bib", ".org", ".adoc", ".asciidoc", ".vue", ".svelte", ".astro", ".tf", ".hcl", ".proto",
+]
+AUDIO_EXT = [
+    ".mp3", ".mp4", ".mpeg", ".mpga", ".m4a", ".wav", ".webm",
+]
+DIRECT_EXT = [
+    ".csv", ".tsv", ".html", ".htm", ".xhtml",
+]
+IMAGE_EXT = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".svg", ".heic", ".heif",
+]
+BASIC_PARSER_EXT = [
+    ".pdf", ".docx", ".xlsx", ".pptx", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp",
+]
+DOCUMENT_EXT = [
+    ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".pptx", ".ppt", ".docm", ".dot", ".dotm", ".pptm", ".pot", ".potx", ".xlsm",
+    ".xlsb", ".xlw", ".rtf", ".epub", ".odt", ".ods", ".odp", ".hwp",
+]
 
 # Bytes per page by extension.
 PAGE_BYTES = {
@@ -39,7 +48,9 @@ PAGE_BYTES = {
     1024 * 1024: ".mp3 .m4a .wav .mpga".split(),
     5 * 1024 * 1024: ".mp4 .mpeg .webm".split(),
 }
-ONE_PAGE_EXT = ".jpg .jpeg .png .gif .bmp .tiff .webp .svg .cgm .odg .pbd".split()
+ONE_PAGE_EXT = [
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp", ".svg", ".cgm", ".odg", ".pbd",
+]
 OTHER_PAGE_BYTES = 80 * 1024
 
 

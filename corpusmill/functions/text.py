@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 WS = " \t\n\r"
 
 # Stop words of the keyword-query builder.
-KEYWORD_STOPWORDS = (
-    "in the a an of for to from and or by on with between what was is are return only numeric sign unit docx"
-).split()
+KEYWORD_STOPWORDS = [
+    "in", "the", "a", "an", "of", "for", "to", "from", "and", "or", "by", "on", "with", "between", "what", "was", "is", "are",
+    "return", "only", "numeric", "sign", "unit", "docx",
+]
 
 # Stop words of the prompt normaliser.
-PROMPT_STOPWORDS = (
-    "return numeric only value answer what give provide from the for and with that this was were is are how much "
-    "many total amount number report reported using based please find result results following document text "
-    "information data question according"
-).split()
+PROMPT_STOPWORDS = [
+    "return", "numeric", "only", "value", "answer", "what", "give", "provide", "from", "the", "for", "and", "with", "that",
+    "this", "was", "were", "is", "are", "how", "much", "many", "total", "amount", "number", "report", "reported", "using",
+    "based", "please", "find", "result", "results", "following", "document", "text", "information", "data", "question",
+    "according",
+]
 
 # Stop words of the overlap ranker.
-OVERLAP_STOPWORDS = (
-    "a an the in on at to of for and or but is are was were be been being have has had do does did will would could "
-    "should may might it its this that these those with by from as into through during about against between what "
-    "which who whom when where why how not no nor so yet both either neither only own same than too very just return "
-    "per each any all most other also"
-).split()
+OVERLAP_STOPWORDS = [
+    "a", "an", "the", "in", "on", "at", "to", "of", "for", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "it", "its", "this", "that",
+    "these", "those", "with", "by", "from", "as", "into", "through", "during", "about", "against", "between", "what", "which",
+    "who", "whom", "when", "where", "why", "how", "not", "no", "nor", "so", "yet", "both", "either", "neither", "only", "own",
+    "same", "than", "too", "very", "just", "return", "per", "each", "any", "all", "most", "other", "also",
+]
 
 # A native document type also selects its legacy type.
 LEGACY_TYPES = {
@@ -135,6 +138,7 @@ def is_degenerate(c: Column | str) -> Column:
     return (trimmed(c) == "") | trimmed(c).rlike(r"^[ \t\n\r*?_.#@!\-/\\]+$")
 
 
+# How a question names a quarter.
 _PERIOD = (
     r"(?i)\bFY(\d{2,4})Q([1-4])\b"
     r"|fiscal\s+(?:quarter\s+)?(?:Q([1-4])\s+)?(?:of\s+)?(?:FY\s*)?(\d{4})"
@@ -143,7 +147,7 @@ _PERIOD = (
 
 
 def infer_dates(c: Column | str) -> Column:
-    """First and last day of the quarter the text names, as struct(start, end); nulls where it names none."""
+    """First day and last second of the quarter the text names, as struct(start, end); nulls where it names none."""
 
     def group(i: int) -> Column:
         return F.nullif(F.regexp_extract(col(c), _PERIOD, i), F.lit(""))
@@ -158,7 +162,7 @@ def infer_dates(c: Column | str) -> Column:
     )
     return F.struct(
         F.make_date(year, last_month - 2, F.lit(1)).alias("start"),
-        F.last_day(F.make_date(year, last_month, F.lit(1))).alias("end"),
+        (F.last_day(F.make_date(year, last_month, F.lit(1))).cast("timestamp_ntz") + F.expr("INTERVAL '23:59:59' HOUR TO SECOND")).alias("end"),
     )
 
 

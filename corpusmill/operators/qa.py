@@ -14,10 +14,10 @@ from corpusmill.operators.scale import first_k
 # Patterns and word lists of the generator.
 NUM = r"\(?\$?\d[\d,]*(?:\.\d+)?\)?%?"
 MONEY_OR_RATE = r"\$\s*\d[\d,]*(?:\.\d+)?|\d(?:[\d,]*\.?\d+)?%"
-FINANCE = (
-    "revenue income operating gross net cash assets liabilities equity margin earnings expense tax diluted basic segment "
-    "cloud commercial products services"
-).split()
+FINANCE = [
+    "revenue", "income", "operating", "gross", "net", "cash", "assets", "liabilities", "equity", "margin", "earnings", "expense",
+    "tax", "diluted", "basic", "segment", "cloud", "commercial", "products", "services",
+]
 NOISE = [
     "washington", "commission file", "form 10-q", "telephone", "page", "section 13", "rule 12b", "october", "registrant",
 ]

@@ -84,6 +84,7 @@ def fulltext_all(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id
     return bm25_topk(queries, docs, k, key, text, all_terms=True)
 
 
+# What marks a chunk as one with figures.
 NUMERIC_HINT = r"\$|\b(?:million|billion|percent|%)\b|\d"
 
 

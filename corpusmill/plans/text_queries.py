@@ -84,7 +84,7 @@ WITH g AS (SELECT o_orderkey, regexp_extract(question, '(?i)\bFY(\d{2,4})Q([1-4]
 m AS (SELECT o_orderkey, CASE WHEN fy <> '' THEN CASE WHEN CAST(fy AS INT) > 100 THEN CAST(fy AS INT) ELSE 2000 + CAST(fy AS INT) END
                               WHEN mon <> '' THEN CAST(yr AS INT) END AS y,
              CASE WHEN fy <> '' THEN CAST(q AS INT) * 3 WHEN mon = 'march' THEN 3 WHEN mon = 'june' THEN 6 WHEN mon = 'september' THEN 9 WHEN mon = 'december' THEN 12 END AS mo FROM g)
-SELECT o_orderkey, CAST(make_date(y, mo - 2, 1) AS VARCHAR) AS first_day, CAST(last_day(make_date(y, mo, 1)) AS VARCHAR) AS last_day_of FROM m
+SELECT o_orderkey, CAST(make_date(y, mo - 2, 1) AS VARCHAR) AS first_day, CAST(last_day(make_date(y, mo, 1)) AS VARCHAR) || ' 23:59:59' AS last_day_of FROM m
 """)
 def inferred_dates(v_period_questions: DataFrame) -> DataFrame:
     d = v_period_questions.select("o_orderkey", T.infer_dates("question").alias("d"))
