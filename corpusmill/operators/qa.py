@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions.answers import has_any
 from corpusmill.functions.text import let
-from corpusmill.operators.chunking import markdown_rows, sentence_spans
+from corpusmill.operators.chunking import line_runs, markdown_rows, sentence_spans
 from corpusmill.operators.scale import first_k
 
 # Patterns and word lists of the generator.
@@ -81,7 +81,10 @@ def qa_sentences(docs: DataFrame, source: str, text: str = "content", key: str =
 
 
 def table_facts(docs: DataFrame, text: str = "content", key: str = "doc_id") -> DataFrame:
-    """Number rows of each document's table: header, cells, label, unit; all found inside the document's row."""
+    """Number rows of each table of each document: table, header, cells, label, unit; all found inside the document's row.
+
+    A table is a run of table lines, with its own header and unit; ``row`` counts on over the tables of a document.
+    """
     joined = lambda rows: F.array_join(F.flatten(rows), " ")
 
     def scale_of(c: Column) -> Column:
@@ -92,11 +95,15 @@ def table_facts(docs: DataFrame, text: str = "content", key: str = "doc_id") ->
     def unit(has_dollar: Column, scale: Column) -> Column:
         return F.btrim(F.concat(F.when(has_dollar, "USD ").otherwise(""), scale))
 
-    rows = docs.select(key, markdown_rows(F.col(text)).alias("rows")).where(F.size("rows") > 0)
+    tables = F.transform(F.filter("runs", lambda r: r["is_table"]), lambda r: markdown_rows(F.array_join(r["lines"], "\n")))
+    rows = line_runs(docs, text).select(key, tables.alias("tables"))
+    rows = rows.select(key, "tables", F.posexplode("tables").alias("table", "rows")).where(F.size("rows") > 0)
+    before = F.aggregate(F.slice("tables", F.lit(1), F.col("table")), F.lit(0), lambda n, t: n + F.size(t))
+    rows = rows.select(key, "table", before.alias("before"), "rows")
     full = F.transform(F.slice("rows", 1, 6), lambda r: F.size(F.filter(r, lambda c: c != "")) >= 2)
     rows = rows.withColumn("head", F.array_position(full, F.lit(True)).cast("int")).where("head > 0")
     rows = rows.select(
-        key, "head", F.element_at("rows", F.col("head")).alias("header"),
+        key, "table", "before", "head", F.element_at("rows", F.col("head")).alias("header"),
         unit(F.contains(joined(F.col("rows")), F.lit("$")), scale_of(joined(F.slice("rows", 1, 8)))).alias("table_unit"),
         F.posexplode("rows").alias("row", "cells"),
     ).where(F.col("row") >= F.col("head"))
@@ -110,7 +117,7 @@ def table_facts(docs: DataFrame, text: str = "content", key: str = "doc_id") ->
         .otherwise(unit(F.contains(F.concat(row_text, head_text), F.lit("$")), scale_of(head_text)))
     )
     return rows.select(
-        key, F.col("row").cast("bigint").alias("row"), "header", "cells", "label",
+        key, "table", (F.col("before") + F.col("row")).cast("bigint").alias("row"), "header", "cells", "label",
         F.coalesce(F.nullif(own, F.lit("")), "table_unit").alias("unit"), F.array_join("cells", " | ").alias("row_text"),
     )
 
@@ -167,8 +174,8 @@ def qa_arithmetic(docs: DataFrame, source: str, text: str = "content", key: str
         F.concat(F.lit(said + "percent change for '"), "label", F.lit("' from '"), "c2", F.lit("' to '"), "c1", F.lit("'?")).alias("question"),
         change.alias("answer"),
     )
-    # Neighbouring number rows of one document: the rows of a table come from one text, so they are few.
-    packed = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "label", "vals"))).alias("rs"))
+    # Neighbouring number rows of one table: they come from one text, so they are few.
+    packed = facts.groupBy(key, "table").agg(F.array_sort(F.collect_list(F.struct("row", "label", "vals"))).alias("rs"))
     ratios = let(F.col("rs"), lambda rs: F.zip_with(
         F.slice(rs, F.lit(1), F.greatest(F.size(rs) - 1, F.lit(0))), F.slice(rs, F.lit(2), F.greatest(F.size(rs) - 1, F.lit(0))),
         lambda a, b: F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import answers as A
 from corpusmill.functions import text as T
-from corpusmill.operators import chunking, evaluation, folders, ingest, retrieval, scale, usage
+from corpusmill.operators import chunking, evaluation, folders, ingest, qa, retrieval, scale, usage
 
 rng = random.Random(5)
 
@@ -198,3 +198,44 @@ def test_text_functions(spark):
     assert T.glob_regex("*.md") == "(?s)^.*\\.md$" and T.glob_regex("a[!b]?") == "(?s)^a[^b].$"
     terms = spark.createDataFrame([("What was the net-income of file.docx in Q1, net-income_?",)], "q string")
     assert terms.select(T.query_terms("q")).first()[0] == ["net-income", "q1"]
+
+
+def test_each_table_has_its_own_header(spark):
+    text = "Text\n| Item | 2024 | 2025 |\n|---|---|---|\n| Net income | $10 | $20 |\nMore text\n| Item | Jan | Feb |\n|---|---|---|\n| Revenue | 5 | 6 |\n| Costs | 3 | 4 |"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, content string")
+    asked = {(r.row, r.question.split("'")[1], r.question.split("'")[3]) for r in qa.qa_cells(docs, "it").collect()}
+    assert asked == {(1, "Net income", "2024"), (1, "Net income", "2025"), (3, "Revenue", "Jan"), (3, "Revenue", "Feb"), (4, "Costs", "Jan"), (4, "Costs", "Feb")}
+    ratios = [r.question for r in qa.qa_arithmetic(docs, "it").collect() if r.kind == "ratio"]
+    assert len(ratios) == 1 and "'Revenue' to 'Costs'" in ratios[0]
+
+
+def test_folders_of_any_depth_and_cycles(spark):
+    rows = [(i, i - 1 if i > 1 else None, f"n{i}") for i in range(1, 41)] + [(100, 101, "a"), (101, 102, "b"), (102, 100, "c"), (200, 200, "self")]
+    df = spark.createDataFrame(rows, "folder_id long, parent_id long, name string")
+    got = {(r.folder_id, r.ancestor_id): r.distance for r in folders.ancestors(df).collect()}
+    assert got == {(i, j): i - j for i in range(1, 41) for j in range(1, i + 1)} | {(a, b): (b - a) % 3 for a in (100, 101, 102) for b in (100, 101, 102)} | {(200, 200): 0}
+    docs = spark.createDataFrame([(1, 40)], "doc_id long, folder_id long")
+    assert {r.folder_id for r in folders.empty_folders(df, docs).collect()} == {100, 101, 102, 200}
+
+
+def test_rerank_keeps_every_hit(spark):
+    hits = spark.range(1500).select(F.lit(1).alias("query_id"), F.col("id").alias("doc_id"), (F.col("id") + 1).alias("rank"), F.lit(0.0).alias("score"))
+    out = retrieval.rerank(hits, F.col("doc_id") * 1.0)
+    assert out.count() == 1500 and out.where("rank = 1").head().doc_id == 1499
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
+    import pytest
+
+    from corpusmill.session import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
