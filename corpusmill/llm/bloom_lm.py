@@ -186,15 +186,15 @@ def fitted(docs: DataFrame, text: str = "text", max_bytes: int = 256 << 20, freq
     buckets = 1 << max(4, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     n_texts = docs.count()
     parts = stored(filter_parts(counted(docs, buckets, text), buckets, max_bytes), "lm-parts")
-    rows = parts.select("bucket", "tokens", "n_words", "n_pairs", "spread", "spread_tokens", "width", "bits").collect()  # max_bytes in all
+    rows = parts.select("bucket", "tokens", "n_words", "n_pairs", "spread", "spread_tokens", "width", F.length("bits").alias("size")).collect()
     begins, widths = np.zeros(buckets, dtype=np.int64), np.ones(buckets, dtype=np.int64)
-    blocks, at = [], 0
-    for r in rows:
-        block = np.frombuffer(r.bits, dtype=np.uint8)
-        begins[r.bucket], widths[r.bucket] = at * 8, r.width
-        blocks.append(block)
-        at += len(block)
-    spread, spread_tokens = (np.sum([getattr(r, n) for r in rows], axis=0) if rows else np.zeros(48) for n in ("spread", "spread_tokens"))
+    for r, end in zip(rows, np.cumsum([r["size"] for r in rows]).tolist()):
+        begins[r.bucket], widths[r.bucket] = (end - r["size"]) * 8, r.width
+    bits = np.zeros(sum(r["size"] for r in rows) + 1, dtype=np.uint8)  # max_bytes in all, filled part by part
+    for r in parts.select("bucket", "bits").toLocalIterator():
+        at = int(begins[r.bucket]) // 8
+        bits[at : at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
+    spread, spread_tokens = (np.sum([r[n] for r in rows], axis=0) if rows else np.zeros(48, dtype=np.int64) for n in ("spread", "spread_tokens"))
     # The smallest power of two such that not too many words have that count.
     more = np.cumsum(spread[::-1])[::-1]
     floor = 1 << int(np.argmax(more <= frequent))
@@ -209,12 +209,15 @@ def fitted(docs: DataFrame, text: str = "text", max_bytes: int = 256 << 20, freq
 
         return each
 
-    top = arrow_map(parts.select("words", "counts"), make_frequent, "words binary, counts binary").collect()  # `frequent` entries of 12 bytes
-    words = np.frombuffer(b"".join(r.words for r in top), dtype=np.uint64)
-    counts = np.frombuffer(b"".join(r.counts for r in top), dtype=np.uint32)
+    n = int(more[int(math.log2(floor))]) if rows else 0
+    words, counts, at = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint32), 0  # `frequent` entries of 12 bytes
+    for r in arrow_map(parts.select("words", "counts"), make_frequent, "words binary, counts binary").toLocalIterator():
+        some = np.frombuffer(r.words, dtype=np.uint64)
+        words[at : at + len(some)], counts[at : at + len(some)] = some, np.frombuffer(r.counts, dtype=np.uint32)
+        at += len(some)
     order = np.argsort(words)
     model = Model(
-        np.concatenate([*blocks, np.zeros(1, np.uint8)]), begins, widths, sum(r.tokens for r in rows), sum(r.n_words for r in rows), n_texts,
+        bits, begins, widths, sum(r.tokens for r in rows), sum(r.n_words for r in rows), n_texts,
         successor_power(spread, spread_tokens, sum(r.n_pairs for r in rows)), words[order], counts[order], floor,
     )
 
@@ -246,14 +249,14 @@ def counts_in_filter(model: Model, keys: np.ndarray) -> np.ndarray:
     return MEANS[level]
 
 
-def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 of each word's probability after the word before it."""
-    before, pairs = pair_keys(words, sizes)
-    one, where_one = np.unique(np.concatenate([words, before]), return_inverse=True)
+def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray, where_one: np.ndarray) -> np.ndarray:
+    """log10 of each word's probability after the word before it; ``one[where_one]`` are the words."""
+    _, pairs = pair_keys(words, sizes)
     two, where_two = np.unique(pairs, return_inverse=True)
-    c1, c2 = counts_in_filter(model, one)[where_one], counts_in_filter(model, two)[where_two]
-    cw, cv = c1[: len(words)], c1[len(words) :]
-    cv = np.where(before == START, model.n_texts, cv)
+    cw, c2 = counts_in_filter(model, one)[where_one], counts_in_filter(model, two)[where_two]
+    cv = np.empty_like(cw)
+    cv[1:] = cw[:-1]
+    cv[np.cumsum(sizes) - sizes] = model.n_texts
     p1 = (cw + 1) / (model.tokens + model.n_words + 1)
     c2 = np.where(cw > 0, np.minimum(c2, np.minimum(cv, cw)), 0)
     back = np.minimum(1.0, DISCOUNT * np.maximum(cv, 1) ** (model.power - 1))
@@ -282,9 +285,11 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
                 own, at = held[at : at + len(some)], at + len(some)
                 sizes = np.array([len(s) for s in some])
                 words, owner = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
-                logs = log_probabilities(m, words, sizes)
-                place = np.minimum(np.searchsorted(m.words, words), max(0, len(m.words) - 1))
-                c = np.where(m.words[place] == words, m.counts[place].astype(np.int64), -1) if len(m.words) else np.full(len(words), -1)
+                one, where_one = np.unique(words, return_inverse=True)
+                logs = log_probabilities(m, words, sizes, one, where_one)
+                place = np.minimum(np.searchsorted(m.words, one), max(0, len(m.words) - 1))
+                c = np.where(m.words[place] == one, m.counts[place].astype(np.int64), -1) if len(m.words) else np.full(len(one), -1)
+                c = c[where_one]
                 # If every word seen twice is here, the others in a training text were seen once.
                 once = (c < 0) & ~own[owner] & (m.floor == 2)
                 none = (c < 0) & (m.floor == 1)
