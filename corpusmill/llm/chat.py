@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, in_slices, list_array, per_worker, shared_path
+from corpusmill.llm.common import arrow_map, in_slices, list_array, shared_path
 from corpusmill.llm.tokens import byte_signs, piece_encoder, tokenizer_path
 
 OPEN, CLOSE, SPOKEN = "<|im_start|>", "<|im_end|>\n", "assistant"
@@ -88,7 +88,7 @@ def write_tree(conversations: DataFrame, path: str, parts: int | None = None) ->
     ordered = nodes.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
 
     def make():
-        encode = per_worker("piece_encoder", piece_encoder)
+        encode = piece_encoder()
         so_far = 0
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,15 +40,6 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def per_worker(name: str, make: Callable[[], object]) -> object:
-    """What ``make()`` returned when this Python worker first asked for ``name``: Spark uses a worker for task after
-    task, but unpickles a function's globals anew for each. For caches that only save time and are bounded."""
-    place = sys.modules.setdefault("corpusmill_worker_caches", types.ModuleType("corpusmill_worker_caches"))
-    if not hasattr(place, name):
-        setattr(place, name, make())
-    return getattr(place, name)
-
-
 def utf8_column(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, in_slices, list_array, per_worker, shared_path
+from corpusmill.llm.common import arrow_map, in_slices, list_array, shared_path
 
 #: The byte-level vocabulary's pre-tokenizer pattern.
 PIECES = (
@@ -38,7 +38,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 600_000, whole: int = 100):
+def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 400_000, whole: int = 100):
     """A function from texts to arrays of token ids, for use inside a task.
 
     Merges never cross a piece of the pre-tokenizer, and pieces never cross a space before a word. So a text is cut at
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end:
     """``doc_id`` and ``n_tokens`` (with ``end`` ids at the end) of every whole text."""
 
     def make():
-        encode = per_worker("piece_encoder", piece_encoder)
+        encode = piece_encoder()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -154,7 +154,7 @@ def write_tokens(
     )
 
     def make():
-        encode = per_worker("piece_encoder", piece_encoder)
+        encode = piece_encoder()
         tail = np.array([end_id], dtype=np.uint32)
         so_far = 0
 
