@@ -28,14 +28,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """``mapInArrow`` with one function per task: ``make()`` runs once in a task, so its caches live as long as the task."""
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 1 << 20) -> DataFrame:
+    """``mapInArrow`` with one function per task: ``make()`` runs once in a task, so its caches live as long as the task.
+    The function sees at most ``rows`` rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows and (out := each(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := each(batch.slice(at, rows))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -32,6 +32,10 @@ PIECES = (
 )
 
 
+#: Rows whose ids a task holds at once.
+ROWS = 1000
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -136,7 +140,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end:
 
         return each
 
-    return arrow_map(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, n_tokens long")
+    return arrow_map(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, n_tokens long", ROWS)
 
 
 def write_tokens(
@@ -172,7 +176,7 @@ def write_tokens(
 
         return each
 
-    rows = arrow_map(ordered, make, "doc_id long, part int, part_offset long, n_tokens long, ids array<int>")
+    rows = arrow_map(ordered, make, "doc_id long, part int, part_offset long, n_tokens long, ids array<int>", ROWS)
     (
         rows.write.option("parquet.writer.version", "PARQUET_2_0")
         .option("compression", "zstd")
