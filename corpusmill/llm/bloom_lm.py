@@ -2,9 +2,10 @@
 
 Words and pairs of neighbouring words are counted over all training texts. A count is quantised to a level, and an
 n-gram of level q is put into the filter q times, once with each number from 1 to q; reading a count means to ask for
-level after level until one is missing. The filter goes to every worker: it is made of one part for each bucket of
-hashes, eight bits for an entry, and has a bound (``max_bytes``); where a part would grow beyond its share, pairs with
-the smallest counts stay out of it (the result's ``cut`` tells; words stay in).
+level after level until one is missing. The filter is made of one part for each bucket of hashes, eight bits for an
+entry, and holds every word and pair, so it grows with the texts. Up to ``max_bytes`` it goes to every worker; a larger
+one stays a table, and the distinct keys of each slice of texts (about 2 MB) go to the parts of their buckets and come
+back as levels. Both ways ask the same bits, so the scores do not depend on the bound.
 
 A word's probability is that of the pair with absolute discounting, interpolated with add-one word probabilities. The
 weight of the latter follows from the number of different successors, taken as a power of the context's count; the power
@@ -123,22 +124,18 @@ def _bits(keys: np.ndarray, level: int | np.ndarray, probe: int, width: int | np
         return mixed(keys ^ mixed(salt)) % np.asarray(width, dtype=np.uint64)
 
 
-def filter_parts(sums: DataFrame, buckets: int, max_bytes: int) -> DataFrame:
-    """One row per bucket: ``tokens``, ``n_words``, ``n_pairs``, ``cut``, sizes of the words by the power of two of their
-    count (``spread``, ``spread_tokens``), the filter's part (``bits``, ``width``), and the words with their counts."""
-    most = max(1024, max_bytes * 8 // buckets)
-    schema = "bucket int, tokens long, n_words long, n_pairs long, cut long, spread array<long>, spread_tokens array<long>, width long, bits binary, words binary, counts binary"
+def filter_parts(sums: DataFrame) -> DataFrame:
+    """One row per bucket: ``tokens``, ``n_words``, ``n_pairs``, sizes of the words by the power of two of their count
+    (``spread``, ``spread_tokens``), the filter's part (``bits``, ``width``), and the words with their counts."""
+    schema = "bucket int, tokens long, n_words long, n_pairs long, spread array<long>, spread_tokens array<long>, width long, bits binary, words binary, counts binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def part(table: pa.Table) -> pa.Table:
         kind = table.column("pair").to_pylist()
         keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
         (words, n1), (pairs, n2) = (_merged([k for k, x in zip(keys, kind) if x == y], [c for c, x in zip(counts, kind) if x == y]) for y in (0, 1))
-        l1, l2, cut = level_of(n1), level_of(n2), 1
-        while BITS_PER_ENTRY * (l1.sum() + l2[n2 >= cut].sum()) > most and cut < 1 << 40:
-            cut *= 2
-        entries = [(words, l1), (pairs[n2 >= cut], l2[n2 >= cut])]
-        width = int(min(most, max(64, BITS_PER_ENTRY * sum(int(q.sum()) for _, q in entries))))
+        entries = [(words, level_of(n1)), (pairs, level_of(n2))]
+        width = max(64, BITS_PER_ENTRY * sum(int(q.sum()) for _, q in entries))
         bits = np.zeros(width, dtype=bool)
         for x, q in entries:
             for level in range(1, int(q.max(initial=0)) + 1):
@@ -147,18 +144,19 @@ def filter_parts(sums: DataFrame, buckets: int, max_bytes: int) -> DataFrame:
                     bits[_bits(x, level, probe, width)] = True
         power = np.floor(np.log2(np.maximum(n1, 1))).astype(np.int64)
         spread = np.bincount(power, minlength=48), np.bincount(power, weights=n1, minlength=48).astype(np.int64)
-        row = [table.column("bucket")[0].as_py(), int(n1.sum()), len(words), len(pairs), cut, *(s.tolist() for s in spread), width, np.packbits(bits).tobytes(), words.tobytes(), n1.astype(np.int64).tobytes()]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        row = [table.column("bucket")[0].as_py(), int(n1.sum()), len(words), len(pairs), *(s.tolist() for s in spread), width, np.packbits(bits).tobytes(), words.tobytes(), n1.astype(np.int64).tobytes()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
     return sums.groupBy("bucket").applyInArrow(part, schema)
 
 
 class Model(NamedTuple):
-    """What goes to every worker: the filter's bits, where each bucket's part begins and how wide it is, the totals, the
-    power for successors, and the most frequent words with their exact counts (``floor``: all words with that count)."""
+    """What goes to every worker: the filter's bits (None where they stay a table), where each bucket's part begins and
+    how wide it is, the totals, the power for successors, and the most frequent words with their exact counts
+    (``floor``: all words with that count)."""
 
-    bits: np.ndarray
+    bits: np.ndarray | None
     begins: np.ndarray
     widths: np.ndarray
     tokens: int
@@ -182,18 +180,25 @@ def successor_power(spread: np.ndarray, spread_tokens: np.ndarray, n_pairs: int)
 
 def fitted(docs: DataFrame, text: str = "text", max_bytes: int = 256 << 20, frequent: int = 4_000_000) -> tuple[Model, DataFrame]:
     """The model of all ``docs``, and the exact counts of all their words (``word``, ``c``) as a table."""
+    return fitted_parts(docs, text, max_bytes, frequent)[:2]
+
+
+def fitted_parts(docs: DataFrame, text: str, max_bytes: int, frequent: int) -> tuple[Model, DataFrame, DataFrame]:
+    """``fitted``, and the filter's parts (``bucket``, ``width``, ``bits``) as a table."""
     spark = docs.sparkSession
     buckets = 1 << max(4, math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     n_texts = docs.count()
-    parts = stored(filter_parts(counted(docs, buckets, text), buckets, max_bytes), "lm-parts")
+    parts = stored(filter_parts(counted(docs, buckets, text)), "lm-parts")
     rows = parts.select("bucket", "tokens", "n_words", "n_pairs", "spread", "spread_tokens", "width", F.length("bits").alias("size")).collect()
     begins, widths = np.zeros(buckets, dtype=np.int64), np.ones(buckets, dtype=np.int64)
     for r, end in zip(rows, np.cumsum([r["size"] for r in rows]).tolist()):
         begins[r.bucket], widths[r.bucket] = (end - r["size"]) * 8, r.width
-    bits = np.zeros(sum(r["size"] for r in rows) + 1, dtype=np.uint8)  # max_bytes in all, filled part by part
-    for r in parts.select("bucket", "bits").toLocalIterator():
-        at = int(begins[r.bucket]) // 8
-        bits[at : at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
+    bits = None
+    if (size := sum(r["size"] for r in rows)) <= max_bytes:
+        bits = np.zeros(size + 1, dtype=np.uint8)  # filled part by part
+        for r in parts.select("bucket", "bits").toLocalIterator():
+            at = int(begins[r.bucket]) // 8
+            bits[at : at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
     spread, spread_tokens = (np.sum([r[n] for r in rows], axis=0) if rows else np.zeros(48, dtype=np.int64) for n in ("spread", "spread_tokens"))
     # The smallest power of two such that not too many words have that count.
     more = np.cumsum(spread[::-1])[::-1]
@@ -229,31 +234,40 @@ def fitted(docs: DataFrame, text: str = "text", max_bytes: int = 256 << 20, freq
 
         return each
 
-    return model, arrow_map(parts.select("words", "counts"), make_rows, "word long, c long")
+    return model, arrow_map(parts.select("words", "counts"), make_rows, "word long, c long"), parts.select("bucket", "width", "bits")
+
+
+def buckets_of(model: Model, keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - int(math.log2(len(model.begins))))).astype(np.int64)
 
 
 def counts_in_filter(model: Model, keys: np.ndarray) -> np.ndarray:
-    """The count that each key has by the filter: level after level, while all bits are set."""
-    shift = np.uint64(64 - int(math.log2(len(model.begins))))
-    bucket = (keys >> shift).astype(np.int64)
-    begin, width = model.begins[bucket], model.widths[bucket]
+    """The count that each key has by the filter."""
+    bucket = buckets_of(model, keys)
+    return MEANS[levels_in(model.bits, keys, model.begins[bucket], model.widths[bucket])]
+
+
+def levels_in(bits: np.ndarray, keys: np.ndarray, begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Level after level of each key, while all its bits are set in its part (``begin``, ``width``)."""
     level = np.zeros(len(keys), dtype=np.int64)
     alive = np.arange(len(keys))
     while len(alive) and level[alive[0]] < len(LEVELS):
         nxt = level[alive] + 1
         for probe in range(PROBES):
             at = begin[alive] + _bits(keys[alive], nxt, probe, width[alive]).astype(np.int64)
-            hit = (model.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            hit = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             alive, nxt = alive[hit], nxt[hit]
         level[alive] += 1
-    return MEANS[level]
+    return level
 
 
-def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray, where_one: np.ndarray) -> np.ndarray:
-    """log10 of each word's probability after the word before it; ``one[where_one]`` are the words."""
+def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray, where_one: np.ndarray, counts=None) -> np.ndarray:
+    """log10 of each word's probability after the word before it; ``one[where_one]`` are the words. ``counts`` gives the
+    filter's counts of keys; by default they are read from the model's bits."""
     _, pairs = pair_keys(words, sizes)
     two, where_two = np.unique(pairs, return_inverse=True)
-    cw, c2 = counts_in_filter(model, one)[where_one], counts_in_filter(model, two)[where_two]
+    counts = counts or (lambda keys: counts_in_filter(model, keys))
+    cw, c2 = counts(one)[where_one], counts(two)[where_two]
     cv = np.empty_like(cw)
     cv[1:] = cw[:-1]
     cv[np.cumsum(sizes) - sizes] = model.n_texts
@@ -264,11 +278,83 @@ def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: n
     return np.log10(np.where(cv > 0, np.minimum(p2, 1.0), p1))
 
 
-def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def asked_keys(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray) -> list[dict]:
+    """The distinct words and pairs of a slice of texts, dealt by bucket: ``bucket``, ``keys`` (ascending, packed)."""
+    keys = np.union1d(one, pair_keys(words, sizes)[1])
+    full, starts = np.unique(buckets_of(model, keys), return_index=True)
+    return [{"bucket": b, "keys": some.tobytes()} for b, some in zip(full.tolist(), np.split(keys, starts[1:]))]
+
+
+def looked_up(asks: DataFrame, parts: DataFrame) -> DataFrame:
+    """``chunk``, ``bucket``, ``keys`` and ``levels`` (packed) of ``asks`` (chunk, bucket, keys). A task reads its buckets
+    one after another: first the part, then what is asked of it, so it holds one part whatever the number of slices."""
+    no = lambda kind: F.lit(None).cast(kind)
+    rows = parts.select("bucket", no("long").alias("chunk"), "width", "bits", no("binary").alias("keys"))
+    rows = rows.unionByName(asks.select("bucket", "chunk", no("long").alias("width"), no("binary").alias("bits"), "keys"))
+
+    def make():
+        have, width, bits = -1, 0, None
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal have, width, bits
+            out = []
+            for bucket, chunk, w, part, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if part is not None:
+                    have, width, bits = bucket, w, np.frombuffer(part, dtype=np.uint8)
+                    continue
+                k = np.frombuffer(keys, dtype=np.uint64)
+                # A bucket without a part holds no n-gram.
+                level = levels_in(bits, k, np.zeros(len(k), np.int64), np.full(len(k), width)) if have == bucket else np.zeros(len(k), np.int64)
+                out.append((chunk, bucket, keys, level.astype(np.uint8).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 4, kinds)], ["chunk", "bucket", "keys", "levels"])
+
+        return each
+
+    # Nulls come first: the part before the asks.
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "width", "bits", "keys")
+    return arrow_map(rows, make, "chunk long, bucket int, keys binary, levels binary", 2000)
+
+
+def scores_by_table(first: DataFrame, parts: DataFrame, sent) -> DataFrame:
+    """``_row`` and ``by_table`` (the score) of the rows of ``first`` (row, chunk, words, asks), by the filter as a table."""
+    levels = looked_up(first.select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*"), parts)
+    no = lambda kind: F.lit(None).cast(kind)
+    both = first.select("chunk", "row", "words", no("int").alias("bucket"), no("binary").alias("keys"), no("binary").alias("levels"))
+    both = both.unionByName(levels.select("chunk", no("long").alias("row"), no("binary").alias("words"), "bucket", "keys", "levels"))
+    both = both.repartition("chunk").sortWithinPartitions("chunk", "row", "bucket").select("chunk", "row", "words", "keys", "levels")
+
+    def run(batches):
+        m = Model(*sent.value)
+        now, keys, levels = None, [], []
+
+        for batch in batches:
+            out = []
+            for chunk, row, words, k, q in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk != now:
+                    now, keys, levels = chunk, [], []
+                if row is None:  # the slice's levels, bucket after bucket, so all keys ascend
+                    keys.append(k)
+                    levels.append(q)
+                    continue
+                if isinstance(keys, list):
+                    keys, levels = np.frombuffer(b"".join(keys), dtype=np.uint64), np.frombuffer(b"".join(levels), dtype=np.uint8)
+                own = np.frombuffer(words, dtype=np.uint64)
+                one, where_one = np.unique(own, return_inverse=True)
+                logs = log_probabilities(m, own, np.array([len(own)]), one, where_one, lambda x: MEANS[levels[np.searchsorted(keys, x)]])
+                out.append((row, float(logs.sum())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.float64()))], ["_row", "by_table"])
+
+    return both.mapInArrow(run, "_row long, by_table double")
+
+
+def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", max_bytes: int = 256 << 20, frequent: int = 4_000_000) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score``; learnt from the rows that are not held out."""
     rows = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    model, rest = fitted(rows.where(~F.col("held_out")), **options)
+    model, rest, parts = fitted_parts(rows.where(~F.col("held_out")), "text", max_bytes, frequent)
+    by_table = model.bits is None
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def make():
@@ -276,17 +362,17 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
         total = math.log10(m.tokens + m.n_words + 1)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            held, rows_ = batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("row").to_pylist()
             texts = utf8_column(batch.column("text"))
             out: list[tuple] = []
             at = 0
             for slice_ in in_slices(texts):
                 some = hashed(slice_)
-                own, at = held[at : at + len(some)], at + len(some)
+                own, chunk, at = held[at : at + len(some)], rows_[at], at + len(some)
                 sizes = np.array([len(s) for s in some])
                 words, owner = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
                 one, where_one = np.unique(words, return_inverse=True)
-                logs = log_probabilities(m, words, sizes, one, where_one)
+                logs = np.zeros(len(words)) if by_table else log_probabilities(m, words, sizes, one, where_one)
                 place = np.minimum(np.searchsorted(m.words, one), max(0, len(m.words) - 1))
                 c = np.where(m.words[place] == one, m.counts[place].astype(np.int64), -1) if len(m.words) else np.full(len(one), -1)
                 c = c[where_one]
@@ -299,21 +385,34 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
                 known = np.bincount(owner, weights=c > 0, minlength=len(some)).astype(np.int64)
                 score = np.bincount(owner, weights=logs, minlength=len(some))
                 asked = np.split(words[ask].view(np.int64), np.cumsum(np.bincount(owner[ask], minlength=len(some)))[:-1])
-                out += zip(sizes.tolist(), known.tolist(), base.tolist(), score.tolist(), asked)
+                more = []
+                if by_table:
+                    asks = [asked_keys(m, words, sizes, one)] + [None] * (len(some) - 1)
+                    more = [[chunk] * len(some), [s.tobytes() for s in some], asks]
+                out += zip(sizes.tolist(), known.tolist(), base.tolist(), score.tolist(), asked, *more)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            if by_table:
+                kinds += (pa.int64(), pa.binary(), pa.list_(pa.struct([("bucket", pa.int32()), ("keys", pa.binary())])))
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))], names)
 
         return each
 
     schema = rows.select(F.lit(0).cast("bigint").alias("row"), "doc_id", "held_out").schema
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "ask"]
+    more = ""
+    if by_table:
+        names += ["chunk", "words", "asks"]
+        more = ", chunk long, words binary, asks array<struct<bucket: int, keys: binary>>"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    first = stored(arrow_map(numbered, make, f"{fields}, n_tokens long, known long, base double, score double, ask array<long>"), "lm-scores")
+    first = stored(arrow_map(numbered, make, f"{fields}, n_tokens long, known long, base double, score double, ask array<long>{more}"), "lm-scores")
     total = math.log10(model.tokens + model.n_words + 1)
     asked = first.select("row", F.explode("ask").alias("word")).join(rest, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     asked = asked.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log10(F.col("c") + 1) - total).alias("more_base"), F.sum((F.col("c") > 0).cast("bigint")).alias("more_known"))
-    out = first.drop("ask").join(asked, F.col("row") == F.col("_row"), "left")
+    out = first.drop("ask").join(asked, F.col("row") == F.col("_row"), "left").drop("_row")
+    if by_table:
+        out = out.join(scores_by_table(first.select("row", "chunk", "words", "asks"), parts, sent), F.col("row") == F.col("_row"))
+        out = out.withColumn("score", F.col("by_table"))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",

@@ -217,3 +217,10 @@ def test_tree_is_depth_first_with_ancestors_in_reach(spark, frame):
         reach = {i for a, b in layout[n].attends for i in range(a, b)}
         assert reach == {i for m in ancestors for i in range(layout[m].start, layout[m].start + layout[m].n_tokens)}
         assert layout[n].first_position == len(reach)
+
+
+def test_filter_keeps_every_pair_and_scores_do_not_hang_on_its_bound(frame):
+    draw = random.Random(9)
+    docs = frame([(i, " ".join(f"w{draw.randrange(400)}" for _ in range(draw.randint(0, 300))), "r", 0.0) for i in range(300)] + [(999, None, None, None)], DOCS).repartition(3)
+    scores = lambda **o: sorted((r.doc_id, round(r.score, 6)) for r in bloom_lm.scored(docs, remainder(F.col("doc_id"), 7) == 2, **o).collect())
+    assert scores(max_bytes=1000) == scores() and len(scores(max_bytes=0)) == 301
