@@ -13,8 +13,9 @@ confirmed on their full sets. A link that a signature's bands would miss has a c
 than one in a million, at a similarity of exactly 0.8.
 
 Defined cases: a null text, and one without words, has the empty set and links with nothing; a text of fewer words than
-a shingle is one shingle; rows with one id and one text are copies; an empty table gives an empty table; only the id
-and the text are read, so other columns may have any name.
+a shingle is one shingle; rows are told apart by a stored number, so ids may repeat or be null (a component has the
+smallest id that is not null, and keeps one row of it); an empty table gives an empty table; only the id and the text
+are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -91,8 +92,18 @@ def signer(bands: int = BANDS, rows: int = ROWS, ring: int = RING, seed: int = 7
     return sign
 
 
-def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``cls`` (digest of the set, null if empty); with the first row of a class in
+def numbered(docs: DataFrame, key: str, text: str, whole: bool) -> DataFrame:
+    """``number``, ``doc_id`` and ``text`` of each row, and with ``whole`` the row itself (``doc``), stored once: a row's
+    number is the same wherever it is read again."""
+    number = F.monotonically_increasing_id().alias("number")
+    if not whole:
+        return stored(docs.select(number, F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "minhash-docs")
+    rows = stored(docs.select(number, F.struct("*").alias("doc")), "minhash-docs")
+    return rows.select("number", F.col("doc")[key].cast("bigint").alias("doc_id"), F.col("doc")[text].alias("text"), "doc")
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """Per row: ``number``, ``doc_id``, ``n_shingles``, ``cls`` (digest of the set, null if empty); with the first row of a class in
     a task also ``bands`` (one key each) and ``sig`` (the low byte of each coordinate)."""
 
     def make():
@@ -100,7 +111,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
         number = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = hashed(utf8_column(batch.column(1)))
+            sets = hashed(utf8_column(batch.column(2)))
             names = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
             bands, sigs = [None] * len(sets), [None] * len(sets)
             for i, (name, s) in enumerate(zip(names, sets)):
@@ -114,15 +125,14 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                         keys = mixed(keys + column)
                 bands[i], sigs[i] = keys.view(np.int64), (sig & np.uint32(255)).astype(np.uint8).tobytes()
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "cls", "bands", "sig"],
+                ["number", "doc_id", "n_shingles", "cls", "bands", "sig"],
             )
 
         return each
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(rows, make, "doc_id long, n_shingles long, cls binary, bands array<long>, sig binary")
+    return arrow_map(docs.select("number", "doc_id", "text"), make, "number long, doc_id long, n_shingles long, cls binary, bands array<long>, sig binary")
 
 
 def least_alike(at_least: tuple[int, int]) -> float:
@@ -151,37 +161,35 @@ def likely(pairs: DataFrame, classes: DataFrame, at_least: tuple[int, int]) -> D
     return arrow_map(pairs.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
-def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``node``, ``cls`` and a text of each of ``nodes``."""
-    wanted = stored(nodes.distinct().join(classes.select("node", "cls", "first_doc"), "node"), "minhash-ends")
-    rows = docs.select(F.col(key).cast("bigint").alias("first_doc"), F.col(text).alias("text"))
-    return stored(rows.join(broadcast_if_small(wanted, 1_000_000), "first_doc").select("node", "cls", "text"), "minhash-texts")
+def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node``, ``cls`` and a text of each of ``nodes``: that of one row of the class."""
+    wanted = stored(nodes.distinct().join(classes.select("node", "cls", "number"), "node"), "minhash-ends")
+    return stored(docs.select("number", "text").join(broadcast_if_small(wanted, 1_000_000), "number").select("node", "cls", "text"), "minhash-texts")
 
 
 def named_sets(words: int, keep: int = 300):
-    """A function from a class and a text to the class's set; None where an id names another text than the class's."""
+    """A function from a class and its text to the class's set."""
     hashed = shingle_hasher(words)
-    kept: dict[bytes, np.ndarray | None] = {}
+    kept: dict[bytes, np.ndarray] = {}
 
-    def shingles(name: bytes, text: bytes) -> np.ndarray | None:
+    def shingles(name: bytes, text: bytes) -> np.ndarray:
         if name not in kept:
             if len(kept) >= keep:
                 kept.clear()
-            s = hashed([text])[0]
-            kept[name] = s if hashlib.blake2b(s, digest_size=16).digest() == name else None
+            kept[name] = hashed([text])[0]
         return kept[name]
 
     return shingles
 
 
-def reaches(s: np.ndarray | None, t: np.ndarray | None, at_least: tuple[int, int]) -> bool:
-    both = 0 if s is None or t is None else len(np.intersect1d(s, t, assume_unique=True))
+def reaches(s: np.ndarray, t: np.ndarray, at_least: tuple[int, int]) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
     return both > 0 and at_least[1] * both >= at_least[0] * (len(s) + len(t) - both)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, at_least: tuple[int, int]) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, at_least: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` whose full sets reach the threshold."""
-    texts = class_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, key, text)
+    texts = class_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs)
     for name in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("node").alias(name), F.col("cls").alias(f"cls_{name}"), F.col("text").alias(f"text_{name}")), name)
 
@@ -218,14 +226,14 @@ def rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, key: str, text: str, words: int, at_least: tuple[int, int]) -> DataFrame | None:
+def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, docs: DataFrame, words: int, at_least: tuple[int, int]) -> DataFrame | None:
     """Links (a, b) between different components in the buckets ``large`` (key, node), those of a forest in each block."""
     rows = rooted(large, labels) if labels is not None else large.withColumn("root", F.col("node"))
     mixed_ones = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     rows = stored(rows.join(mixed_ones.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "key"), "minhash-open")
     if rows.isEmpty():
         return None
-    sides = stored(class_texts(rows.select("node"), classes, docs, key, text).join(classes.select("node", "n", "bands", "sig"), "node"), "minhash-sides")
+    sides = stored(class_texts(rows.select("node"), classes, docs).join(classes.select("node", "n", "bands", "sig"), "node"), "minhash-sides")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # Block b meets every block: as the smaller number it is side 0, as the larger side 1, with itself side 0.
     pair = F.transform(
@@ -289,10 +297,15 @@ def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, d
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, at_least: tuple[int, int] = AT_LEAST) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id that links reach,
-    itself included) and ``kept`` (it is that id)."""
-    every = stored(sketches(docs, key, text, words), "minhash-rows")
+    itself included) and ``kept`` (one row with that id)."""
+    return grouped(numbered(docs, key, text, False), words, at_least).drop("number")
+
+
+def grouped(docs: DataFrame, words: int, at_least: tuple[int, int]) -> DataFrame:
+    """``near_duplicates`` of ``numbered`` rows, with their ``number``."""
+    every = stored(sketches(docs, words), "minhash-rows")
     classes = every.where("cls is not null").groupBy("cls").agg(
-        F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"),
+        F.min("number").alias("number"), F.first("n_shingles").alias("n"),
         F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig"),
     )
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
@@ -300,23 +313,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pairs = stored(likely(pairs, classes, at_least), "minhash-pairs")
     links = labels = None
     if not pairs.isEmpty():
-        links = stored(confirmed(pairs, classes, docs, key, text, words, at_least), "minhash-links")
+        links = stored(confirmed(pairs, classes, docs, words, at_least), "minhash-links")
         labels = components(links)
-    more = open_links(large, labels, classes, docs, key, text, words, at_least)
+    more = open_links(large, labels, classes, docs, words, at_least)
     if more is not None:
         more = stored(more, "minhash-more")
         if not more.isEmpty():
             labels = components(more if links is None else links.unionByName(more))
-    rows = every.select("doc_id", "n_shingles", "cls").join(classes.select("cls", "node"), "cls", "left")
+    rows = every.select("number", "doc_id", "n_shingles", "cls").join(classes.select("cls", "node"), "cls", "left")
     rows = rows.withColumn("root", F.col("node")) if labels is None else rooted(rows, labels)
-    firsts = rows.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min("doc_id").alias("first_doc"))
+    firsts = rows.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first"))
     out = rows.join(firsts, F.col("root") == F.col("_r"), "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("first_doc"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = F.col("cls").isNull() | (F.col("number") == F.col("first.number"))
+    return out.select("number", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; rows with one id share its fate."""
-    gone = near_duplicates(docs, key, text, **options).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    gone = stored(gone, "minhash-gone")
-    return docs.join(broadcast_if_small(gone, 1_000_000), key, "left_anti")
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, at_least: tuple[int, int] = AT_LEAST) -> DataFrame:
+    """``docs`` with one row of each component, one with its smallest id; rows are taken one by one, whatever their ids."""
+    rows = numbered(docs, key, text, True)
+    gone = stored(grouped(rows, words, at_least).where(~F.col("kept")).select("number"), "minhash-gone")
+    return rows.select("number", "doc").join(broadcast_if_small(gone, 1_000_000), "number", "left_anti").select("doc.*")

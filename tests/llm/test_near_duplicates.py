@@ -122,3 +122,16 @@ def test_lattice_against_all_pairs(frame, block):
     assert all(got[i][0] <= n[i] for i in ids) and missed <= 0.01 * len(links)
     assert got.keys() == set(ids) and {i: got[i][1] for i in ids} == want
     assert lattice.near_vectors(frame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_minhash_with_repeated_and_null_ids(frame):
+    long = " ".join(f"w{i}" for i in range(100))
+    near = lambda w: f"{w} {long}"
+    rows = [(7, "a text of its own that is nowhere else", "own", 1), (7, near("x"), "x", 1), (8, near("y"), "y", 1)]
+    rows += [(None, "null ids link as well " + near("p").replace("w", "v"), "p", 1), (None, "null ids link as well " + near("q").replace("w", "v"), "q", 1)]
+    rows += [(3, "copies with the smallest id", "c", 1)] * 3 + [(None, "copies with the smallest id", "n", 1)]
+    table = frame(rows, DOCS).coalesce(1)
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_duplicates(table).collect())
+    assert got == sorted([("7", "7", True)] * 2 + [("8", "7", False)] + [("None", "None", True), ("None", "None", False)] + [("3", "3", True)] + [("3", "3", False)] * 2 + [("None", "3", False)])
+    left = [r.sig for r in minhash.without_near_duplicates(table).collect()]
+    assert len(left) == 4 and {"own", "x", "c"} < set(left) and len({"p", "q"} & set(left)) == 1
