@@ -6,7 +6,9 @@ its file number, its offset in that file's ids, its count, and the ids as a list
 delta encoded. Row groups and pages are small, and pages carry an index, so that a read of some documents, or of the
 metadata alone, touches only their pages.
 
-Defined cases: a null text is empty (its ids are the end id alone); rows with one id follow one another in text order;
+Defined cases: a null text is empty (its ids are the end id alone); the vocabulary's added tokens inside a text are
+ordinary text to ``write_tokens`` unless ``added``, and are found as ``Tokenizer.encode`` finds them in the digest and in
+``token_counts``; rows with one id follow one another in text order;
 null ids come first; an empty table gives a store without documents.
 """
 
@@ -42,18 +44,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 400_000, whole: int = 100):
+def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 400_000, whole: int = 100, added: bool = False):
     """A function from texts to arrays of token ids, for use inside a task.
 
     Merges never cross a piece of the pre-tokenizer, and pieces never cross a space before a word. So a text is cut at
     its spaces; each distinct word is encoded once, and after that its place in one long array of ids is looked up and
     a text's ids are gathered from there. About ``keep`` words and ``keep_pieces`` pieces are remembered (then that
-    memory is emptied), none longer than ``whole`` characters for long. Control strings in a text are ordinary text.
+    memory is emptied), none longer than ``whole`` characters for long. Control strings in a text are ordinary text; with
+    ``added`` a text is cut at the vocabulary's added tokens first, and these get their own ids.
     """
     import regex
     from tokenizers import Tokenizer
 
-    tokenize = Tokenizer.from_file(path or tokenizer_path()).model.tokenize
+    tokenizer = Tokenizer.from_file(path or tokenizer_path())
+    tokenize = tokenizer.model.tokenize
+    own = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} if added else {}
+    if added and any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("added tokens that take in white space or stand as words alone are not supported")
+    cut_added = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split if own else None
     signs = byte_signs()
     split = regex.compile(PIECES).findall
     inner = re.compile(r" \s").search
@@ -62,7 +70,14 @@ def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int
     ids, starts, sizes = [np.zeros(0, dtype=kind) for kind in (np.uint16, np.int64, np.int64)]
 
     def words(text: str) -> list[str | tuple[str]]:
-        """A word stands for a space and itself, a tuple for what it holds. White space is never cut within a run."""
+        """A word stands for a space and itself, a tuple for what it holds (with None before it an added token). White
+        space is never cut within a run."""
+        if cut_added and any(t in text for t in own):
+            parts = cut_added(text)
+            return [w for i, p in enumerate(parts) if p for w in ([(None, p)] if i % 2 else plain(p))]
+        return plain(text)
+
+    def plain(text: str) -> list[str | tuple[str]]:
         if inner(text):
             return [(p,) for p in split(text)]
         out: list = text.split(" ")
@@ -78,6 +93,8 @@ def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int
         return got
 
     def of_word(word: str | tuple[str]) -> bytes:
+        if isinstance(word, tuple) and len(word) == 2:
+            return array("H", [own[word[1]]]).tobytes()
         text = word[0] if isinstance(word, tuple) else " " + word
         body = text[1:]
         if body.isalpha() and (text[0] == " " or text.isalpha()):  # a space and letters are one piece
@@ -131,7 +148,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end:
     """``doc_id`` and ``n_tokens`` (with ``end`` ids at the end) of every whole text."""
 
     def make():
-        encode = piece_encoder()
+        encode = piece_encoder(added=True)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -146,6 +163,7 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end:
 def write_tokens(
     docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 2, parts: int | None = None,
     row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 2000,
+    added: bool = False,
 ) -> None:
     """Encode every whole text, append ``end_id``, and write the store to ``path``: one exchange, by range of id."""
     spark = docs.sparkSession
@@ -158,7 +176,7 @@ def write_tokens(
     )
 
     def make():
-        encode = piece_encoder()
+        encode = piece_encoder(added=added)
         tail = np.array([end_id], dtype=np.uint32)
         so_far = 0
 
@@ -229,5 +247,5 @@ def with_crc(rows: DataFrame) -> DataFrame:
 def stored_digest(docs: DataFrame) -> DataFrame:
     """Write ``docs`` as a token store in the shared folder, read it back, and describe each document from its ids."""
     path = shared_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, added=True)
     return with_crc(read_tokens(docs.sparkSession, path))

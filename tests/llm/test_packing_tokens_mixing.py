@@ -143,3 +143,17 @@ def test_mix_against_sorting(frame):
     assert mixed.columns == ["doc_id", "text", "source", "row", "n"]
     words = sum(len(r.text.split()) for r in mixed.collect() if r.text)
     assert words == sum(taken.values())
+
+
+def test_added_tokens_are_the_librarys(frame):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokens.tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"{end}{end} x", f"word{end}word  {end}\n", f"  {end}  two", "<|endoftext", f"x<{end}>", "plain text", f"it's 12² {end}."]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.piece_encoder(added=True)(texts)] == want
+    docs = frame([(i, t, "s", "ids", i) for i, t in enumerate(texts)], DOCS)
+    crc = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.stored_digest(docs).collect()}
+    assert crc == {i: (len(w) + 1, zlib.crc32(np.array(w + [2], "<u4").tobytes())) for i, w in enumerate(want)}
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs).collect()} == {i: len(w) + 1 for i, w in enumerate(want)}
