@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bloom_lm, chat, fingerprints, html_text, lattice, minhash, mixing, packing, tokens, toxicity
+from corpusmill.llm import bloom_lm, chat, divergence, filter_audit, fingerprints, html_text, lattice, minhash, mixing, packing, tokens, toxicity, warc
 from corpusmill.llm.common import remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,18 @@ def op10_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text")
     )
     return chat.formatted(rows.unionByName(extra))
+
+
+@query(divergence.SQL)
+def op11_run_length_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(filter_audit.SQL)
+def op12_filter_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(warc.SQL)
+def op13_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_digest(table(spark, sf_dir, "pages"))
