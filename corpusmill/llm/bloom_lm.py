@@ -209,16 +209,16 @@ def fitted_parts(docs: DataFrame, text: str, max_bytes: int, frequent: int) -> t
             out = []
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = np.frombuffer(c, dtype=np.int64)
-                out.append((np.frombuffer(w, dtype=np.uint64)[n >= floor].tobytes(), n[n >= floor].astype(np.uint32).tobytes()))
+                out.append((np.frombuffer(w, dtype=np.uint64)[n >= floor].tobytes(), n[n >= floor].astype(np.uint64).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["words", "counts"])
 
         return each
 
     n = int(more[int(math.log2(floor))]) if rows else 0
-    words, counts, at = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint32), 0  # `frequent` entries of 12 bytes
+    words, counts, at = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), 0  # `frequent` entries of 16 bytes
     for r in arrow_map(parts.select("words", "counts"), make_frequent, "words binary, counts binary").toLocalIterator():
         some = np.frombuffer(r.words, dtype=np.uint64)
-        words[at : at + len(some)], counts[at : at + len(some)] = some, np.frombuffer(r.counts, dtype=np.uint32)
+        words[at : at + len(some)], counts[at : at + len(some)] = some, np.frombuffer(r.counts, dtype=np.uint64)
         at += len(some)
     order = np.argsort(words)
     model = Model(

@@ -105,7 +105,8 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     plan = stored(thresholds(sizes, stored(targets(totals, weights, max_repeat, share), "mix-targets")), "mix-plan")
     plan = plan.withColumnRenamed("source", "_s")
     rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), sized.alias("size"), row_hash(F.col(key)).alias("h"))
-    taken = F.col("copies") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    # A budget of nothing takes nothing, not even rows of size 0.
+    taken = F.col("copies") + F.when((F.col("budget") > 0) & (F.col("h") < F.col("threshold")), 1).otherwise(0)
     return rows.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left").select(
         "row", "size", "source_size", "target", taken.alias("copies")
     )

@@ -11,7 +11,8 @@ in toxic documents make the lexicon. A logistic function of the strongest weight
 of hits and the length gives the score; it is fitted on documents that the weights it sees were not counted on.
 
 Defined cases: a null or empty text has no words and gets the score of a document without hits; labels that are null
-are left out, several labels of one id count as their largest; without labels, or with one class alone, every score is
+are left out, several labels of one id count as their largest; tokens and spaced runs of any length are decoded, long ones
+in overlapping windows; a token of digits alone is a number and is not decoded; without labels, or with one class alone, every score is
 the share of toxic labels (0 without labels); repeated rows score alike; writing other than Latin is scored as written;
 an empty table gives an empty table. Columns of the input are kept in the struct ``row`` whatever their names.
 """
@@ -45,9 +46,18 @@ LEET = {
 READ, DROP, END, CUT = 1.5, 1.2, 1.5, 0.7
 #: Readings kept: this many, and this close to the best in nats.
 READINGS, MARGIN, BEAM = 3, 2.5, 24
+#: A long run is decoded in windows of so many characters and the overlap with the next.
+WINDOW, OVERLAP = 200, 40
+#: A letter comes twice for nothing if the model's log probability for it after itself is below this.
+RARE = -4.5
 
 _SIGNS = re.escape("".join(LEET)) + r".\-_'·,:;/\\~^"
-_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|(?:^|\s)[{re.escape(''.join(LEET))}]{{1,2}}[^\W\d_]|[^\W\d_][{re.escape(''.join(LEET))}]{{1,2}}$|([^\W\d_])\1\1")
+_LEET, _MARKS = re.escape("".join(LEET)), re.escape("".join(c for c in LEET if not c.isdigit()))
+#: Marks between letters, a sign beside a letter, two signs of which one is no digit, or a letter three times.
+_DISGUISED = re.compile(
+    rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|[{_LEET}][{_SIGNS}]*[^\W\d_]|[^\W\d_][{_SIGNS}]*[{_LEET}]|[{_MARKS}][{_LEET}]|[{_LEET}][{_MARKS}]|([^\W\d_])\1\1"
+)
+_TWICE = re.compile(r"(?=(.?)([^\W\d_])\2)")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _EDGE = re.compile(r"^[^\w@$!+|(<€£]+|([^\w\s])\1{2,}$|[.,;:?\")\]]+$")
 _RUN = re.compile(r"([^\W\d_])\1*|.", re.S)
@@ -104,7 +114,7 @@ def decoder(model: np.ndarray):
             run = m.group()
             c = run[0]
             if c in CODE:
-                steps.append([(run, 0.0)] if len(run) < 3 else [(c, CUT), (c + c, CUT), (run[:40], 0.0)])
+                steps.append([(c, 0.0)] if len(run) == 1 else [(c, CUT), (run, 0.0)] if len(run) == 2 else [(c, CUT), (c + c, CUT), (run, 0.0)])
             elif c.isspace():
                 steps.append([(" ", 0.0), ("", DROP / 2)])
             else:
@@ -143,21 +153,31 @@ def decoder(model: np.ndarray):
 def word_reader(model: np.ndarray):
     """Functions from a token to its restored words, and from a text to the disguised runs of single letters in it."""
     decode = decoder(model)
+    rare = (np.diagonal(model, axis1=1, axis2=2) < RARE).tolist()
+
+    def odd(core: str) -> bool:
+        """Whether a letter comes twice where the model hardly knows it twice."""
+        return any(rare[CODE.get(m[1], 0)][CODE.get(m[2], 0)] for m in _TWICE.finditer(core))
+
+    def windows(run: str):
+        """Overlapping parts of a run of any length."""
+        return (run[at : at + WINDOW + OVERLAP] for at in range(0, max(1, len(run) - OVERLAP), WINDOW))
 
     def words_of(token: str) -> set[str]:
         core = _EDGE.sub("", token)
         words = set(re.findall(r"[^\W\d_]+", core))
-        if len(core) <= 400 and _DISGUISED.search(core):
-            for reading in decode(core):
-                words.update(reading.split())
+        for part in windows(core):
+            if _DISGUISED.search(part) or odd(part):
+                for reading in decode(part):
+                    words.update(reading.split())
         return words
 
     def spaced(text: str) -> set[str]:
         words: set[str] = set()
         for m in _SPACED.finditer(text):
             run = m.group()
-            for at in range(0, len(run), 200):
-                for reading in decode(run[at : at + 240]):
+            for part in windows(run):
+                for reading in decode(part):
                     words.update(w for w in reading.split() if len(w) > 2)
         return words
 
@@ -191,7 +211,7 @@ def feature_reader(model: np.ndarray, keep: int = 100_000):
     return read
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int = 40_000, lexicon: int = 50_000, least: int = 3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int = 40_000, least: int = 3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """The lexicon and the logistic function, from at most about ``sample_rows`` labelled rows (by hash of the id)."""
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     n = marks.count()
@@ -243,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int
         t, o = toxic + 0.5, other + 0.5
         odds = F.log(t / (pos + 1.0)) - F.log(o / (neg + 1.0)) - 2 * F.sqrt(1 / t + 1 / o)
         able = sums.where(toxic >= least).withColumn("weight", odds).where("weight > 0.7")
-        return {r.feature: r.weight for r in able.orderBy(F.desc("weight"), "feature").limit(lexicon).select("feature", "weight").collect()}
+        return {r.feature: r.weight for r in able.select("feature", "weight").collect()}  # of ``sample_rows`` texts
 
     sums = stored(sums.where("t0 + t1 >= 2"), "toxic-features")
     half = weights(F.col("t0"), F.col("o0"), size[1, 0], size[0, 0])
@@ -302,9 +322,11 @@ def scorer(fitted: dict, model: np.ndarray, keep: int = 400_000):
                     bad[t] = h
                 else:
                     clean.add(t)
+        found = [bad[t] for t in new if t in bad] + [h for w in spaced(low) if (h := best({w}))]
         if len(clean) > keep:
             clean.clear()
-        found = [bad[t] for t in new if t in bad] + [h for w in spaced(low) if (h := best({w}))]
+        if len(bad) > keep // 4:
+            bad.clear()
         found = heapq.nlargest(20, found)
         return [1.0, found[0] if found else 0.0, sum(found[:10]), float(len(found)), math.log1p(len(tokens))]
 

@@ -280,18 +280,25 @@ def _records(frames: DataFrame, path: str, ranges: bool) -> DataFrame:
     return frames.mapInArrow(run, RECORDS)
 
 
+def dealt(frames: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """``frames`` in tasks of about ``task_bytes`` of compressed bytes. A frame's row is small whatever its frame holds, so
+    the number of tasks cannot be left to the size of the rows."""
+    frames = stored(frames, "warc-frames")
+    tasks = -(-(frames.agg(F.sum("frame_size")).first()[0] or 1) // task_bytes)
+    return frames.repartition(int(tasks), "bundle", F.floor(F.col("frame") / 4)).sortWithinPartitions("bundle", "frame")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record, frame by frame, each response checked against its digest (``RECORDS``)."""
-    frames = read_index(spark, path).select("bundle", "frame", "frame_size").distinct()
-    return _records(frames.repartition("bundle", F.floor(F.col("frame") / 16)).sortWithinPartitions("bundle", "frame"), path, False)
+    return _records(dealt(read_index(spark, path).select("bundle", "frame", "frame_size").distinct()), path, False)
 
 
 def read_records(path: str, wanted: DataFrame) -> DataFrame:
     """The records of ``wanted`` (record_id), read from their frames alone."""
     ids = wanted.select("record_id").distinct()
     places = read_index(wanted.sparkSession, path).join(broadcast_if_small(ids), "record_id")
-    frames = places.groupBy("bundle", "frame").agg(F.collect_set(F.struct("offset", "length")).alias("places"))  # those of one frame
-    return _records(frames.sortWithinPartitions("bundle", "frame"), path, True)
+    frames = places.groupBy("bundle", "frame", "frame_size").agg(F.collect_set(F.struct("offset", "length")).alias("places"))  # those of one frame
+    return _records(dealt(frames), path, True)
 
 
 def restored(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
@@ -157,3 +157,15 @@ def test_added_tokens_are_the_librarys(frame):
     crc = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.stored_digest(docs).collect()}
     assert crc == {i: (len(w) + 1, zlib.crc32(np.array(w + [2], "<u4").tobytes())) for i, w in enumerate(want)}
     assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs).collect()} == {i: len(w) + 1 for i, w in enumerate(want)}
+
+
+def test_rows_without_size_are_not_repeated_beyond_the_limit(frame):
+    """A source at its cap, with empty rows, beside a source that has nothing else."""
+    rows = [(i, "a b" if i % 2 else "", "small", "copies", i) for i in range(20)] + [(100 + i, "w " * 900, "x-large", "copies", i) for i in range(9)]
+    rows += [(200 + i, "" if i else None, "void", "copies", i) for i in range(5)]
+    table = frame(rows, DOCS)
+    got = {r["row"]["doc_id"]: r for r in mixing.mix(table, word_count(F.col("text"))).collect()}
+    assert max(r["copies"] for r in got.values()) == 3
+    assert all(got[i]["copies"] == 0 and got[i]["target"] == 0 for i in range(200, 205))
+    taken = Counter(r["doc_id"] for r in mixing.mixed_rows(table, word_count(F.col("text"))).collect())
+    assert all(taken[i] == r["copies"] for i, r in got.items())
