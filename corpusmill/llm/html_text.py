@@ -2,10 +2,12 @@
 
 The standard library's parser streams a page's tags and text. Text between the borders of block elements is a *line*;
 its ratio is its text's length to the number of tags in it. The ratios are smoothed with a Gaussian over neighbouring
-lines and split into two clusters; lines of the upper one that are not mostly links are content. The content region is
-the article or main element with the most content or, without one, the deepest element that holds nearly all of it; its
-lines are the text, short ones between long ones too. Elements whose tag, role or class says that they are navigation,
-header, footer, sidebar, notice, advert, form or comments are no part of it, nor are lists of links.
+lines, weighed, and split into two clusters; lines of the upper one are content. A line weighs a quarter for each element
+around it whose tag, role or class says navigation, header, footer, sidebar, notice, advert, form or comments, and for a
+list of links, and less the more of it is links: such a line is content only where the rest of the page is no better, as
+on a page that is one form. Content lines in one article or main element, or outside of such, make a region; what
+weighs as much and lies between them belongs to it, as do headings and running text next to them whose smoothed ratio
+is not far below the border. All regions are the text: sibling articles, and a lead beside an article, keep theirs.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; broken and truncated markup is read as far as it
 goes, an unfinished tag at the end is dropped; repeated rows are read alike; an empty table gives an empty table. Only
@@ -34,8 +36,10 @@ BLOCK = {
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 UNREAD = {
     "script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video",
-    "button", "select", "option", "datalist", "textarea", "label", "input", "form", "fieldset", "nav", "footer", "aside", "menu", "dialog",
+    "button", "select", "option", "datalist", "textarea", "label", "input", "legend",
 }
+ASIDE = {"form", "fieldset", "nav", "footer", "aside", "menu", "dialog"}
+FLOW = HEADINGS | {"p", "blockquote", "pre", "li", "dd", "dt", "td", "th", "figcaption", "b", "i", "em", "strong", "span", "a"}
 UNREAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
 UNREAD_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "adbox", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
@@ -48,6 +52,9 @@ UNREAD_NAMES = {
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"article", "aside", "body", "div", "dl", "figure", "footer", "form", "header", "html", "li", "main", "nav", "ol", "section", "table", "td", "th", "ul"}
 
+#: What text in an element beside the matter counts; how far below the border, as a share, a line next to content may lie.
+LOW, NEAR = 0.25, 0.4
+
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -58,7 +65,7 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # Elements: parent, tag, whether its content is left out ("no"), left out by its name ("named") or read ("").
+        # Elements: parent, tag, and whether its content is never read ("no") or counts little by its tag or role ("low") or name ("named").
         self.parent, self.tag, self.left_out = [-1], [""], [""]
         self.open = [0]
         self.lines: list[tuple[int, str, int, int]] = []  # element, text, tags, characters in links
@@ -87,7 +94,7 @@ class _Page(HTMLParser):
         self.left_out.append(self.kind(tag, dict(attrs)))
         self.open.append(len(self.tag) - 1)
         self.links += tag == "a"
-        self.muted += tag not in BLOCK and self.left_out[-1] != ""
+        self.muted += tag not in BLOCK and self.left_out[-1] == "no"
 
     def implied(self, tag: str) -> None:
         """Close what the start of this block element closes by itself."""
@@ -103,16 +110,14 @@ class _Page(HTMLParser):
 
     def close_to(self, at: int) -> None:
         self.links -= sum(self.tag[e] == "a" for e in self.open[at:])
-        self.muted -= sum(self.tag[e] not in BLOCK and self.left_out[e] != "" for e in self.open[at:])
+        self.muted -= sum(self.tag[e] not in BLOCK and self.left_out[e] == "no" for e in self.open[at:])
         del self.open[at:]
 
     def kind(self, tag: str, attrs: dict) -> str:
         if tag in UNREAD or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
             return "no"
-        if (attrs.get("role") or "").lower() in UNREAD_ROLES:
-            return "no"
-        if tag == "header":
-            return "named"
+        if tag in ASIDE or (attrs.get("role") or "").lower() in UNREAD_ROLES:
+            return "low"
         if tag in ("html", "body", "main"):
             return ""
         names = {n.lower() for a in ("class", "id") for n in _NAME.findall(attrs.get(a) or "")}
@@ -169,40 +174,46 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str) -> str:
-    page = _Page()
-    page.feed(html)
-    page.finish()
-    if not page.lines:
-        return ""
+def weights(page: _Page) -> tuple[np.ndarray, np.ndarray]:
+    """How much an element's text counts, by what it and the elements around it are, and the article or main element
+    around it (0 without one)."""
     tag, parent = page.tag, page.parent
     n = len(tag)
-
     # Named containers that hold a page's title or main element are wrappers, not what their name says.
     holds = [t in ("h1", "main") for t in tag]
     for e in range(n - 1, 0, -1):
         if holds[e]:
             holds[parent[e]] = True
-    out, within_header = [False] * n, [False] * n
+    weight, root = np.ones(n), np.zeros(n, dtype=np.int64)
+    in_header = [False] * n
     for e in range(1, n):
-        p = parent[e]
-        kind = page.left_out[e]
-        named = kind == "named" and tag[e] != "header" and not holds[e]
-        out[e] = out[p] or kind == "no" or named
-        # Of a header that holds the title only its headings are read.
-        within_header[e] = (within_header[p] or tag[e] == "header") and tag[e] not in HEADINGS
-        if tag[e] == "header" and not holds[e]:
-            out[e] = True
+        p, kind = parent[e], page.left_out[e]
+        in_header[e] = in_header[p] or tag[e] == "header"
+        own = {"no": 0.0, "low": LOW}.get(kind, 1.0)
+        if kind == "named" and not holds[e]:
+            own = LOW
+        if tag[e] in HEADINGS and in_header[e]:
+            own /= LOW  # of a header only the headings count in full
+        if tag[e] == "header" and not in_header[p]:
+            own = LOW
+        weight[e] = weight[p] * own
+        root[e] = e if tag[e] in ("article", "main") else root[p]
+    return weight, root
+
 
+def main_text(html: str) -> str:
+    page = _Page()
+    page.feed(html)
+    page.finish()
+    if not page.lines:
+        return ""
+    tag, parent = page.tag, page.parent
+    n = len(tag)
+    by_element, root_of = weights(page)
     element = np.array([x[0] for x in page.lines])
     size = np.array([len(x[1]) for x in page.lines], dtype=float)
-    tags = np.array([max(1, x[2]) for x in page.lines], dtype=float)
+    ratio = size / np.array([max(1, x[2]) for x in page.lines], dtype=float)
     links = np.array([x[3] for x in page.lines], dtype=float) / np.maximum(size, 1)
-    read = np.array([not out[e] and not within_header[e] for e in element])
-    values = np.log1p(smoothed(size / tags))
-    content = read & (values > threshold(values)) & (links < 0.5)
-    if not content.any():
-        content = read & (links < 0.5)
 
     def sums(of: np.ndarray) -> np.ndarray:
         total = np.zeros(n)
@@ -211,40 +222,42 @@ def main_text(html: str) -> str:
             total[parent[e]] += total[e]
         return total
 
-    mass, text, link = sums(size * content), sums(size * read), sums(size * links * read)
-    count = sums(read.astype(float))
-    roots = [e for e in range(1, n) if tag[e] in ("article", "main") and not out[e] and mass[e] > 0]
-    if roots:
-        region = max(roots, key=lambda e: (mass[e], -e))
-        # Of nested ones the innermost that still holds most of the content.
-        for e in sorted(roots):
-            if mass[e] > 0.6 * mass[region] and _within(e, region, parent):
-                region = e
-    else:
-        region = 0
-        while inner := [e for e in range(region + 1, n) if parent[e] == region and tag[e] in BLOCK and mass[e] > 0.8 * mass[region] and tag[e] not in ("p", "li", "pre")]:
-            region = max(inner, key=lambda e: mass[e])
-    # Lists of links: the element and its parents up to the region hold little else.
-    menu = [False] * n
+    # Lists of links: the element and its parents hold little else.
+    seen = by_element[element] > 0
+    text, link, count = sums(size * seen), sums(size * links * seen), sums(seen.astype(float))
+    menu = np.zeros(n, dtype=bool)
     for e in range(1, n):
         menu[e] = menu[parent[e]] or (tag[e] in ("ul", "ol", "dl", "table", "div", "p", "section") and count[e] >= 3 and text[e] > 0 and link[e] > 0.8 * text[e])
-    inside = [False] * n
-    for e in range(n):
-        inside[e] = e == region or (e > 0 and inside[parent[e]])
-    keep = [i for i, e in enumerate(element) if read[i] and inside[e] and not menu[e]]
-    if not roots and keep:
-        # Without an article the region is cut at the first and the last content line; a heading before them belongs to them.
-        real = [i for i in keep if content[i]]
-        if real:
-            first, last = real[0], real[-1]
-            while (at := [i for i in keep if i < first]) and _heading(at[-1], page, parent):
-                first = at[-1]
-            keep = [i for i in keep if first <= i <= last or (i > last and links[i] < 0.5 and _in_flow(i, page))]
-    return "\n".join(page.lines[i][1] for i in keep)
-
-
-def _in_flow(i: int, page: _Page) -> bool:
-    return page.tag[page.lines[i][0]] in ("p", "blockquote", "pre", "li", "td", "b", "i", "em", "strong")
+    weight = by_element[element] * np.where(menu[element], LOW, 1.0) * (1 - np.minimum(links, 1) * (links >= 0.5))
+    seen &= weight > 0
+    if not seen.any():
+        return ""
+    at = np.flatnonzero(seen)
+    weight, ratio, element, links = weight[at], ratio[at], element[at], links[at]
+    values, own = weight * np.log1p(smoothed(ratio)), weight * np.log1p(ratio)
+    border = threshold(values)
+    content = values > border
+    # A cluster ends with lines whose own ratio is above the border: smoothing bridges gaps, and reaches no further.
+    for order in (range(len(at)), range(len(at) - 1, -1, -1)):
+        inside = False
+        for i in order:
+            inside = content[i] and (inside or own[i] > border)
+            content[i] = inside
+    if not content.any():
+        content = weight == weight.max()
+    # Content lines of one article or main element, or of no such, are a region. Lines that lie between them belong to it, and
+    # so do headings and running text before and after them, unless the smoothed ratio is far below the border.
+    keep = content.copy()
+    region = root_of[element]
+    for r in np.unique(region[content]):
+        mine = np.flatnonzero(content & (region == r))
+        floor = weight[mine].min()
+        first, last = mine[0], mine[-1]
+        for i in np.flatnonzero(~content & (weight >= floor)):
+            if region[i] != r and not (region[i] and _within(r, region[i], parent)):
+                continue
+            keep[i] |= first < i < last or (values[i] > NEAR * border and tag[element[i]] in FLOW)
+    return "\n".join(page.lines[i][1] for i in at[keep])
 
 
 def _within(e: int, other: int, parent: list[int]) -> bool:
@@ -253,15 +266,6 @@ def _within(e: int, other: int, parent: list[int]) -> bool:
     return e == other
 
 
-def _heading(i: int, page: _Page, parent: list[int]) -> bool:
-    e = page.lines[i][0]
-    while e > 0:
-        if page.tag[e] in HEADINGS:
-            return True
-        e = parent[e]
-    return False
-
-
 def extracted(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, ``text`` and ``n_chars`` (code points) of every whole page."""
     rows = pages.select(*keep, F.col(html).alias("_html"))

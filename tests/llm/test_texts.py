@@ -180,6 +180,33 @@ def test_main_text(frame):
     assert html_text.extracted(frame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = ["This paragraph number %d says what the page is about, at some length and without any tags inside of it." % i for i in range(6)]
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(8)) + "</ul>"
+PLAIN = "".join(f"<p>{t}</p>" for t in LONG)
+
+
+def test_content_is_found_by_its_ratio_alone(monkeypatch):
+    """No tag or class says what is what."""
+    page = f"<div class=x1>{MENU}</div><div class=x2><h1>On pages</h1>{PLAIN[:330]}</p><p>So.</p>{PLAIN[336:]}</div><div class=x3><span>a</span> <span>b</span> <span>c</span></div>"
+    text = html_text.main_text(page)
+    assert text.startswith("On pages\n" + LONG[0]) and "\nSo.\n" in text and text.endswith(LONG[5]) and "Item" not in text
+    draw = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratio: np.exp(draw.uniform(0, 6, len(ratio))))
+    assert html_text.main_text(page) != text
+
+
+@pytest.mark.parametrize("page, want", {
+    f"<form id=aspnet><nav>{MENU}</nav><div><h1>Title</h1>{PLAIN}</div><footer>Imprint</footer></form>": ["Title", *LONG],
+    f"<nav>{MENU}</nav><main><article><h2>One</h2>{PLAIN}</article><article><h2>Two</h2><p>{LONG[0]} Again.</p></article></main>": ["One", *LONG, "Two", LONG[0] + " Again."],
+    f"<nav>{MENU}</nav><main><p>A lead that stands beside the article.</p><article><h2>One</h2>{PLAIN}</article></main>": ["A lead that stands beside the article.", "One", *LONG],
+    f"<nav>{MENU}</nav><article class='search-engines widget'><h2>One</h2>{PLAIN}</article><footer>x</footer>": ["One", *LONG],
+    f"<article><h1>One</h1>{PLAIN}<form><p>Leave your address here and get our letter every week.</p><button>Go</button></form></article>": ["One", *LONG],
+    f"<article><h1>One</h1>{PLAIN}</article><section id=comments><div class=comment><p>{LONG[0] * 5}</p></div></section>": ["One", *LONG],
+}.items())
+def test_content_is_whole(page, want):
+    assert html_text.main_text(page) == "\n".join(want)
+
+
 def test_smoothing_and_threshold():
     assert np.allclose(html_text.smoothed(np.ones(7)), 1) and html_text.smoothed(np.eye(9)[4]).argmax() == 4
     assert 2 < html_text.threshold(np.array([0, 1, 2, 10, 11, 12.0])) < 10 and html_text.threshold(np.array([3.0])) == 3
