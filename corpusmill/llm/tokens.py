@@ -14,6 +14,7 @@ null ids come first; an empty table gives a store without documents.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -57,6 +58,8 @@ def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or tokenizer_path())
+    if not byte_level(tokenizer):
+        raise ValueError("only vocabularies of at most 65536 ids whose texts are cut by the byte-level pattern alone are supported")
     tokenize = tokenizer.model.tokenize
     own = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} if added else {}
     if added and any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
@@ -136,6 +139,13 @@ def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int
     return encode
 
 
+def byte_level(tokenizer) -> bool:
+    """Whether ``PIECES`` is how the tokenizer cuts texts, with nothing before or after that changes ids."""
+    cut = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    return plain and tokenizer.normalizer is None and tokenizer.get_vocab_size() <= 1 << 16
+
+
 def byte_signs() -> dict[int, str]:
     """The printable sign that stands for each byte in a byte-level vocabulary: printable ones stand for themselves, the
     others follow one another from U+0100 on."""

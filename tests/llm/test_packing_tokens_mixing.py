@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -169,3 +170,18 @@ def test_rows_without_size_are_not_repeated_beyond_the_limit(frame):
     assert all(got[i]["copies"] == 0 and got[i]["target"] == 0 for i in range(200, 205))
     taken = Counter(r["doc_id"] for r in mixing.mixed_rows(table, word_count(F.col("text"))).collect())
     assert all(taken[i] == r["copies"] for i, r in got.items())
+
+
+def test_other_pre_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    cases = [(pre_tokenizers.Whitespace(), None), (pre_tokenizers.ByteLevel(add_prefix_space=True), None), (pre_tokenizers.ByteLevel(add_prefix_space=False), normalizers.NFC()), (None, None)]
+    for cut, before in cases:
+        other = Tokenizer(models.BPE(vocab={"a": 0}, merges=[]))
+        if cut:
+            other.pre_tokenizer = cut
+        if before:
+            other.normalizer = before
+        other.save(str(tmp_path / "t.json"))
+        with pytest.raises(ValueError):
+            tokens.piece_encoder(str(tmp_path / "t.json"))
