@@ -39,9 +39,11 @@ BANDS, ROWS, RING = 48, 6, 1 << 20
 SMALL, BLOCK = 8, 1024
 #: A threshold of 80 in 100, in whole numbers.
 AT_LEAST = (80, 100)
+#: Rows that a task sketches or confirms at once, classes that it remembers as sketched, hashes of sets that it keeps.
+SLICE, SEEN, KEPT = 500, 50_000, 2_000_000
 
 
-def shingle_hasher(words: int, keep: int = 500_000):
+def shingle_hasher(words: int, keep: int = 100_000):
     """A function from UTF-8 texts to sorted arrays of distinct 64-bit shingle hashes."""
     turns = mixed(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
     known: dict[bytes, int] = {}
@@ -53,8 +55,9 @@ def shingle_hasher(words: int, keep: int = 500_000):
         split = [t.lower().split() for t in texts]
         new = set(chain.from_iterable(split)).difference(known)
         if len(known) + len(new) > keep:
-            known.clear()
-            new = set(chain.from_iterable(split))
+            for w in list(known)[: len(known) // 2 + 1]:  # the older half
+                del known[w]
+            new = set(chain.from_iterable(split)).difference(known)
         for w in new:
             known[w] = xxhash.xxh3_64_intdigest(w)
         out = []
@@ -111,6 +114,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         number = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if len(seen) > SEEN:
+                seen.clear()
             sets = hashed(utf8_column(batch.column(2)))
             names = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
             bands, sigs = [None] * len(sets), [None] * len(sets)
@@ -132,7 +137,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
         return each
 
-    return arrow_map(docs.select("number", "doc_id", "text"), make, "number long, doc_id long, n_shingles long, cls binary, bands array<long>, sig binary")
+    return arrow_map(docs.select("number", "doc_id", "text"), make, "number long, doc_id long, n_shingles long, cls binary, bands array<long>, sig binary", SLICE)
 
 
 def least_alike(at_least: tuple[int, int]) -> float:
@@ -167,17 +172,23 @@ def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFr
     return stored(docs.select("number", "text").join(broadcast_if_small(wanted, 1_000_000), "number").select("node", "cls", "text"), "minhash-texts")
 
 
-def named_sets(words: int, keep: int = 300):
-    """A function from a class and its text to the class's set."""
+def named_sets(words: int, keep: int = KEPT):
+    """A function from a class and its text to the class's set. Sets of ``keep`` hashes in all are remembered."""
     hashed = shingle_hasher(words)
     kept: dict[bytes, np.ndarray] = {}
+    held = 0
 
     def shingles(name: bytes, text: bytes) -> np.ndarray:
-        if name not in kept:
-            if len(kept) >= keep:
+        nonlocal held
+        found = kept.get(name)
+        if found is None:
+            found = hashed([text])[0]
+            if held + len(found) > keep:
                 kept.clear()
-            kept[name] = hashed([text])[0]
-        return kept[name]
+                held = 0
+            kept[name] = found
+            held += len(found)
+        return found
 
     return shingles
 
@@ -204,7 +215,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
         return each
 
-    return arrow_map(pairs.select("a", "b", "cls_a", "cls_b", "text_a", "text_b"), make, "a long, b long").distinct()
+    return arrow_map(pairs.select("a", "b", "cls_a", "cls_b", "text_a", "text_b"), make, "a long, b long", SLICE).distinct()
 
 
 def first_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +258,7 @@ def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, d
     need, of = at_least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = named_sets(words, 4 * BLOCK)
+        shingles = named_sets(words)
 
         def solved(group: pa.Table) -> pa.RecordBatch | None:
             group = group.combine_chunks()
