@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.retrieval import rrf_many
+from corpusmill.session import checkpointed
 from corpusmill.operators.scale import first_k, positions
 
 # Context budget rules.
@@ -54,7 +55,7 @@ def chunk_positions(chunks: DataFrame, only: DataFrame | None = None, block_rows
 def expand_neighbors(chunks: DataFrame, hits: DataFrame, w: int = 1) -> DataFrame:
     """Chunks within ``w`` positions (1 to 3) of each hit; an equality join on the wanted positions."""
     w = max(1, min(int(w), 3))
-    pos = chunk_positions(chunks, hits)
+    pos = checkpointed(chunk_positions(chunks, hits))  # asked for twice
     at = hits.select("query_id", "doc_id", "chunk_id").join(pos, ["doc_id", "chunk_id"])
     near = at.select("query_id", "doc_id", F.explode(F.sequence(F.col("pos") - w, F.col("pos") + w)).alias("pos")).distinct()
     return near.join(pos, ["doc_id", "pos"]).select("query_id", "doc_id", "chunk_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from corpusmill.functions import text as T
+from corpusmill.operators import postings
 from corpusmill.operators.scale import broadcast_if_small, first_k
+from corpusmill.session import checkpoint_dir, checkpointed
 
 SCORE_PLACES = 6
 # Queries whose vectors one task may hold at once (64 floats each: about 2 MB).
 QUERY_BLOCK = 4096
-# Query terms that may be broadcast (a few tens of megabytes).
-QUERY_TERMS = 500_000
 # Vectors compared with one query block in one grid cell.
 VECTOR_BLOCK = 100_000
 
@@ -33,50 +34,15 @@ def asked_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("q_count"))
 
 
-def term_matches(asked: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Counts and document lengths of the asked-for terms: (key, length, term, tf).
-
-    Other tokens go before any shuffle. The rest are placed by document, so that counting here and scoring per
-    (query, document) later need no further exchange; the frequencies per term read the same exchange.
-    """
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
-    # Lengths are taken below the explode, which would otherwise carry every array along with each of its tokens.
-    # explode_outer, because explode adds a filter that would tokenise the text a second time.
-    tokens = docs.select(key, T.tokens(text).alias("_t")).select(key, "_t", F.size("_t").alias("length"))
-    tokens = tokens.select(key, "length", F.explode_outer("_t").alias("term"))
-    found = tokens.join(vocabulary, "term", "left_semi").select(key, "length", "term").repartition(F.col(key))
-    return found.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_scores(
-    queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75,
-    all_terms: bool = False,
+def bm25_topk(
+    queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", all_terms: bool = False,
+    index: postings.Index | None = None, **options,
 ) -> DataFrame:
-    """BM25 of every (query, document) that shares a term; a repeated query term counts each time."""
-    asked = asked_terms(queries)
-    found = term_matches(asked, docs, key, text)
-    sizes = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n"))
-    n_docs, avg_len = sizes.agg(F.count("*")).scalar(), sizes.agg(F.avg("n")).scalar()
-    spread = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = asked.join(spread, "term").withColumn(
-        "weight", F.col("q_count") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    )
-    if all_terms:
-        idf = idf.join(asked.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id")
-    # Never more rows than ``asked``, so its count bounds this side too.
-    if asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS:
-        idf = F.broadcast(idf)
-    saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / avg_len))
-    parts = found.join(idf, "term").withColumn("part", F.col("weight") * saturation)
-    aggs = [F.round(F.sum("part"), SCORE_PLACES).alias("score")]
-    if all_terms:
-        aggs += [F.count("*").alias("_n"), F.first("n_terms").alias("_need")]
-    out = parts.groupBy("query_id", key).agg(*aggs)
-    return out.where("_n = _need").drop("_n", "_need") if all_terms else out
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    return _top(bm25_scores(queries, docs, key, text, **kw), key, k)
+    """The first k by BM25, from ``index`` or from one that is written for these queries. The hits are stored, so that what
+    branches from them does not rank again."""
+    index = index or postings.bm25_index(docs, f"{checkpoint_dir(docs.sparkSession)}/postings/{uuid.uuid4().hex}", key, text, **options)
+    weights = checkpointed(postings.bm25_weights(index, asked_terms(queries)))
+    return checkpointed(_top(postings.search(index, weights, k, all_terms), key, k))
 
 
 def fulltext_all(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,6 +50,8 @@ def fulltext_all(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id
     return bm25_topk(queries, docs, k, key, text, all_terms=True)
 
 
+# A term that no text has, for chunks with figures.
+FIGURE = "\0figure"
 # What marks a chunk as one with figures.
 NUMERIC_HINT = r"\$|\b(?:million|billion|percent|%)\b|\d"
 
@@ -95,12 +63,11 @@ def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chun
     """
     kept = lambda c: F.array_except(F.array_distinct(T.tokens(c, "lexical")), F.array(*[F.lit(w) for w in T.OVERLAP_STOPWORDS]))
     hint = F.lower(F.col(text)).rlike(NUMERIC_HINT).cast("int")
-    asked = queries.select("query_id", F.explode_outer(kept("query")).alias("term"))
-    tokens = chunks.select(key, hint.alias("hint"), kept(text).alias("_t")).select(key, "hint", F.explode_outer("_t").alias("term"))
-    vocabulary = broadcast_if_small(asked.select("term").distinct())
-    found = tokens.join(vocabulary, "term", "left_semi").select(key, "hint", "term").repartition(F.col(key))
-    hits = found.join(broadcast_if_small(asked, QUERY_TERMS), "term").groupBy("query_id", key, "hint").agg(F.count("*").alias("n"))
-    hits = hits.select("query_id", key, (F.col("n") * 10 + F.col("hint")).cast("bigint").alias("score"))
+    asked = queries.select("query_id", F.explode_outer(kept("query")).alias("term")).where("term is not null")
+    terms = F.concat(F.coalesce(kept(text), F.array().cast("array<string>")), F.when(hint == 1, F.array(F.lit(FIGURE))).otherwise(F.array().cast("array<string>")))
+    index = postings.write_index(chunks, f"{checkpoint_dir(chunks.sparkSession)}/postings/{uuid.uuid4().hex}", terms, key, binary=True)
+    weights = asked.withColumn("weight", F.lit(10.0)).unionByName(queries.select("query_id", F.lit(FIGURE).alias("term"), F.lit(1.0).alias("weight")))
+    hits = postings.search(index, checkpointed(weights), k).select("query_id", key, F.col("score").cast("bigint").alias("score"))
     spare = first_k(chunks.select(key, hint.cast("bigint").alias("score")), ["score"], [F.col(key)], k)
     spare = spare.agg(F.collect_list(F.struct(F.col(key), "score"))).scalar()
     fill = queries.select("query_id", F.explode(spare).alias("s")).select("query_id", f"s.{key}", "s.score")

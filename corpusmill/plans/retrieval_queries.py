@@ -109,7 +109,7 @@ f AS (SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.doc_id, r.
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10
 """)
 def rrf_shared_ranks(v_queries: DataFrame, documents: DataFrame, v_doc_vectors: DataFrame) -> DataFrame:
-    left = retrieval.ranked(retrieval.bm25_scores(v_queries, documents), "doc_id", 50, ties="rank")
+    left = retrieval.ranked(retrieval.bm25_topk(v_queries, documents, 50).drop("rank"), "doc_id", 50, ties="rank")
     right = retrieval.ranked(retrieval.vector_scores(v_queries, v_doc_vectors, 50), "doc_id", 50, ties="rank")
     return retrieval.rrf(left, right, "doc_id", 10)
 
