@@ -82,9 +82,12 @@ SELECT doc_id, idx, content, 1 FROM ({chars_sql(500, 50)}) o WHERE NOT EXISTS (S
 def upserted_chunks(documents: DataFrame) -> DataFrame:
     from corpusmill.operators.chunking import chunk_chars
 
-    stamped = lambda df, at: df.withColumn("indexed_at", F.lit(at)).withColumn("chunk_id", F.concat_ws(":", "doc_id", "idx"))
-    both = stamped(chunk_chars(documents, 500, 50), 1).unionByName(stamped(chunk_chars(documents, 800, 100), 2))
-    return corpus.last_per_chunk(both, "indexed_at").drop("chunk_id")
+    marked = lambda df, at: df.withColumn("indexed_at", F.lit(at)).withColumn("chunk_id", F.concat_ws(":", "doc_id", "idx"))
+    stamped = lambda df, at: marked(df, at).withColumns({"space_id": F.lit(1), "strategy": F.lit("chunk_text")})
+    path = f"{checkpoint_dir(documents.sparkSession)}/chunks/{uuid.uuid4().hex}"
+    corpus.write_chunks(stamped(chunk_chars(documents, 500, 50), 1), path)
+    corpus.write_chunks(stamped(chunk_chars(documents, 800, 100), 2), path)
+    return documents.sparkSession.read.parquet(path).select("doc_id", "idx", "content", "indexed_at")
 
 
 @query("S8", "SELECT chunk_id FROM {v_chunks} WHERE doc_id NOT IN (SELECT doc_id FROM {labels} WHERE toxic = 1)")

@@ -161,20 +161,20 @@ def last_per_chunk(chunks: DataFrame, order: str) -> DataFrame:
 
 
 def table_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None where there is none yet; any other error stays an error."""
+    """The table at ``path``, or None where there is none yet or no file in it; any other error stays an error."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
 
-def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at") -> None:
+def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at", file_rows: int = 250_000) -> None:
     """Upsert by chunk id into a table with one partition per space and strategy.
 
     Only the partitions that the new chunks touch are read and rewritten. The merged rows are checkpointed first,
-    since their old files are replaced by the write.
+    since their old files are replaced by the write. A partition gets files of about ``file_rows`` rows.
     """
     from corpusmill.session import checkpointed
 
@@ -184,9 +184,12 @@ def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at") -> Non
     if old is not None:
         touched = new.select("space_id", "strategy").distinct()
         old = old.join(touched, ["space_id", "strategy"], "left_semi")
-        new = checkpointed(last_per_chunk(old.select(*new.columns).unionByName(new), order))
+        new = last_per_chunk(old.select(*new.columns).unionByName(new), order)
+    new = checkpointed(new)
+    sizes = new.groupBy("space_id", "strategy").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))
     (
-        new.repartition("space_id", "strategy", F.pmod(F.hash("chunk_id"), F.lit(64)))
+        new.join(sizes, ["space_id", "strategy"]).withColumn("_file", F.pmod(F.hash("chunk_id"), F.col("_files")))
+        .repartition("space_id", "strategy", "_file").drop("_files", "_file")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space_id", "strategy").parquet(path)
     )
 

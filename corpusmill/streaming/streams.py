@@ -6,8 +6,9 @@ custom state operators; ``use_rocksdb`` sets it for the session.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,10 @@ from pyspark.sql import types as S
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.operators import chunking, ingest
-from corpusmill.session import checkpoint_dir
+from corpusmill.operators.scale import first_k
+from corpusmill.session import checkpoint_dir, checkpointed
 from corpusmill.sources.corpus import table_if_there
+from corpusmill.sources.versioned import Store, batch_version, compact
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -40,15 +43,47 @@ def as_stream_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into Parquet files, and read them back."""
+#: The time of a marker row. Nothing real happens then; it is within what pandas can hold.
+END = datetime(2200, 1, 1)
+
+
+class Closing:
+    """A last batch that ends a finished input: its one row, the marker, moves the watermark to the end of time, so that
+    every window, session, part and silence that is still open comes out. What arrives afterwards is late.
+
+    ``joined`` puts the marker's source beside a stream, before its watermark; ``run_to_table`` writes the marker after all
+    else has been read. A marker has no values but its time. Its own window stays open, and state operators pass it by.
+    """
+
+    def __init__(self, spark: SparkSession, ts: str = "ts") -> None:
+        self.folder, self.ts, self.row = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}/marker", ts, None
+
+    def joined(self, stream: DataFrame) -> DataFrame:
+        spark, kind = stream.sparkSession, stream.schema[self.ts].dataType
+        values = [F.lit(END).cast(kind).alias(f.name) if f.name == self.ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+        self.row = spark.range(1).select(*values)
+        self.row.limit(0).write.mode("ignore").parquet(self.folder)  # the source needs a folder
+        schema = S.StructType([S.StructField(f.name, f.dataType) for f in stream.schema])
+        return stream.unionByName(spark.readStream.schema(schema).parquet(self.folder))
+
+    def write(self) -> None:
+        self.row.write.mode("append").parquet(self.folder)
+
+
+def run_to_table(stream: DataFrame, path: str | None = None, mode: str = "append", closing: Closing | None = None) -> DataFrame:
+    """Run a stream over what is there now into Parquet files, and read them back. With ``closing`` the input counts as
+    finished, and what is still open comes out too."""
     spark = stream.sparkSession
     path = path or f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        writer = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if closing:
+        closing.write()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -67,64 +102,175 @@ def edit_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 mi
     return rows.select(key, F.col("w.start").alias("started_at"), "edited_at", "content", "n_edits")
 
 
-def assemble_parts(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Text pieces of each (message, part) joined in order once the part has been silent for the gap."""
-    rows = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "message_id", "part_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("pieces")
-    )
-    return rows.select("message_id", "part_id", F.array_join(F.transform("pieces", lambda p: p["delta"]), "").alias("text"), F.size("pieces").cast("bigint").alias("n_pieces"))
-
-
 def dedup_calls(stream: DataFrame, keys: list[str], late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """First of each call within one message; a repeat may come up to ``late`` afterwards."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def append_once(stream: DataFrame, key: str = "message_id", late: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """Rows with a key once each; rows without one always."""
-    marked = stream.withWatermark(ts, late)
-    # Rows without a key pass by the state: they need none, and a task that runs again gives the same rows.
-    return marked.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(marked.where(F.col(key).isNull()))
+def append_once(stream: DataFrame, path: str, key: str = "message_id", order: str = "ts", buckets: int = 64):
+    """Append rows to the table at ``path`` so that each key is there once for all time, however late a repeat comes; rows
+    without a key always are. Returns the query, which runs over what is there now.
 
+    Keys are kept in buckets by hash. A batch reads the keys of the buckets it touches, and only of earlier batches, and
+    replaces what it wrote itself: a batch that runs again changes nothing. ``once_rows`` reads the table.
+    """
 
-def _sorted_rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """One key's rows of one micro-batch in event order; the micro-batch bounds their number."""
-    return pd.concat(list(batches)).sort_values(order)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = checkpointed(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        named = first_k(rows.where(F.col(key).isNotNull()), [key], [F.col(order), *[F.col(c).asc_nulls_first() for c in batch.columns if c not in (key, order)]])
+        held = table_if_there(spark, f"{path}/keys")
+        if held is not None:
+            touched = [r.bucket for r in named.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            held = held.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched))
+            named = named.join(held.select(key), key, "left_anti")
+        named = checkpointed(named)
+
+        def write(df: DataFrame, name: str, *parts: str) -> None:
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{name}")
+
+        out = named.select(*batch.columns).unionByName(rows.where(F.col(key).isNull()).select(*batch.columns))
+        write(out.withColumn("batch_id", F.lit(batch_id)), "rows", "batch_id")
+        write(named.select(key, "bucket", F.lit(batch_id).alias("batch_id")).repartition("bucket"), "keys", "bucket", "batch_id")
+
+    writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def once_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").drop("batch_id")
+
+
+class Ordered(StatefulProcessor):
+    """Rows of a key in event order, however they are dealt into micro-batches.
+
+    Rows wait in state, in buckets of time, until the watermark has passed them and nothing earlier can come. Then a
+    timer gives each bucket to ``step`` row by row. Memory holds one bucket of one key; an input frame is never joined with
+    another. A subclass names the columns it reads (``fields``, after the time), its output (``names``) and what it keeps
+    between rows (``memory``, a structure, from ``start()``).
+    """
+
+    bucket_ms = 3_600_000
+    fields: list[str] = []
+    names: list[str] = []
+    memory = S.StructType()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", S.StructType().add("bucket", S.LongType()), S.StructType().add("rows", S.StringType()))
+        self.kept = handle.getValueState("kept", self.memory)
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, key, kept: tuple, us: int, values: list) -> tuple[tuple, list[tuple]]:
+        """What is kept after a row, and what the row gives."""
+        raise NotImplementedError
+
+    def idle(self, key, kept: tuple, now_ms: int) -> tuple[tuple | None, list[tuple]]:
+        """What a timer gives when all rows up to its time have been seen; None for what is kept forgets it."""
+        return kept, []
+
+    def timer(self, kept: tuple) -> int | None:
+        """When ``idle`` wants to be asked, in milliseconds."""
+        return None
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        end_us = pd.Timestamp(END).value // 1000
+        for pdf in rows:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            buckets: dict[int, list] = {}
+            for at, *values in zip(us, *(pdf[f].astype(object).where(pdf[f].notna(), None) for f in self.fields)):
+                if at < end_us:
+                    buckets.setdefault(at // (1000 * self.bucket_ms), []).append([int(at), *(v.item() if hasattr(v, "item") else v for v in values)])
+            for bucket, some in buckets.items():
+                before = json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
+                self.waiting.updateValue((bucket,), (json.dumps(before + some),))
+                self.handle.registerTimer((bucket + 1) * self.bucket_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        kept = self.kept.get() if self.kept.exists() else None
+        seen, out = False, []
+        for bucket in (now // self.bucket_ms - 1, now // self.bucket_ms):
+            if self.waiting.containsKey((bucket,)):
+                rows = sorted(json.loads(self.waiting.getValue((bucket,))[0]), key=lambda r: [(x is not None, x) for x in r])
+                ready = [r for r in rows if r[0] < now * 1000]
+                for us, *values in ready:
+                    kept, some = self.step(key, self.start() if kept is None else kept, us, values)
+                    out += some
+                    seen = True
+                if len(ready) == len(rows):
+                    self.waiting.removeKey((bucket,))
+                elif ready:
+                    self.waiting.updateValue((bucket,), (json.dumps(rows[len(ready) :]),))
+        if kept is not None:
+            kept, some = self.idle(key, kept, now)
+            out += some
+            at = self.timer(kept) if kept is not None and seen else None
+            if at is not None and at <= timerValues.getCurrentWatermarkInMs() and not self.waiting.exists():
+                kept, some = self.idle(key, kept, at)  # its time has come too, and a timer would wait for another batch
+                out += some
+            elif at is not None:
+                self.handle.registerTimer(at)
+            if kept is None:
+                self.kept.clear()
+            else:
+                self.kept.update(tuple(kept))
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
 
 
 REPEATS = S.StructType().add("thread_id", S.LongType()).add("call_id", S.LongType()).add("signature", S.StringType()).add("run_length", S.LongType())
 
 
+class Runs(Ordered):
+    fields, names = ["call_id", "signature"], REPEATS.names
+    memory = S.StructType().add("signature", S.StringType()).add("length", S.LongType())
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def start(self) -> tuple:
+        return None, 0
+
+    def step(self, key, kept, us, values):
+        call, signature = values
+        length = kept[1] + 1 if signature == kept[0] and kept[1] else 1
+        return (signature, length), [(key[0], call, signature, length)] if length >= self.n else []
+
+
 def repeat_runs(stream: DataFrame, n: int = 3, late: str = "10 minutes") -> DataFrame:
     """Calls that repeat the same signature for the n-th time or more in a row, per thread.
 
     ``stream``: thread_id, call_id, ts, signature.
     """
+    return _stateful(stream.withWatermark("ts", late), ["thread_id"], Runs(n), REPEATS, "eventTime")
 
-    class Runs(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            state = S.StructType().add("signature", S.StringType()).add("length", S.LongType())
-            self.last = handle.getValueState("last", state)
 
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-            signature, length = self.last.get() if self.last.exists() else (None, 0)
-            out = []
-            pdf = _sorted_rows(rows, ["ts", "call_id"])
-            for call_id, sig in zip(pdf["call_id"], pdf["signature"]):
-                length = length + 1 if sig == signature else 1
-                signature = sig
-                if length >= n:
-                    out.append((key[0], call_id, sig, length))
-            self.last.update((signature, length))
-            yield pd.DataFrame(out, columns=["thread_id", "call_id", "signature", "run_length"])
+QUOTA = S.StructType().add("user_id", S.LongType()).add("request_id", S.LongType()).add("used", S.LongType()).add("allowed", S.BooleanType())
 
-        def close(self) -> None:
-            pass
 
-    return _stateful(stream.withWatermark("ts", late), "thread_id", Runs(), REPEATS, "none")
+class Quota(Ordered):
+    fields, names = ["request_id"], QUOTA.names
+    memory = S.StructType().add("since_us", S.LongType()).add("used", S.LongType())
 
+    def __init__(self, limit: int, ttl_us: int, refresh: bool) -> None:
+        self.limit, self.ttl_us, self.refresh = limit, ttl_us, refresh
 
-QUOTA = S.StructType().add("user_id", S.LongType()).add("request_id", S.LongType()).add("used", S.LongType()).add("allowed", S.BooleanType())
+    def start(self) -> tuple:
+        return None, 0
+
+    def step(self, key, kept, us, values):
+        since, used = kept
+        if since is None or us - since >= self.ttl_us:
+            since, used = us, 0
+        used += 1
+        return (us if self.refresh else since, used), [(key[0], values[0], used, used <= self.limit)]
 
 
 def rolling_quota(stream: DataFrame, limit: int, ttl_seconds: int = 86_400, refresh: bool = False, late: str = "10 minutes") -> DataFrame:
@@ -132,82 +278,103 @@ def rolling_quota(stream: DataFrame, limit: int, ttl_seconds: int = 86_400, refr
 
     With ``refresh`` every request prolongs the counter. ``stream``: user_id, request_id, ts.
     """
+    return _stateful(stream.withWatermark("ts", late), ["user_id"], Quota(limit, ttl_seconds * 1_000_000, refresh), QUOTA, "eventTime")
 
-    class Counter(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            state = S.StructType().add("since_us", S.LongType()).add("used", S.LongType())
-            self.counter = handle.getValueState("counter", state)
 
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-            since, used = self.counter.get() if self.counter.exists() else (None, 0)
-            out = []
-            pdf = _sorted_rows(rows, ["ts", "request_id"])
-            for request_id, ts in zip(pdf["request_id"], pdf["ts"]):
-                at = ts.value // 1000
-                if since is None or at - since >= ttl_seconds * 1_000_000:
-                    since, used = at, 0
-                used += 1
-                since = at if refresh else since
-                out.append((key[0], request_id, used, used <= limit))
-            self.counter.update((since, used))
-            yield pd.DataFrame(out, columns=["user_id", "request_id", "used", "allowed"])
+FAILED = S.StructType().add("job_id", S.LongType()).add("last_beat", S.TimestampType()).add("status", S.StringType())
 
-        def close(self) -> None:
-            pass
 
-    return _stateful(stream.withWatermark("ts", late), "user_id", Counter(), QUOTA, "none")
+class Beats(Ordered):
+    names = FAILED.names
+    memory = S.StructType().add("us", S.LongType())
 
+    def __init__(self, ttl_us: int) -> None:
+        self.ttl_us = ttl_us
 
-FAILED = S.StructType().add("job_id", S.LongType()).add("last_beat", S.TimestampType()).add("status", S.StringType())
+    def failed(self, key, us: int) -> list[tuple]:
+        return [(key[0], pd.Timestamp(us, unit="us"), "failed")]
+
+    def start(self) -> tuple:
+        return (None,)
+
+    def step(self, key, kept, us, values):
+        return (us,), self.failed(key, kept[0]) if kept[0] is not None and us - kept[0] > self.ttl_us else []
+
+    def idle(self, key, kept, now_ms):
+        return (None, self.failed(key, kept[0])) if now_ms * 1000 - kept[0] > self.ttl_us else (kept, [])
+
+    def timer(self, kept):
+        return (kept[0] + self.ttl_us) // 1000 + 1
 
 
 def heartbeat_timeout(stream: DataFrame, ttl_seconds: int, late: str = "10 minutes") -> DataFrame:
-    """A failure for every silence of a job longer than the TTL, seen at the next beat or by an event-time timer.
+    """A failure for every silence of a job longer than the TTL.
 
     ``stream``: job_id, ts. Whether beats arrive in one micro-batch or many, the same silences are reported.
     """
-    ttl_ms = ttl_seconds * 1000
-
-    class Beats(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.last = handle.getValueState("last", S.StructType().add("us", S.LongType()))
-
-        def _row(self, key, us: int) -> tuple:
-            return key[0], pd.Timestamp(us, unit="us"), "failed"
-
-        def handleInputRows(self, key, rows, timerValues):  # noqa: N802
-            last = self.last.get()[0] if self.last.exists() else None
-            out = []
-            for ts in _sorted_rows(rows, ["ts"])["ts"]:
-                us = ts.value // 1000
-                if last is not None and us - last > ttl_ms * 1000:
-                    out.append(self._row(key, last))
-                last = us
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update((last,))
-            self.handle.registerTimer(last // 1000 + ttl_ms + 1)
-            yield pd.DataFrame(out, columns=["job_id", "last_beat", "status"])
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
-            out = [self._row(key, self.last.get()[0])] if self.last.exists() else []
-            self.last.clear()
-            yield pd.DataFrame(out, columns=["job_id", "last_beat", "status"])
-
-        def close(self) -> None:
-            pass
-
-    return _stateful(stream.withWatermark("ts", late), "job_id", Beats(), FAILED, "eventTime")
-
-
-def _stateful(stream: DataFrame, key: str, processor: StatefulProcessor, schema: S.StructType, time_mode: str) -> DataFrame:
+    return _stateful(stream.withWatermark("ts", late), ["job_id"], Beats(ttl_seconds * 1_000_000), FAILED, "eventTime")
+
+
+PARTS = (
+    S.StructType().add("message_id", S.LongType()).add("part_id", S.StringType()).add("block", S.LongType()).add("text", S.StringType())
+    .add("n_pieces", S.LongType()).add("ended", S.BooleanType())
+)
+
+
+class Parts(Ordered):
+    """The text so far is what is kept: pieces are added in order and are not held beside it."""
+
+    fields, names = ["seq", "delta", "is_end"], PARTS.names
+    memory = S.StructType().add("us", S.LongType()).add("block", S.LongType()).add("text", S.StringType()).add("n", S.LongType())
+    bucket_ms = 60_000
+
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
+
+    def start(self) -> tuple:
+        return 0, 0, "", 0
+
+    def closed(self, key, kept, ended: bool) -> list[tuple]:
+        return [(key[0], key[1], kept[1], kept[2], kept[3], ended)] if kept[3] else []
+
+    def step(self, key, kept, us, values):
+        _, delta, is_end = values
+        last, block, text, n = kept
+        out = []
+        if n and us - last > self.gap_us:
+            out, block, text, n = self.closed(key, kept, False), block + 1, "", 0
+        text, n = text + (delta or ""), n + 1
+        if is_end:
+            return (us, block + 1, "", 0), out + self.closed(key, (us, block, text, n), True)
+        return (us, block, text, n), out
+
+    def idle(self, key, kept, now_ms):
+        if kept[3] and now_ms * 1000 - kept[0] > self.gap_us:
+            return (kept[0], kept[1] + 1, "", 0), self.closed(key, kept, False)
+        return kept, []
+
+    def timer(self, kept):
+        return (kept[0] + self.gap_us) // 1000 + 1
+
+
+def assemble_parts(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Text pieces of each (message, part) joined in order: a block is closed by its end event, or by silence.
+
+    ``stream``: message_id, part_id, seq, delta, is_end, ts. Blocks of a part are numbered from 0; ``ended`` tells whether
+    the end event came.
+    """
+    gap_us = int(pd.Timedelta(gap).value // 1000)
+    return _stateful(stream.withWatermark("ts", late), ["message_id", "part_id"], Parts(gap_us), PARTS, "eventTime")
+
+
+def _stateful(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: S.StructType, time_mode: str) -> DataFrame:
     use_rocksdb(stream.sparkSession)
-    return stream.groupBy(key).transformWithStateInPandas(
+    return stream.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
     )
 
 
+READY = '{"state": "ready"}'
 REQUIRED = ("doc_type", "unique_id", "title", "content")
 
 
@@ -218,37 +385,87 @@ def _valid() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, path: str, strategies: list[str], size: int = 800, overlap: int = 100) -> None:
-    """Classify one batch against the stored documents, chunk what is new or changed, write both under the batch id.
+DOCUMENT = ["doc_id", "identity", "content_hash", "title", "doc_type", "space_id", "content", "action", "status"]
+
+
+class Corpus:
+    """Documents and their chunks as ingest keeps them.
 
-    A batch run again replaces its own partitions and sees only earlier ones, so repeats change nothing. Records
-    that fail validation go to the rejects.
+    ``documents`` has a row for each change of a document, in buckets by identity: the last one counts. ``holders`` says
+    which document holds a content hash, in buckets by hash, so that duplicates are found without reading the documents;
+    ``replaced`` are tombstones: chunks of the document that earlier batches wrote are void.
     """
-    spark = batch.sparkSession
 
-    def stored(name: str) -> DataFrame | None:
-        table = table_if_there(spark, f"{path}/{name}")
-        return None if table is None else table.where(F.col("batch_id") < batch_id)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.store = Store(spark, path, buckets)
 
-    def write(df: DataFrame, name: str) -> None:
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+    def documents(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        rows = self.store.read("documents", before, buckets)
+        return None if rows is None else ingest.dedup_first(rows, ["identity"], [F.col("batch").desc()])
 
-    good = ingest.with_hashes(batch.where(_valid()))
-    old = stored("documents")
-    empty = good.limit(0).select(F.col("arrival").alias("doc_id"), "identity", "content_hash", "title", F.lit(None).cast("string").alias("status"), F.lit(0).alias("batch_id"))
-    corpus = ingest.dedup_first(old, ["identity"], [F.col("batch_id").desc()]) if old is not None else empty
-    actions = ingest.classify_changes(good, corpus.select("doc_id", "identity", "content_hash", "title", "status"))
-    kept = actions.where(F.col("action").isin("new", "changed", "requeued")).select("arrival", "action", F.coalesce("existing_id", "arrival").alias("doc_id"))
-    rows = good.join(kept, "arrival")
-    write(rows.select("doc_id", "identity", "content_hash", "title", "doc_type", "space_id", "content", "action", F.lit('{"state": "ready"}').alias("status")), "documents")
-    write(chunking.chunk_multi(rows, strategies, size, overlap, text="content"), "chunks")
-    write(batch.where(~_valid()).select("arrival", "unique_id", F.lit("missing field").alias("reason")), "rejects")
+    def holders(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        rows = self.store.read("holders", before, buckets)
+        return None if rows is None else ingest.dedup_first(rows, ["content_hash", "identity"], [F.col("batch").desc()]).where("holds")
+
+    def chunks(self) -> DataFrame | None:
+        rows, void = self.store.read("chunks"), self.store.read("replaced")
+        if rows is None or void is None:
+            return rows
+        void = void.groupBy(F.col("doc_id").alias("_doc")).agg(F.max("batch").alias("_since"))
+        return rows.join(void, (F.col("doc_id") == F.col("_doc")) & (F.col("batch") < F.col("_since")), "left_anti")
+
+    def rejects(self) -> DataFrame | None:
+        return self.store.read("rejects")
+
+    def compact(self) -> None:
+        """One part for all; replaced chunks, former states and tombstones go."""
+        compact(self.store, {
+            "documents": (self.documents, "identity"), "holders": (self.holders, "content_hash"), "chunks": (self.chunks, "doc_id"),
+            "rejects": (self.rejects, "arrival"),
+        })
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, path: str, strategies: list[str], size: int = 800, overlap: int = 100, buckets: int = 64) -> None:
+    """Classify one batch against the stored documents, chunk what is new, changed or requeued, and commit it all at once.
+
+    A changed or requeued document loses its earlier chunks; an unchanged one with a new title gets the title alone.
+    Records that fail validation go to the rejects. Only the buckets of the batch's identities and content hashes are
+    read, and only what earlier batches committed: a batch run again changes nothing.
+    """
+    corpus, version = Corpus(batch.sparkSession, path, buckets), batch_version(batch_id)
+    store = corpus.store
+    good = checkpointed(ingest.with_hashes(batch.where(_valid())))
+    known = corpus.documents(version, store.touched(good, "identity"))
+    if known is None:
+        known = good.limit(0).select(F.col("arrival").alias("doc_id"), "identity", "content_hash", "title", F.lit("").alias("status"))
+    known = checkpointed(known.select("doc_id", "identity", "content_hash", "title", "status"))
+    held = corpus.holders(version, store.touched(good, "content_hash"))
+    if held is not None:  # documents elsewhere that hold a content of this batch
+        held = held.join(good.select("content_hash").distinct(), "content_hash", "left_semi").join(known.select("identity"), "identity", "left_anti")
+        others = held.select("doc_id", "identity", "content_hash", F.lit("").alias("title"), F.lit(READY).alias("status"))
+    everything = known if held is None else known.unionByName(others)
+    actions = checkpointed(ingest.classify_changes(good, everything))
+    action = F.when((F.col("action") == "unchanged") & F.col("title_changed"), "retitled").otherwise(F.col("action"))
+    kept = actions.select("arrival", action.alias("action"), F.coalesce("existing_id", "arrival").alias("doc_id")).where("action in ('new', 'changed', 'requeued', 'retitled')")
+    rows = checkpointed(good.join(kept, "arrival").withColumn("status", F.lit(READY)))
+    renewed = rows.where("action in ('changed', 'requeued')")
+    given_up = known.select("identity", F.col("content_hash").alias("old"), "doc_id").join(rows.where("action = 'changed'").select("identity"), "identity")
+    holders = rows.where("action in ('new', 'changed')").select("content_hash", "identity", "doc_id", F.lit(True).alias("holds")).unionByName(
+        given_up.select(F.col("old").alias("content_hash"), "identity", "doc_id", F.lit(False).alias("holds"))
+    )
+    chunks = chunking.chunk_multi(rows.where("action <> 'retitled'"), strategies, size, overlap, text="content")
+    rejects = batch.where(~_valid()).select("arrival", "unique_id", F.lit("missing field").alias("reason"))
+    stamp = lambda df: df.withColumn("batch", F.lit(batch_id).cast("bigint"))
+    store.commit(version, f"b{batch_id:010d}", {
+        "documents": (stamp(rows.select(*DOCUMENT)), "identity"), "holders": (stamp(holders), "content_hash"), "chunks": (stamp(chunks), "doc_id"),
+        "replaced": (stamp(renewed.select("doc_id")), "doc_id"), "rejects": (stamp(rejects), "arrival"),
+    })
 
 
-def stream_ingest(stream: DataFrame, path: str, strategies: list[str] | None = None):
-    """Start the continuous ingest; returns the running query."""
+def stream_ingest(stream: DataFrame, path: str, strategies: list[str] | None = None, buckets: int = 64):
+    """Start the continuous ingest; returns the running query. ``buckets`` stays the same for the life of a corpus."""
     names = strategies or ["chunk_text"]
     return (
-        stream.writeStream.foreachBatch(lambda df, batch_id: ingest_batch(df, batch_id, path, names))
+        stream.writeStream.foreachBatch(lambda df, batch_id: ingest_batch(df, batch_id, path, names, buckets=buckets))
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
