@@ -38,6 +38,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for at in range(0, batch.num_rows, rows):
                 if (out := each(batch.slice(at, rows))) is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 

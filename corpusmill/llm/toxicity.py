@@ -48,16 +48,18 @@ READ, DROP, END, CUT = 1.5, 1.2, 1.5, 0.7
 READINGS, MARGIN, BEAM = 3, 2.5, 24
 #: A long run is decoded in windows of so many characters and the overlap with the next.
 WINDOW, OVERLAP = 200, 40
+#: Rows that a task reads at once.
+SLICE = 500
 #: A letter comes twice for nothing if the model's log probability for it after itself is below this.
-RARE = -4.5
+RARE = -6.5
 
 _SIGNS = re.escape("".join(LEET)) + r".\-_'·,:;/\\~^"
 _LEET, _MARKS = re.escape("".join(LEET)), re.escape("".join(c for c in LEET if not c.isdigit()))
-#: Marks between letters, a sign beside a letter, two signs of which one is no digit, or a letter three times.
+#: Marks between letters, a sign beside a letter, or two signs of which one is no digit.
 _DISGUISED = re.compile(
-    rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|[{_LEET}][{_SIGNS}]*[^\W\d_]|[^\W\d_][{_SIGNS}]*[{_LEET}]|[{_MARKS}][{_LEET}]|[{_LEET}][{_MARKS}]|([^\W\d_])\1\1"
+    rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|[{_LEET}][{_SIGNS}]*[^\W\d_]|[^\W\d_][{_SIGNS}]*[{_LEET}]|[{_MARKS}][{_LEET}]|[{_LEET}][{_MARKS}]"
 )
-_TWICE = re.compile(r"(?=(.?)([^\W\d_])\2)")
+_TWICE = re.compile(r"([^\W\d_])\1+")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _EDGE = re.compile(r"^[^\w@$!+|(<€£]+|([^\w\s])\1{2,}$|[.,;:?\")\]]+$")
 _RUN = re.compile(r"([^\W\d_])\1*|.", re.S)
@@ -156,18 +158,22 @@ def word_reader(model: np.ndarray):
     rare = (np.diagonal(model, axis1=1, axis2=2) < RARE).tolist()
 
     def odd(core: str) -> bool:
-        """Whether a letter comes twice where the model hardly knows it twice."""
-        return any(rare[CODE.get(m[1], 0)][CODE.get(m[2], 0)] for m in _TWICE.finditer(core))
+        """Whether a letter comes three times, or twice where the model hardly knows it twice."""
+        for m in _TWICE.finditer(core):
+            if len(m[0]) > 2 or rare[CODE.get(core[m.start() - 1], 0) if m.start() else 0][CODE.get(m[1], 0)]:
+                return True
+        return False
 
-    def windows(run: str):
+    def windows(run: str) -> list[str]:
         """Overlapping parts of a run of any length."""
-        return (run[at : at + WINDOW + OVERLAP] for at in range(0, max(1, len(run) - OVERLAP), WINDOW))
+        return [run] if len(run) <= WINDOW + OVERLAP else [run[at : at + WINDOW + OVERLAP] for at in range(0, len(run) - OVERLAP, WINDOW)]
 
     def words_of(token: str) -> set[str]:
-        core = _EDGE.sub("", token)
-        words = set(re.findall(r"[^\W\d_]+", core))
+        core = token if token.isalpha() else _EDGE.sub("", token)
+        letters = core.isalpha()
+        words = {core} if letters else set(re.findall(r"[^\W\d_]+", core))
         for part in windows(core):
-            if _DISGUISED.search(part) or odd(part):
+            if odd(part) or (not letters and _DISGUISED.search(part)):
                 for reading in decode(part):
                     words.update(reading.split())
         return words
@@ -189,7 +195,7 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in range(4, min(9, len(word))))]
 
 
-def feature_reader(model: np.ndarray, keep: int = 100_000):
+def feature_reader(model: np.ndarray, keep: int = 50_000):
     """A function from a text to the set of its features."""
     words_of, spaced = word_reader(model)
     known: dict[str, list[str]] = {}
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int
 
         return each
 
-    sample = arrow_map(rows.select("toxic", "text"), make_group, "toxic int, text string, first long")
+    sample = arrow_map(rows.select("toxic", "text"), make_group, "toxic int, text string, first long", SLICE)
     sample = stored(sample.groupBy("toxic", "first").agg(F.min("text").alias("text")), "toxic-sample")
     # Fold 1 fits the logistic function; it sees weights that were counted on fold 0.
     sample = sample.select("toxic", "text", (F.col("first") % 3 == 1).cast("int").alias("fold"))
@@ -256,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int
 
         return each
 
-    sums = arrow_map(sample, make, "feature string, o0 long, t0 long, o1 long, t1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("o0", "t0", "o1", "t1")))
+    sums = arrow_map(sample, make, "feature string, o0 long, t0 long, o1 long, t1 long", 3 * SLICE).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("o0", "t0", "o1", "t1")))
 
     def weights(toxic: Column, other: Column, pos: int, neg: int) -> dict[str, float]:
         """Log odds less two standard errors, where they are clearly above 0."""
@@ -277,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows: int
 
         return each
 
-    cells = arrow_map(sample.where("fold = 1").select("toxic", "text"), make_stats, "toxic int, x array<double>").collect()
+    cells = arrow_map(sample.where("fold = 1").select("toxic", "text"), make_stats, "toxic int, x array<double>", SLICE).collect()
     line = logistic(np.array([r.x for r in cells]), np.array([float(r.toxic) for r in cells]))
     return {"weights": weights(F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1"), pos, neg), "line": line}
 
@@ -301,7 +307,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, .
     return tuple(map(float, b))
 
 
-def scorer(fitted: dict, model: np.ndarray, keep: int = 400_000):
+def scorer(fitted: dict, model: np.ndarray, keep: int = 200_000):
     """Functions from a text to its score, and to what the score is made of: 1, the strongest weight, the sum of the ten
     strongest, the number of hits (up to 20), and the logarithm of the number of different words."""
     words_of, spaced = word_reader(model)
@@ -352,7 +358,7 @@ def scored(docs: DataFrame, fitted: dict, model: np.ndarray, text: str = "text",
 
         return each
 
-    return arrow_map(rows, make, rows.select("row", F.lit(0.0).alias("score")).schema)
+    return arrow_map(rows, make, rows.select("row", F.lit(0.0).alias("score")).schema, SLICE)
 
 
 def trained(docs: DataFrame, labels: DataFrame, **options) -> tuple[dict, np.ndarray]:

@@ -80,7 +80,7 @@ def test_viterbi_finds_the_best_path(frame):
 
 def test_disguises_of_any_length_are_decoded(frame):
     words = "asshole shit fuck stop stupid idiot little letter book account address moron this is a small corpus of words"
-    words_of, _ = toxicity.word_reader(toxicity.character_model(frame([(i, words, "r", 0.0) for i in range(30)], DOCS)))
+    words_of, _ = toxicity.word_reader(toxicity.character_model(frame([(i, words, "r", 0.0) for i in range(3000)], DOCS)))
     for token, word in {"@$$hole": "asshole", "455hole": "asshole", "5hit": "shit", "570p": "stop", "fuuck": "fuck", "f.u.c.k": "fuck", "stuuupid": "stupid"}.items():
         assert word in words_of(token), token
     assert "stupid" in words_of(".".join("stupid" * 400)) and "stupid" in words_of("x" * 5000 + ".5tup1d." + "y" * 5000)
