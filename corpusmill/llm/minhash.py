@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, in_slices, mixed, stored, utf8_column
+from corpusmill.llm.common import arrow_map, in_slices, mixed, small_batches, stored, utf8_column
 from corpusmill.llm.components import components
 from corpusmill.operators.scale import broadcast_if_small
 
@@ -314,23 +314,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def grouped(docs: DataFrame, words: int, at_least: tuple[int, int]) -> DataFrame:
     """``near_duplicates`` of ``numbered`` rows, with their ``number``."""
-    every = stored(sketches(docs, words), "minhash-rows")
-    classes = every.where("cls is not null").groupBy("cls").agg(
-        F.min("number").alias("number"), F.first("n_shingles").alias("n"),
-        F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig"),
-    )
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    pairs, large = first_pairs(classes.select("node", F.explode("bands").alias("key")))
-    pairs = stored(likely(pairs, classes, at_least), "minhash-pairs")
-    links = labels = None
-    if not pairs.isEmpty():
-        links = stored(confirmed(pairs, classes, docs, words, at_least), "minhash-links")
-        labels = components(links)
-    more = open_links(large, labels, classes, docs, words, at_least)
-    if more is not None:
-        more = stored(more, "minhash-more")
-        if not more.isEmpty():
-            labels = components(more if links is None else links.unionByName(more))
+    with small_batches(docs.sparkSession, SLICE):
+        every = stored(sketches(docs, words), "minhash-rows")
+        classes = every.where("cls is not null").groupBy("cls").agg(
+            F.min("number").alias("number"), F.first("n_shingles").alias("n"),
+            F.first("bands", ignorenulls=True).alias("bands"), F.first("sig", ignorenulls=True).alias("sig"),
+        )
+        classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+        pairs, large = first_pairs(classes.select("node", F.explode("bands").alias("key")))
+        pairs = stored(likely(pairs, classes, at_least), "minhash-pairs")
+        links = labels = None
+        if not pairs.isEmpty():
+            links = stored(confirmed(pairs, classes, docs, words, at_least), "minhash-links")
+            labels = components(links)
+        more = open_links(large, labels, classes, docs, words, at_least)
+        if more is not None:
+            more = stored(more, "minhash-more")
+            if not more.isEmpty():
+                labels = components(more if links is None else links.unionByName(more))
     rows = every.select("number", "doc_id", "n_shingles", "cls").join(classes.select("cls", "node"), "cls", "left")
     rows = rows.withColumn("root", F.col("node")) if labels is None else rooted(rows, labels)
     firsts = rows.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first"))
