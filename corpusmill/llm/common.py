@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -39,11 +41,20 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
             for at in range(0, batch.num_rows, rows):
                 if (out := each(batch.slice(at, rows))) is not None and out.num_rows:
                     yield out
-        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        each = batch = out = None  # the caches too
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hand memory that a task has freed back to the system: its worker stays, idle or for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc alone has it
+        trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Within it, actions send at most ``rows`` rows at once to Python: for rows that hold whole texts."""

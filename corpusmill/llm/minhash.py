@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, in_slices, mixed, small_batches, stored, utf8_column
+from corpusmill.llm.common import arrow_map, give_back, in_slices, mixed, small_batches, stored, utf8_column
 from corpusmill.llm.components import components
 from corpusmill.operators.scale import broadcast_if_small
 
@@ -302,6 +302,8 @@ def open_links(large: DataFrame, labels: DataFrame | None, classes: DataFrame, d
             held = held.slice(cuts[-1]) if len(cuts) else held
         if held is not None and (out := solved(held)) is not None:
             yield out
+        held = batch = table = out = shingles = None
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
