@@ -154,11 +154,12 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:
-    """``doc_id`` and ``n_tokens`` (with ``end`` ids at the end) of every whole text."""
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int = 1, keep: int = 400_000) -> DataFrame:
+    """``doc_id`` and ``n_tokens`` (with ``end`` ids at the end) of every whole text; about ``keep`` words and pieces are
+    remembered in a task."""
 
     def make():
-        encode = piece_encoder(added=True)
+        encode = piece_encoder(keep=keep, keep_pieces=keep, added=True)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in batch.column(1).to_pylist()]
