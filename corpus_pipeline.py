@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpusmill.llm import minhash, mixing, packing, tokens, toxicity  # noqa: E402
-from corpusmill.llm.common import stored, word_count  # noqa: E402
+from corpusmill.llm.common import small_batches, stored, word_count  # noqa: E402
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, by token ids with the end id, in bins of several lengths."""
-    pieces = packing.pack(tokens.token_counts(docs), F.col("n_tokens"))
+    """Pieces of all documents, by token ids with the end id, in bins of several lengths.
+
+    Lengths are stored before they are packed, so that a core has one Python worker at a time, and texts go to it in
+    small batches: executors carry what the earlier stages left them with."""
+    with small_batches(spark, tokens.ROWS):
+        counts = stored(tokens.token_counts(docs, keep=100_000), "pipeline-lengths")
+    pieces = packing.pack(counts, F.col("n_tokens"))
     return pieces.select("row.doc_id", "piece", "piece_start", "piece_length", "bin_id", "bin_size", "bin_offset")
 
 
