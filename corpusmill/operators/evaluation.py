@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import answers as A
 from corpusmill.functions import text as T
 from corpusmill.operators.chunking import prefix_sums
+from corpusmill.operators.containment import contained, joined_texts
 from corpusmill.functions.text import let
 from corpusmill.operators.scale import broadcast_if_small, first_k, running_total
 from corpusmill.session import checkpointed
@@ -245,81 +246,82 @@ def issue_counts(checked: DataFrame) -> DataFrame:
     return checked.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-def _inner(c: Column) -> Column:
-    """Words that are neither first nor last, hence whole wherever the text occurs."""
-    words = F.split(c, " ")
-    return let(words, lambda ws: F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))))
+EVIDENCE_MODES = ("paragraph_exact", "paragraph_normalized_exact", "paragraph_normalized_contains", "document_normalized_contains")
 
 
-def _pairs_of_words(words: Column) -> Column:
-    return let(words, lambda ws: F.zip_with(
-        F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))),
-        lambda x, y: F.concat(x, F.lit(" "), y),
-    ))
-
-
-def _eight_chars(c: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 7, F.lit(1))), lambda i: F.substring(c, i, F.lit(8)))
+def locate_evidence(evidence: DataFrame, paragraphs: DataFrame, doc: str | None = None) -> DataFrame:
+    """Paragraphs that hold each evidence text, by the first of: exact, normalised, containment over 30 characters either
+    way, and with ``doc`` the joined paragraphs of a whole document, for what is shorter or runs over paragraphs.
 
-
-def _contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b) pairs whose ``norm`` text of ``inner`` lies in that of ``outer``.
-
-    A contained text brings its inner words along whole and side by side, so its longest inner pair of words is looked
-    up among the pairs of the other side: an equality join instead of all pairs. Texts with a single inner word look
-    that up, and those with none their first eight characters among the others' character runs.
-    """
-    rows = inner.select(a, "norm", _inner(F.col("norm")).alias("ws"))
-    longest = lambda c: F.array_max(F.transform(c, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    norm, every = F.col("norm"), F.split("norm", " ")
-    levels = [
-        (F.size("ws") >= 2, longest(_pairs_of_words(F.col("ws"))), _pairs_of_words(every)),
-        (F.size("ws") == 1, F.get("ws", F.lit(0)), every),
-        (F.size("ws") == 0, F.left(norm, F.lit(8)), _eight_chars(norm)),
-    ]
-    found = None
-    for i, (which, anchor, runs) in enumerate(levels):
-        part = rows.where(which)
-        if i and part.isEmpty():
-            continue
-        keyed = part.select(a, F.col("norm").alias("_in"), anchor.alias("w"))
-        lookup = outer.select(b, F.array_distinct(runs).alias("_r")).select(b, F.explode_outer("_r").alias("w"))
-        # Runs nobody asks for go before the texts are fetched.
-        lookup = lookup.join(broadcast_if_small(keyed.select("w").distinct()), "w", "left_semi")
-        pairs = keyed.join(lookup, "w").join(outer.select(b, F.col("norm").alias("_out")), b)
-        pairs = pairs.where(F.contains("_out", "_in")).select(a, b)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
-
-
-def locate_evidence(evidence: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs that hold each evidence text, by the first of: exact, normalised, containment over 30 characters.
-
-    ``evidence``: qid, evidence; ``paragraphs``: para_id, text. One row per (qid, para_id) with its ``mode``;
-    evidence found nowhere has ``none`` and no paragraph (-1).
+    ``evidence``: qid, evidence; ``paragraphs``: para_id, text and ``doc``, in whose documents they follow one another by
+    para_id. One row per (qid, para_id) with its ``mode``; a whole document names no paragraph (-1), and so does evidence
+    found nowhere, whose mode is ``none``. Empty and null texts are found only where paragraphs equal them.
     """
-    ev = evidence.select("qid", "evidence", A.normalize_evidence("evidence").alias("norm"))
-    ps = paragraphs.select("para_id", "text", A.normalize_evidence("text").alias("norm"))
-    # Equal texts meet on their digests, which are short.
-    digest = lambda df, key, c: df.select(key, F.sha2(c, 256).alias("d"))
-    exact = digest(ev, "qid", "evidence").join(digest(ps, "para_id", "text"), "d").select("qid", "para_id", F.lit(0).alias("tier"))
-    some = ev.where("norm <> ''")
-    normal = digest(some, "qid", "norm").join(digest(ps, "para_id", "norm"), "d").select("qid", "para_id", F.lit(1).alias("tier"))
-    # Both are read several times below, and reading all texts again would cost more than storing these rows.
+    # Equal texts meet on their digests, which are short. Normalised texts are read several times below.
+    sides = lambda c: (F.sha2(c, 256).alias("d"), A.normalize_evidence(c).alias("norm"))
+    ev = checkpointed(evidence.select("qid", *sides("evidence")))
+    ps = checkpointed(paragraphs.select("para_id", *([doc] if doc else []), *sides("text")))
+    digest = lambda df, key: df.select(key, F.sha2("norm", 256).alias("d"))
+    exact = ev.select("qid", "d").join(ps.select("para_id", "d"), "d").select("qid", "para_id", F.lit(0).alias("tier"))
+    some = ev.where("norm <> ''").select("qid", "norm")
+    normal = digest(some, "qid").join(digest(ps, "para_id"), "d").select("qid", "para_id", F.lit(1).alias("tier"))
     hits = checkpointed(exact.unionByName(normal))
     rest = checkpointed(some.join(hits.select("qid").distinct(), "qid", "left_anti"))
-    inside = _contained(rest.where(F.length("norm") > 30), ps, "qid", "para_id")
-    around = _contained(ps.where(F.length("norm") > 30), rest, "para_id", "qid")
-    held = inside.unionByName(around.select("qid", "para_id")).distinct().withColumn("tier", F.lit(2))
-    hits = hits.unionByName(held)
+    inside = contained(rest.where(F.length("norm") > 30), ps, "qid", "para_id")
+    around = contained(ps.where(F.length("norm") > 30), rest, "para_id", "qid")
+    hits = hits.unionByName(inside.unionByName(around.select("qid", "para_id")).distinct().withColumn("tier", F.lit(2)))
+    if doc:
+        hits = checkpointed(hits)
+        rest = checkpointed(rest.join(hits.select("qid").distinct(), "qid", "left_anti"))
+        longest = rest.agg(F.max(F.length("norm"))).first()[0]
+        if longest:
+            whole = contained(rest, checkpointed(joined_texts(ps, doc, "para_id", "norm", longest)), "qid", doc)
+            hits = hits.unionByName(whole.select("qid", F.lit(-1).cast("bigint").alias("para_id"), F.lit(3).alias("tier")).distinct())
     best = hits.groupBy("qid").agg(F.min("tier").alias("tier"))
     kept = hits.join(best, ["qid", "tier"]).distinct()
-    mode = F.when(F.col("tier") == 0, "paragraph_exact").when(F.col("tier") == 1, "paragraph_normalized_exact").otherwise("paragraph_normalized_contains")
+    mode = F.get(F.array(*map(F.lit, EVIDENCE_MODES)), F.col("tier"))
     found = kept.select("qid", "para_id", mode.alias("mode"))
     lost = ev.join(best, "qid", "left_anti").select("qid", F.lit(-1).cast("bigint").alias("para_id"), F.lit("none").alias("mode"))
     return found.unionByName(lost)
 
 
+def check_evidence(evidence: DataFrame, paragraphs: DataFrame, doc: str | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """One row per question: ``mode``, ``n_paragraphs``, the sorted ``kinds`` of the paragraphs found, whether one of them
+    has the page and line that the evidence names (``page_line_match``), ``line_match``, and the ``issues``.
+
+    ``evidence``: qid (unique), evidence, page_number, line_number; ``paragraphs``: as for ``locate_evidence``, with kind,
+    page_number and line_number. ``page_line_match`` is null where no paragraph was found or the evidence names no page
+    or no line. Then ``line_match`` says whether line ``line_number`` of ``lines`` (line_number, line) holds the evidence;
+    null without ``lines``, without a line number, or where ``lines`` ends before a line that any evidence names.
+    """
+    where = paragraphs.select("para_id", "kind", F.col("page_number").alias("_page"), F.col("line_number").alias("_line"))
+    asked = evidence.select("qid", "page_number", "line_number")
+    named = F.col("page_number").isNotNull() & F.col("line_number").isNotNull()
+    same = F.coalesce((F.col("_page") == F.col("page_number")) & (F.col("_line") == F.col("line_number")), F.lit(False))
+    rows = locate_evidence(evidence, paragraphs, doc).join(where, "para_id", "left").join(asked, "qid")
+    out = rows.groupBy("qid").agg(
+        F.first("mode").alias("mode"),
+        F.count_if(F.col("para_id") >= 0).alias("n_paragraphs"),
+        F.sort_array(F.collect_set("kind")).alias("kinds"),
+        F.max(F.when((F.col("para_id") >= 0) & named, same)).alias("page_line_match"),
+    )
+    if lines is None:
+        out = out.withColumn("line_match", F.lit(None).cast("boolean"))
+    else:
+        ends = lines.agg(F.max("line_number")).first()[0] or 0
+        last = evidence.agg(F.max("line_number")).first()[0] or 0
+        text = evidence.select("qid", "line_number", A.normalize_evidence("evidence").alias("_e")).where("line_number IS NOT NULL")
+        text = text.join(lines.select("line_number", A.normalize_evidence("line").alias("_l")), "line_number", "left")
+        holds = (F.col("_e") != "") & (F.col("_l") != "") & F.contains("_l", "_e")
+        text = text.select("qid", F.coalesce(holds, F.lit(False)).alias("_m")).where(F.lit(ends > 0 and ends >= last))
+        out = out.join(text, "qid", "left").withColumn("line_match", F.when(F.col("page_line_match").isNull(), F.col("_m"))).drop("_m")
+    return out.withColumn("issues", F.array_compact(F.array(
+        F.when(F.col("mode") == "none", "evidence_text_not_found"),
+        F.when(~F.col("page_line_match"), "page_or_line_number_mismatch"),
+        F.when(~F.col("line_match"), "line_number_does_not_match_evidence_text"),
+    )))
+
+
 # Unit words that belong to the number before them.
 UNIT_TAIL = r"(?i)^\s*(?:billion|million|thousand|percent|%|bps|basis points|usd|dollars?)\b"
 

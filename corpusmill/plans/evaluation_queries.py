@@ -392,6 +392,53 @@ def located_evidence(v_passages: DataFrame, documents: DataFrame) -> DataFrame:
     return evaluation.locate_evidence(v_passages, documents.select(F.col("doc_id").alias("para_id"), "text"))
 
 
+LINES_SQL = "SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {documents} WHERE text IS NOT NULL)"
+
+
+@built_view(f"SELECT doc_id * 1000000 + i AS para_id, doc_id, ls[i] AS text, CASE WHEN i % 3 = 0 THEN 'table' ELSE 'paragraph' END AS kind, (i - 1) // 5 + 1 AS page_number, i AS line_number FROM ({LINES_SQL})")
+def v_source_paragraphs(documents: DataFrame) -> DataFrame:
+    """Lines of documents as paragraphs, five to a page, every third a table."""
+    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    i = (F.col("i") + 1).cast("bigint")
+    return rows.select(
+        (F.col("doc_id") * 1000000 + i).alias("para_id"), "doc_id", "text", F.when(i % 3 == 0, "table").otherwise("paragraph").alias("kind"),
+        (F.floor((i - 1) / 5) + 1).alias("page_number"), i.alias("line_number"),
+    )
+
+
+# Of each document: its first line, the seam of its first two lines, its second line in other case and spaces with a wrong page, a
+# short text out of its third line, and one that no document holds.
+add_view("v_evidence_texts", """
+WITH l AS (SELECT doc_id, max(CASE line_number WHEN 1 THEN text END) AS a, max(CASE line_number WHEN 2 THEN text END) AS b, max(CASE line_number WHEN 3 THEN text END) AS c FROM {v_source_paragraphs} GROUP BY doc_id)
+SELECT doc_id * 5 AS qid, a AS evidence, CAST(1 AS BIGINT) AS page_number, CAST(1 AS BIGINT) AS line_number FROM l
+UNION ALL SELECT doc_id * 5 + 1, right(a, 25) || '  ' || left(b, 25), CAST(1 AS BIGINT), CAST(NULL AS BIGINT) FROM l
+UNION ALL SELECT doc_id * 5 + 2, ' ' || replace(replace(b, 'e', 'E'), ' ', '  '), CAST(9 AS BIGINT), CAST(2 AS BIGINT) FROM l
+UNION ALL SELECT doc_id * 5 + 3, substr(c, 5, 18), CAST(NULL AS BIGINT), CAST(3 AS BIGINT) FROM l
+UNION ALL SELECT doc_id * 5 + 4, 'q#' || CAST(doc_id AS STRING) || ' is nowhere in the given texts', CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM l
+""")
+
+
+@query("E21", r"""
+WITH e AS (SELECT *, trim(lower(regexp_replace(evidence, '[ \t\r\n\f\v]+', ' ', 'g'))) AS n FROM {v_evidence_texts}),
+p AS (SELECT *, trim(lower(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g'))) AS n FROM {v_source_paragraphs}),
+x AS (SELECT qid, para_id, 0 AS tier FROM e JOIN p ON e.evidence = p.text UNION ALL SELECT qid, para_id, 1 FROM e JOIN p ON e.n = p.n WHERE e.n <> ''),
+y AS (SELECT * FROM x UNION ALL SELECT qid, para_id, 2 FROM (SELECT * FROM e WHERE n <> '' AND qid NOT IN (SELECT qid FROM x)) e JOIN p ON (length(e.n) > 30 AND contains(p.n, e.n)) OR (length(p.n) > 30 AND contains(e.n, p.n))),
+d AS (SELECT doc_id, string_agg(n, ' ' ORDER BY para_id) AS t FROM p WHERE n <> '' GROUP BY doc_id),
+z AS (SELECT * FROM y UNION ALL SELECT DISTINCT qid, -1, 3 FROM (SELECT * FROM e WHERE n <> '' AND qid NOT IN (SELECT qid FROM y)) e JOIN d ON contains(d.t, e.n)),
+b AS (SELECT DISTINCT qid, para_id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY qid) AS best FROM z) WHERE tier = best),
+g AS (SELECT b.qid, min(tier) AS tier, count(p.para_id) AS n, string_agg(DISTINCT p.kind, ',' ORDER BY p.kind) AS kinds,
+  bool_or(CASE WHEN p.para_id IS NOT NULL AND e.page_number IS NOT NULL AND e.line_number IS NOT NULL THEN p.page_number = e.page_number AND p.line_number = e.line_number END) AS agree
+  FROM b JOIN e ON e.qid = b.qid LEFT JOIN p ON p.para_id = b.para_id GROUP BY b.qid)
+SELECT e.qid, CASE g.tier WHEN 0 THEN 'paragraph_exact' WHEN 1 THEN 'paragraph_normalized_exact' WHEN 2 THEN 'paragraph_normalized_contains' WHEN 3 THEN 'document_normalized_contains' ELSE 'none' END AS mode,
+  coalesce(g.n, 0) AS n_paragraphs, coalesce(g.kinds, '') AS kinds, g.agree AS page_line_match,
+  concat_ws(',', CASE WHEN g.qid IS NULL THEN 'evidence_text_not_found' END, CASE WHEN NOT g.agree THEN 'page_or_line_number_mismatch' END) AS issues
+FROM e LEFT JOIN g USING (qid)
+""")
+def evidence_checks(v_evidence_texts: DataFrame, v_source_paragraphs: DataFrame) -> DataFrame:
+    rows = evaluation.check_evidence(v_evidence_texts, v_source_paragraphs, "doc_id")
+    return rows.select("qid", "mode", "n_paragraphs", F.array_join("kinds", ",").alias("kinds"), "page_line_match", F.array_join("issues", ",").alias("issues"))
+
+
 add_view("v_span_tasks", """
 SELECT o_orderkey AS qid, 'The first line. Total price was $' || amt || ' million for order ' || CAST(o_orderkey AS STRING) || '! It holds .75 of all. Last words? Yes.' AS evidence,
        CASE o_orderkey % 6 WHEN 0 THEN '$' || amt WHEN 1 THEN 'total price' WHEN 2 THEN '0.75' WHEN 3 THEN '$' || amt || '0 million' WHEN 4 THEN 'nowhere' ELSE ' Yes ' END AS answer, amt
