@@ -260,7 +260,7 @@ def locate_evidence(evidence: DataFrame, paragraphs: DataFrame, doc: str | None
     # Equal texts meet on their digests, which are short. Normalised texts are read several times below.
     sides = lambda c: (F.sha2(c, 256).alias("d"), A.normalize_evidence(c).alias("norm"))
     ev = checkpointed(evidence.select("qid", *sides("evidence")))
-    ps = checkpointed(paragraphs.select("para_id", *([doc] if doc else []), *sides("text")))
+    ps = checkpointed(paragraphs.select("para_id", *([F.col(doc).alias("_doc")] if doc else []), *sides("text")))
     digest = lambda df, key: df.select(key, F.sha2("norm", 256).alias("d"))
     exact = ev.select("qid", "d").join(ps.select("para_id", "d"), "d").select("qid", "para_id", F.lit(0).alias("tier"))
     some = ev.where("norm <> ''").select("qid", "norm")
@@ -275,7 +275,7 @@ def locate_evidence(evidence: DataFrame, paragraphs: DataFrame, doc: str | None
         rest = checkpointed(rest.join(hits.select("qid").distinct(), "qid", "left_anti"))
         longest = rest.agg(F.max(F.length("norm"))).first()[0]
         if longest:
-            whole = contained(rest, checkpointed(joined_texts(ps, doc, "para_id", "norm", longest)), "qid", doc)
+            whole = contained(rest, checkpointed(joined_texts(ps, "_doc", "para_id", "norm", longest)), "qid", "_doc")
             hits = hits.unionByName(whole.select("qid", F.lit(-1).cast("bigint").alias("para_id"), F.lit(3).alias("tier")).distinct())
     best = hits.groupBy("qid").agg(F.min("tier").alias("tier"))
     kept = hits.join(best, ["qid", "tier"]).distinct()
