@@ -150,7 +150,8 @@ def assembled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the pieces of a part for each role; the turns 6 and 7 of every eight end theirs."""
     end = streams.Closing(spark)
     raw = streams.read_table_stream(spark, sf_dir, "conversations")
-    at = F.timestamp_seconds(F.lit(1_706_745_600) + F.col("conv_id") * 3600 + F.col("turn"))
+    # Conversations start hours apart; the hours wrap, so that no number of conversations reaches the closing marker's time.
+    at = F.timestamp_seconds(F.lit(1_706_745_600) + F.pmod("conv_id", F.lit(100_000)) * 3600 + F.col("turn"))
     deltas = raw.select(
         F.col("conv_id").alias("message_id"), F.col("role").alias("part_id"), F.col("turn").cast("bigint").alias("seq"), F.col("text").alias("delta"),
         (F.col("turn") % 8 >= 6).alias("is_end"), at.alias("ts"),
