@@ -149,6 +149,11 @@ def qa_cells(docs: DataFrame, source: str, text: str = "content", key: str = "do
     )
 
 
+def _rounded(value: Column, places: int) -> Column:
+    """A double with so many places. Its exact binary value is rounded, not its shortest decimal form as in format_string."""
+    return F.replace(F.format_number(value, places), F.lit(","), F.lit(""))
+
+
 def qa_arithmetic(docs: DataFrame, source: str, text: str = "content", key: str = "doc_id") -> DataFrame:
     """Difference and percent change of a row's first two numbers, and the ratio to the next row's number."""
     said = f"According to {source}, what is the "
@@ -163,7 +168,7 @@ def qa_arithmetic(docs: DataFrame, source: str, text: str = "content", key: str
         F.col("vals")[0]["name"].alias("c1"), F.col("vals")[1]["name"].alias("c2"),
     )
     diff = F.col("v1") - F.col("v2")
-    change = F.when(F.col("v2") == 0, "n/a").otherwise(F.format_string("%.2f%%", diff / F.nullif(F.abs("v2"), F.lit(0.0)) * 100))
+    change = F.when(F.col("v2") == 0, "n/a").otherwise(F.concat(_rounded(diff / F.nullif(F.abs("v2"), F.lit(0.0)) * 100, 2), F.lit("%")))
     difference = two.select(
         key, "row", F.lit("difference").alias("kind"),
         F.concat(F.lit(said + "absolute difference for '"), "label", F.lit("' between '"), "c1", F.lit("' and '"), "c2", F.lit("'?")).alias("question"),
@@ -189,7 +194,7 @@ def qa_arithmetic(docs: DataFrame, source: str, text: str = "content", key: str
     ratio = packed.select(key, F.explode(ratios).alias("z")).where("z.x IS NOT NULL").select(
         key, "z.row", F.lit("ratio").alias("kind"),
         F.concat(F.lit(said + "ratio of '"), F.col("z.l1"), F.lit("' to '"), F.col("z.l2"), F.lit("' for '"), F.col("z.x.name"), F.lit("'?")).alias("question"),
-        F.format_string("%.4fx", F.col("z.x.r")).alias("answer"),
+        F.concat(_rounded(F.col("z.x.r"), 4), F.lit("x")).alias("answer"),
     )
     return difference.unionByName(percent).unionByName(ratio)
 
