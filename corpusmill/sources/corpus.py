@@ -174,7 +174,8 @@ def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at", file_r
     """Upsert by chunk id into a table with one partition per space and strategy.
 
     Only the partitions that the new chunks touch are read and rewritten. The merged rows are checkpointed first,
-    since their old files are replaced by the write. A partition gets files of about ``file_rows`` rows.
+    since their old files are replaced by the write. A partition gets files of about ``file_rows`` rows. What is known of
+    partitions, a row for each, is broadcast: a join on their few names would gather a partition's chunks in one task.
     """
     from corpusmill.session import checkpointed
 
@@ -183,12 +184,12 @@ def write_chunks(chunks: DataFrame, path: str, order: str = "indexed_at", file_r
     old = table_if_there(spark, path)
     if old is not None:
         touched = new.select("space_id", "strategy").distinct()
-        old = old.join(touched, ["space_id", "strategy"], "left_semi")
+        old = old.join(F.broadcast(touched), ["space_id", "strategy"], "left_semi")
         new = last_per_chunk(old.select(*new.columns).unionByName(new), order)
     new = checkpointed(new)
     sizes = new.groupBy("space_id", "strategy").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))
     (
-        new.join(sizes, ["space_id", "strategy"]).withColumn("_file", F.pmod(F.hash("chunk_id"), F.col("_files")))
+        new.join(F.broadcast(sizes), ["space_id", "strategy"]).withColumn("_file", F.pmod(F.hash("chunk_id"), F.col("_files")))
         .repartition("space_id", "strategy", "_file").drop("_files", "_file")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space_id", "strategy").parquet(path)
     )
