@@ -14,6 +14,10 @@ from corpusmill.functions import text as T
 from corpusmill.session import checkpointed
 
 
+#: Parents that are looked up one by one.
+CLIMB = 32
+
+
 def ancestors(folders: DataFrame) -> DataFrame:
     """(folder_id, ancestor_id, distance), each folder its own ancestor at distance 0."""
     up = folders.select("folder_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
@@ -65,10 +69,30 @@ def folder_paths(folders: DataFrame) -> DataFrame:
     )
 
 
+def chain_of(folders: DataFrame, folder_id: int) -> DataFrame:
+    """(folder_id, ancestor_id, distance) of one folder, itself included: its parents one after another, a scan for each of
+    the first ``CLIMB``; only a longer chain needs everybody's ancestors."""
+    chain, at = [], folder_id
+    while len(chain) <= CLIMB:
+        found = folders.where(F.col("folder_id") == at).select("parent_id").take(2)
+        if len(found) > 1:
+            break
+        if found:
+            chain.append((folder_id, at, len(chain)))
+            at = found[0].parent_id
+        elif chain and at is not None:
+            chain.append((folder_id, at, len(chain)))  # a parent that is no folder itself
+            at = None
+        if not found or at is None or at in [c[1] for c in chain]:
+            kind = folders.schema["folder_id"].dataType.simpleString()
+            return folders.sparkSession.createDataFrame(chain, f"folder_id {kind}, ancestor_id {kind}, distance int")
+    return ancestors(folders).where(F.col("folder_id") == folder_id)
+
+
 def breadcrumb(folders: DataFrame, folder_id: int) -> DataFrame:
     """Folders from the root down to one folder."""
-    chain = ancestors(folders).where(F.col("folder_id") == folder_id)
-    named = chain.select("ancestor_id", "distance").join(
+    chain = chain_of(folders, folder_id)
+    named = F.broadcast(chain.select("ancestor_id", "distance")).join(
         folders.select(F.col("folder_id").alias("ancestor_id"), "name"), "ancestor_id"
     )
     far = chain.agg(F.max("distance")).scalar()
