@@ -2,8 +2,9 @@
 
 The index is cut into *shards* of documents, by a hash of the key, so that no term has more postings in one place than a
 shard has documents, however common it is. In a shard documents are numbered in the order of their keys; a row of the
-index is a term of a shard with the numbers of its documents, the impact of the term on each, and an upper bound of the
-impacts in each block of ``BLOCK`` postings. Building reads the texts twice: for their lengths, and for their terms.
+index is a term of a shard with the numbers of its documents and how often each has it; one more row of a shard has the
+keys and lengths of its documents. What a term counts in a document hangs on the mean length of all, so it is worked out
+where the term is asked for, with an upper bound of each block of ``BLOCK`` postings. Building splits the texts once.
 
 Ranking takes the terms of a query from the dearest to the cheapest. A shard keeps partial scores; as soon as the terms
 that are left could not bring a new document among the first k, only documents that are still in reach are looked up in
@@ -43,6 +44,10 @@ class Index:
     def postings(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/postings")
 
+    def mean_length(self, spark: SparkSession) -> float:
+        total, counted = self.postings(spark).where("term is null").agg(F.sum("total"), F.sum("counted")).first()
+        return total / counted if total and counted else 1.0
+
     def document_frequencies(self, spark: SparkSession) -> DataFrame:
         return self.postings(spark).where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
 
@@ -55,50 +60,59 @@ def bounds(impacts: np.ndarray, starts: np.ndarray, block: int = BLOCK) -> tuple
     return np.maximum.reduceat(impacts, first) if len(impacts) else impacts, n
 
 
+def impact(tf: np.ndarray, lengths: np.ndarray, mean: float, shape: list[float] | None) -> np.ndarray:
+    """What a term counts in documents: by BM25 with ``shape`` (k1, b), 1 without."""
+    if shape is None:
+        return np.ones(len(tf))
+    k1, b = shape
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths / mean))
+
+
 def write_index(
     docs: DataFrame, path: str, terms: Column, key: str = "doc_id", k1: float = 1.5, b: float = 0.75, binary: bool = False,
     shard_docs: int = SHARD_DOCS,
 ) -> Index:
     """Index ``docs`` by ``terms`` (an array of strings). The impact is that of BM25, or 1 for each term if ``binary``.
 
-    One exchange, by shard. A document without terms counts as a document; one whose terms are null does not lower the mean
+    Documents are counted first, without their terms. One exchange, by shard. A document without terms counts as a document; one whose terms are null does not lower the mean
     length.
     """
     spark = docs.sparkSession
-    n_docs, mean = docs.select(F.when(terms.isNotNull(), F.size(terms)).alias("n")).agg(F.count("*"), F.avg("n")).first()
+    n_docs = docs.count()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // shard_docs))
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).alias("key"), terms.alias("terms"))
-    lists = {"docs": "integer", "impacts": "double", "tops": "double"}
-    schema = S.StructType().add("shard", "integer").add("term", "string").add("n", "integer")
-    for name, kind in lists.items():
-        schema = schema.add(name, S.ArrayType(S.DoubleType() if kind == "double" else S.IntegerType()))
-    schema = schema.add("keys", S.ArrayType(rows.schema["key"].dataType))
+    whole = S.ArrayType(S.IntegerType())
+    schema = S.StructType().add("shard", "integer").add("term", "string").add("n", "integer").add("docs", whole).add("tf", whole)
+    schema = schema.add("keys", S.ArrayType(rows.schema["key"].dataType)).add("lengths", whole)
+    schema = schema.add("total", "long").add("counted", "long").add("shape", S.ArrayType(S.DoubleType()))
 
     def built(name: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("key").combine_chunks()
         tokens = group.column("terms").combine_chunks()
         tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+        sizes = pc.list_value_length(tokens)
+        lengths = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = tokens.flatten().dictionary_encode()
         row = np.repeat(np.arange(len(lengths)), lengths)
         pairs, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * max(1, len(lengths)) + row, return_counts=True)
         term, doc = pairs // max(1, len(lengths)), pairs % max(1, len(lengths))
-        impacts = np.ones(len(doc)) if binary else tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / (mean or 1.0)))
         starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, dtype=np.int64)
-        tops, n_tops = bounds(impacts, starts)
         ends = np.append(starts, len(doc)).astype(np.int32)
-        cut = lambda values, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
+        cut = lambda values, at: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.astype(np.int32)))
         n = len(starts)
         found = pa.table({
             "shard": pa.array([name[0].as_py()] * n, pa.int32()), "term": flat.dictionary.take(pa.array(term[starts])), "n": pa.array(np.diff(ends).astype(np.int32)),
-            "docs": cut(doc.astype(np.int32), ends), "impacts": cut(impacts, ends), "tops": cut(tops, np.append(0, np.cumsum(n_tops))),
-            "keys": pa.nulls(n, pa.list_(group.column("key").type)),
+            "docs": cut(doc, ends), "tf": cut(tf, ends), "keys": pa.nulls(n, pa.list_(group.column("key").type)), "lengths": pa.nulls(n, pa.list_(pa.int32())),
+            "total": pa.nulls(n, pa.int64()), "counted": pa.nulls(n, pa.int64()), "shape": pa.nulls(n, pa.list_(pa.float64())),
         })
         keys = group.column("key").combine_chunks()
         keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         names = pa.table({
             "shard": pa.array([name[0].as_py()], pa.int32()), "term": pa.nulls(1, pa.string()), "n": pa.array([len(keys)], pa.int32()),
-            **{x: pa.nulls(1, found.column(x).type) for x in lists}, "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+            "docs": pa.nulls(1, found.column("docs").type), "tf": pa.nulls(1, found.column("tf").type), "keys": one(keys), "lengths": one(pa.array(lengths, pa.int32())),
+            "total": pa.array([int(lengths.sum())], pa.int64()), "counted": pa.array([len(sizes) - sizes.null_count], pa.int64()),
+            "shape": pa.array([None if binary else [k1, b]], pa.list_(pa.float64())),
         })
         return pa.concat_tables([found, names])
 
@@ -166,7 +180,8 @@ def search(index: Index, weights: DataFrame, k: int, all_terms: bool = False) ->
     postings = index.postings(spark)
     wanted = postings.join(broadcast_if_small(weights.select("term", F.col("qb").alias("block")).distinct()), "term").withColumnRenamed("block", "qb")
     names = postings.where("term is null").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    columns = ["shard", "qb", "term", "docs", "impacts", "tops", "keys"]
+    columns = ["shard", "qb", "term", "docs", "tf", "keys", "lengths", "shape"]
+    mean = index.mean_length(spark)
     left = wanted.select(columns).unionByName(names.select(columns))
     right = weights.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
     key_type = postings.schema["keys"].dataType.elementType
@@ -175,13 +190,18 @@ def search(index: Index, weights: DataFrame, k: int, all_terms: bool = False) ->
     def ranked(_: tuple, shard: pa.Table, asked: pa.Table) -> pa.Table:
         shard = shard.combine_chunks()
         name = shard.column("term").to_pylist()
-        keys = next((shard.column("keys")[i].values for i, t in enumerate(name) if t is None), None)
+        at = next((i for i, t in enumerate(name) if t is None), None)
+        keys = None if at is None else shard.column("keys")[at].values
         query_type = asked.schema.field("query_id").type
         if keys is None or not asked.num_rows:
             return pa.table({"query_id": pa.array([], query_type), index.key: pa.array([], shard.schema.field("keys").type.value_type), "score": pa.array([], pa.float64())})
-        values = {c: shard.column(c) for c in ("docs", "impacts", "tops")}
-        rows = {t: i for i, t in enumerate(name) if t is not None}
-        lists = {t: tuple(values[c][i].values.to_numpy(zero_copy_only=False) for c in values) for t, i in rows.items()}
+        lengths, shape = shard.column("lengths")[at].values.to_numpy(zero_copy_only=False).astype(np.int64), shard.column("shape")[at].as_py()
+        lists = {}
+        for i, t in enumerate(name):
+            if t is not None:
+                docs, tf = (shard.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("docs", "tf"))
+                impacts = impact(tf.astype(np.int64), lengths[docs], mean, shape)
+                lists[t] = docs, impacts, bounds(impacts, np.array([0]))[0]
         asked = asked.sort_by("query_id")
         ids, terms, weight = (asked.column(c).to_pylist() for c in ("query_id", "term", "weight"))
         out_ids, out_docs, out_scores = [], [], []

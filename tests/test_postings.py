@@ -88,3 +88,18 @@ def test_an_index_can_be_asked_again(spark, tmp_path):
     queries = spark.createDataFrame(QUERIES, "query_id long, query string")
     rows = [sorted(map(tuple, retrieval.bm25_topk(queries, table, 5, index=i).collect())) for i in (index, again)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_texts_are_split_once(spark, tmp_path):
+    split = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def terms(text):
+        split.add(1)
+        return None if text is None else text.split()
+
+    table = spark.createDataFrame(list(enumerate(texts(80, 7))), "doc_id long, text string")
+    index = postings.write_index(table, str(tmp_path / "index"), terms("text"))
+    assert split.value == index.n_docs == table.count()
+    lengths = [len(t.split()) for t in texts(80, 7) if t is not None]
+    assert index.mean_length(spark) == sum(lengths) / len(lengths)
