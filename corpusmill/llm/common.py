@@ -6,14 +6,13 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import checkpoint_dir
+from corpusmill.session import checkpoint_dir, small_batches  # noqa: F401
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,18 +54,6 @@ def give_back() -> None:
         trim(0)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Within it, actions send at most ``rows`` rows at once to Python: for rows that hold whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def utf8_column(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

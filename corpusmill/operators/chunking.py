@@ -17,6 +17,7 @@ from pyspark.sql import types as S
 
 from corpusmill.functions.text import WS, let, words
 from corpusmill.operators.scale import running_total
+from corpusmill.session import made_in_small_batches
 
 
 def _pieces(text: Column, step: int) -> Column:
@@ -167,9 +168,8 @@ def prefix_sums(lengths: pd.Series) -> pd.Series:
 
 def chunk_recursive(df: DataFrame, max_tokens: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Paragraph, line, sentence, word ladder under a cap of words."""
-    return df.select(key, F.posexplode(recursive_array(max_tokens)(F.col(text))).alias("idx", "content")).withColumn(
-        "idx", F.col("idx").cast("bigint")
-    )
+    pieces = df.select(key, F.posexplode(recursive_array(max_tokens)(F.col(text))).alias("idx", "content"))
+    return made_in_small_batches(pieces.withColumn("idx", F.col("idx").cast("bigint")))
 
 
 def line_runs(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from corpusmill import registry
 from corpusmill.plans.catalog import path_query, query
 from corpusmill.plans.chunk_queries import chars_sql
 from corpusmill.plans.retrieval_queries import BM25_DOCS, rrf_sql, VECTOR_DOCS
-from corpusmill.session import checkpoint_dir
+from corpusmill.session import checkpoint_dir, made_in_small_batches
 from corpusmill.sources import corpus
 
 
@@ -127,7 +127,8 @@ SELECT doc_id, CAST(b AS BIGINT) AS dim, round(n / norm, 6) AS value FROM b JOIN
 def hashed_embeddings(documents: DataFrame) -> DataFrame:
     rows = registry.embed(documents, {"hashing": registry.hashing_embedder(8)})
     flat = rows.select("doc_id", F.posexplode("vector").alias("dim", "value"))
-    return flat.where("value <> 0").select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value"), 6).alias("value"))
+    found = flat.where("value <> 0").select("doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value"), 6).alias("value"))
+    return made_in_small_batches(found)
 
 
 @query("U3", "SELECT doc_id, upper(lang) AS lang FROM {documents} WHERE n_chars > 500 AND lang = 'en'")
