@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 import uuid
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,12 @@ def give_back() -> None:
         trim(0)
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps for its next tasks. The library reaches workers by value, so its own globals last for one
+    task; the list of modules lasts as long as the worker."""
+    return vars(sys.modules.setdefault("corpusmill_memory", ModuleType("corpusmill_memory")))
+
+
 def utf8_column(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]

@@ -19,14 +19,14 @@ import re
 import zlib
 from array import array
 from collections.abc import Sequence
-from itertools import chain, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, in_slices, list_array, shared_path
+from corpusmill.llm.common import arrow_map, in_slices, list_array, shared_path, worker_memory
 
 #: The byte-level vocabulary's pre-tokenizer pattern.
 PIECES = (
@@ -38,6 +38,9 @@ PIECES = (
 #: Rows whose ids a task holds at once.
 ROWS = 1000
 
+#: Pieces that a Python worker remembers from task to task.
+LASTING = 800_000
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -45,100 +48,94 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 400_000, whole: int = 100, added: bool = False):
+def piece_encoder(path: str | None = None, keep: int = 400_000, keep_pieces: int = 400_000, whole: int = 100, added: bool = False, lasting: bool = False):
     """A function from texts to arrays of token ids, for use inside a task.
 
     Merges never cross a piece of the pre-tokenizer, and pieces never cross a space before a word. So a text is cut at
-    its spaces; each distinct word is encoded once, and after that its place in one long array of ids is looked up and
-    a text's ids are gathered from there. About ``keep`` words and ``keep_pieces`` pieces are remembered (then that
-    memory is emptied), none longer than ``whole`` characters for long. Control strings in a text are ordinary text; with
-    ``added`` a text is cut at the vocabulary's added tokens first, and these get their own ids.
+    its spaces; each distinct word is encoded once, and after that its ids are looked up as bytes and joined. About
+    ``keep`` words and ``keep_pieces`` pieces are remembered (then the words, or the older half of the pieces, are
+    forgotten), none longer than ``whole`` characters. Control strings in a text are ordinary text; with ``added`` a text is cut at the vocabulary's added tokens
+    first, and these get their own ids. With ``lasting`` the vocabulary and the pieces stay in the Python worker for its
+    next tasks: most of a task's new words are new to that task alone.
     """
     import regex
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path or tokenizer_path())
-    if not byte_level(tokenizer):
-        raise ValueError("only vocabularies of at most 65536 ids whose texts are cut by the byte-level pattern alone are supported")
-    tokenize = tokenizer.model.tokenize
+    tokenizer, pieces = _pieces(path or tokenizer_path(), whole, lasting)
     own = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()} if added else {}
     if added and any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
         raise ValueError("added tokens that take in white space or stand as words alone are not supported")
     cut_added = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")").split if own else None
-    signs = byte_signs()
     split = regex.compile(PIECES).findall
     inner = re.compile(r" \s").search
-    place: dict[str | tuple[str], int] = {}
-    pieces: dict[str, bytes] = {}
-    ids, starts, sizes = [np.zeros(0, dtype=kind) for kind in (np.uint16, np.int64, np.int64)]
-
-    def words(text: str) -> list[str | tuple[str]]:
-        """A word stands for a space and itself, a tuple for what it holds (with None before it an added token). White
-        space is never cut within a run."""
-        if cut_added and any(t in text for t in own):
-            parts = cut_added(text)
-            return [w for i, p in enumerate(parts) if p for w in ([(None, p)] if i % 2 else plain(p))]
-        return plain(text)
 
-    def plain(text: str) -> list[str | tuple[str]]:
+    class Words(dict):
+        """Ids of a space and the word behind it, as bytes."""
+
+        def __missing__(self, word: str) -> bytes:
+            if word.isalpha():  # a space and letters are one piece
+                got = piece_ids(" " + word)
+            elif word[-1:] in (".", ",") and word[:-1].isalpha():
+                got = piece_ids(" " + word[:-1]) + piece_ids(word[-1])
+            else:
+                got = b"".join(map(piece_ids, split(" " + word)))
+            if len(word) < whole:
+                self[word] = got
+            return got
+
+    words = Words()
+    piece_ids, word_ids = pieces.__getitem__, words.__getitem__
+
+    def plain(text: str) -> bytes:
+        """White space is never cut within a run."""
         if inner(text):
-            return [(p,) for p in split(text)]
-        out: list = text.split(" ")
-        out[0] = (out[0],)
-        return out
-
-    def encoded(piece: str) -> bytes:
-        got = pieces.get(piece)
-        if got is None:
-            got = array("H", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(signs))]).tobytes()
-            if len(piece) <= whole:
-                pieces[piece] = got
-        return got
+            return b"".join(map(piece_ids, split(text)))
+        first, *rest = text.split(" ")
+        return b"".join(map(piece_ids, split(first))) + b"".join(map(word_ids, rest))
 
-    def of_word(word: str | tuple[str]) -> bytes:
-        if isinstance(word, tuple) and len(word) == 2:
-            return array("H", [own[word[1]]]).tobytes()
-        text = word[0] if isinstance(word, tuple) else " " + word
-        body = text[1:]
-        if body.isalpha() and (text[0] == " " or text.isalpha()):  # a space and letters are one piece
-            return encoded(text)
-        if text[:1] == " " and body[-1:] in (".", ",") and body[:-1].isalpha():
-            return encoded(text[:-1]) + encoded(body[-1])
-        return b"".join(map(encoded, split(text)))
+    def whole_text(text: str) -> bytes:
+        if cut_added and any(t in text for t in own):
+            return b"".join(array("H", [own[p]]).tobytes() if i % 2 else plain(p) for i, p in enumerate(cut_added(text)) if p)
+        return plain(text)
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        nonlocal ids, starts, sizes
-        if not texts:
-            return []
         if len(pieces) > keep_pieces:
-            pieces.clear()
-        if len(place) > keep or forget[0]:
-            place.clear()
-            ids, starts, sizes = ids[:0], starts[:0], sizes[:0]
-        cut = [words(t) for t in texts]
-        every = list(chain.from_iterable(cut))
-        at = np.fromiter(map(place.get, every, repeat(-1)), dtype=np.int64, count=len(every))
-        new, unknown = [], np.flatnonzero(at < 0)
-        for i in unknown.tolist():
-            w = every[i]
-            n = place.get(w)
-            if n is None:
-                n = place[w] = len(place)
-                new.append(of_word(w))
-            at[i] = n
-        n = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) // 2
-        forget[0] = bool(len(n)) and int(n.max()) > whole  # a very long word must not stay
-        begin = len(ids) + np.cumsum(n) - n
-        ids, starts, sizes = np.concatenate([ids, np.frombuffer(b"".join(new), dtype=np.uint16)]), np.concatenate([starts, begin]), np.concatenate([sizes, n])
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        found = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])].astype(np.uint32)
-        return np.split(found, ends[np.cumsum([len(c) for c in cut])][:-1])
-
-    forget = [False]
+            for piece in list(islice(pieces, keep_pieces // 2)):  # the oldest
+                del pieces[piece]
+        if len(words) > keep:
+            words.clear()
+        return [np.frombuffer(whole_text(t), dtype=np.uint16) for t in texts]
+
     return encode
 
 
+class Pieces(dict):
+    """Ids of pieces of the pre-tokenizer, as bytes; what is not there yet is encoded, and kept if it is short."""
+
+    def __init__(self, tokenizer, whole: int) -> None:
+        super().__init__()
+        self.tokenize, self.signs, self.whole = tokenizer.model.tokenize, byte_signs(), whole
+
+    def __missing__(self, piece: str) -> bytes:
+        got = array("H", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.signs))]).tobytes()
+        if len(piece) <= self.whole:
+            self[piece] = got
+        return got
+
+
+def _pieces(path: str, whole: int, lasting: bool) -> tuple:
+    """A tokenizer and its pieces: none so far, or those that this worker knows."""
+    from tokenizers import Tokenizer
+
+    kept = worker_memory() if lasting else {}
+    name = f"pieces {path} {whole}"
+    if name not in kept:
+        tokenizer = Tokenizer.from_file(path)
+        if not byte_level(tokenizer):
+            raise ValueError("only vocabularies of at most 65536 ids whose texts are cut by the byte-level pattern alone are supported")
+        kept[name] = tokenizer, Pieces(tokenizer, whole)
+    return kept[name]
+
+
 def byte_level(tokenizer) -> bool:
     """Whether ``PIECES`` is how the tokenizer cuts texts, with nothing before or after that changes ids."""
     cut = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
@@ -187,7 +184,7 @@ def write_tokens(
     )
 
     def make():
-        encode = piece_encoder(added=added)
+        encode = piece_encoder(added=added, keep_pieces=LASTING, lasting=True)
         tail = np.array([end_id], dtype=np.uint32)
         so_far = 0
 

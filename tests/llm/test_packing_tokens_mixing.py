@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,3 +186,29 @@ def test_other_pre_tokenizers_are_refused(tmp_path):
         other.save(str(tmp_path / "t.json"))
         with pytest.raises(ValueError):
             tokens.piece_encoder(str(tmp_path / "t.json"))
+
+
+def test_pieces_last_from_task_to_task():
+    """op2_token_store: a worker's next task encodes only what no task before it had; what is forgotten comes out alike."""
+    texts = ["The first wörd, and the next.", "", " alone", "a  b\n c", "x" * 150 + " the first"]
+    plain = [x.tolist() for x in tokens.piece_encoder()(texts)]
+    first = tokens.piece_encoder(lasting=True)
+    assert [x.tolist() for x in first(texts)] == plain
+    _, pieces = tokens._pieces(tokens.tokenizer_path(), 100, True)
+    pieces.tokenize = None  # nothing may be encoded again but the long piece
+    assert [x.tolist() for x in tokens.piece_encoder(lasting=True)(texts[:-1])] == plain[:-1]
+    tokens.worker_memory().clear()
+    small = tokens.piece_encoder(keep=2, keep_pieces=6, lasting=True)
+    assert [[x.tolist() for x in small([t])] for t in texts * 3] == [[x] for x in plain * 3]
+    tokens.worker_memory().clear()
+
+
+def test_memory_of_a_worker_outlives_its_task(spark):
+    def run(batches):
+        from corpusmill.llm.common import worker_memory as memory
+
+        for batch in batches:
+            memory()["n"] = memory().get("n", 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([memory()["n"]])], ["n"])
+
+    assert max(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(run, "n long").collect()) > 1
