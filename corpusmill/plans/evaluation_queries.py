@@ -473,7 +473,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row, CASE WHEN m
 SELECT r.doc_id, r.target, r.row, r.col, r.cell, r.method, l.cell AS row_label, h.cell AS column_hint FROM r LEFT JOIN cells l ON l.doc_id = r.doc_id AND l.row = r.row AND l.col = 0 LEFT JOIN cells h ON h.doc_id = r.doc_id AND h.row = 0 AND h.col = r.col WHERE rn = 1
 """)
 def found_cells(v_tables: DataFrame, v_cell_targets: DataFrame) -> DataFrame:
-    return evaluation.find_cells(chunking.markdown_cells(v_tables), v_cell_targets)
+    return evaluation.find_table_cells(v_tables, v_cell_targets)
 
 
 @query("E25", """
