@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.plans.catalog import path_query
@@ -42,17 +42,24 @@ FROM two LEFT JOIN fresh ON fresh.doc_id = two.doc_id WHERE was OR coalesce(firs
 """)
 def ingested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, and then all again under new titles, a fifth of them with new content; compacted in the end."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = f"{checkpoint_dir(spark)}/ingest/{uuid.uuid4().hex}"
-    text, again = F.col("text"), F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
-    for name, content in (("Document", text), ("Second", again)):
-        raw.select(
+
+    def arriving(docs: DataFrame, name: str, content: Column) -> DataFrame:
+        return docs.select(
             F.col("doc_id").alias("arrival"), F.lit(1).cast("bigint").alias("space_id"), F.lit("FILE").alias("doc_type"),
             F.concat(F.lit("u-"), F.col("doc_id").cast("string")).alias("unique_id"), F.concat(F.lit(name + " "), F.col("doc_id").cast("string")).alias("title"),
             content.alias("content"),
-        ).write.mode("append").parquet(f"{path}/arrived")
-        schema = spark.read.parquet(f"{path}/arrived").schema
-        streams.stream_ingest(spark.readStream.schema(schema).parquet(f"{path}/arrived"), f"{path}/corpus", buckets=8).awaitTermination()
+        )
+
+    revised = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
+    again = arriving(spark.read.parquet(f"{sf_dir}/documents.parquet"), "Second", revised)
+    again.limit(0).write.parquet(f"{path}/again")  # the source needs a folder
+    first = arriving(streams.read_table_stream(spark, sf_dir, "documents"), "Document", F.col("text"))
+    stream = first.unionByName(spark.readStream.schema(again.schema).parquet(f"{path}/again"))
+    for second in (False, True):
+        if second:
+            again.write.mode("append").option("compression", "zstd").parquet(f"{path}/again")
+        streams.stream_ingest(stream, f"{path}/corpus", buckets=8).awaitTermination()
     corpus = streams.Corpus(spark, f"{path}/corpus", 8)
     corpus.compact()
     chunks = corpus.chunks().groupBy("doc_id").agg(F.count("*").alias("n_chunks"))

@@ -3,7 +3,8 @@
 A store is a folder of tables. Rows lie in ``<table>/part=<commit>/bucket=<b>``; a commit writes its rows first and then its
 manifest, the list of the folders that are live from then on. Readers take the last manifest, so rows of a commit that did
 not get so far are never seen, and a commit that is repeated replaces its own folders. A read names the buckets it needs,
-and only those folders are opened. Compaction is a commit too: it writes what is live and lists nothing else.
+and only those folders are opened. Tables that are always read whole have one bucket: their rows are written where they
+are, without a shuffle. Compaction is a commit too: it writes what is live and lists nothing else.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from corpusmill.session import checkpointed
 from corpusmill.sources.corpus import table_if_there
 
 
+#: How texts that stay, or are read once only, are compressed: they take two thirds of what Spark's default gives.
+PACKED = "zstd"
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
@@ -48,13 +53,23 @@ class Store:
         live = F.broadcast(live.where(F.col("name") == name).select("part", "bucket"))
         return rows.join(live, ["part", "bucket"], "left_semi").drop("part", "bucket")
 
-    def commit(self, version: int, part: str, tables: dict[str, tuple[DataFrame, str]], keep: bool = True) -> None:
-        """Write ``tables`` (name to rows with ``batch``, and the column that buckets them) and then the manifest; with
-        ``keep`` what was live stays live."""
+    def written(self, name: str, part: str) -> DataFrame:
+        """What a commit wrote of a table with one bucket, before its manifest."""
+        return self.spark.read.parquet(f"{self.path}/{name}/part={part}/bucket=0")
+
+    def commit(self, version: int, part: str, tables: dict[str, tuple[DataFrame | Callable[[], DataFrame], str | None]], keep: bool = True) -> None:
+        """Write ``tables`` in their order (name to rows with ``batch``, or a function that gives them once the tables before
+        are written, and the column that buckets them, None for one bucket) and then the manifest; with ``keep`` what was
+        live stays live."""
         written = None
         for name, (rows, key) in tables.items():
-            rows = rows.withColumn("bucket", self.bucket(key)).withColumn("part", F.lit(part))
-            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "bucket").parquet(f"{self.path}/{name}")
+            rows = rows() if callable(rows) else rows
+            if key is None:
+                rows.write.mode("overwrite").option("compression", PACKED).parquet(f"{self.path}/{name}/part={part}/bucket=0")
+            else:
+                rows = rows.withColumn("bucket", self.bucket(key)).withColumn("part", F.lit(part)).repartition("bucket")
+                writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", PACKED)
+                writer.partitionBy("part", "bucket").parquet(f"{self.path}/{name}")
             found = table_if_there(self.spark, f"{self.path}/{name}")
             if found is not None:
                 found = found.where(F.col("part") == part).select(F.lit(name).alias("name"), "part", "bucket").distinct()
@@ -71,7 +86,7 @@ def batch_version(batch_id: int) -> int:
     return 2 * batch_id + 1
 
 
-def compact(store: Store, current: dict[str, tuple[Callable[[], DataFrame | None], str]]) -> None:
+def compact(store: Store, current: dict[str, tuple[Callable[[], DataFrame | None], str | None]]) -> None:
     """Rewrite each table as what ``current`` says is live of it, in one part."""
     rows = table_if_there(store.spark, f"{store.path}/manifest")
     last = None if rows is None else rows.agg(F.max("version")).first()[0]
