@@ -7,7 +7,8 @@ at home, and their cosine is taken in double precision.
 
 Equal vectors of one label are one class. A cell's classes are dealt into blocks of bounded size and compared block by
 block with matrix products; a block gives a number of links for each class and a forest that joins the linked ones, not
-the pairs. A pair that meets in several cells counts in the one with the smallest key alone.
+the pairs. A pair that meets in several cells counts in the one with the smallest key alone; only classes with a link are
+asked for their other cells.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
 nothing; vectors of different lengths link with nothing; each repeated row counts as a vector; an empty table gives an
@@ -29,6 +30,8 @@ from corpusmill.llm.components import components
 
 TABLES, PROBES, SCALE = 14, 4, 1.0
 BLOCK = 512
+#: Classes whose cells a task remembers (some 15 MB).
+KNOWN = 20_000
 
 
 def decode_d8(y: np.ndarray) -> np.ndarray:
@@ -88,7 +91,7 @@ def hasher(tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, see
             point = decode_e8(y)
             home[:, t] = key(point, t, label)
             if probes:
-                close = np.argsort(-((y - point) @ steps.T), axis=1, kind="stable")[:, :probes]
+                close = np.argpartition(-((y - point) @ steps.T), probes - 1, axis=1)[:, :probes]  # in any order
                 for p in range(probes):
                     probe[:, t, p] = key(point + steps[close[:, p]], t, label)
         return home, probe.reshape(n, -1)
@@ -131,6 +134,8 @@ def _stacked(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     ends = column.offsets.to_numpy()
     flat = column.values.to_numpy()
     sizes = np.diff(ends)
+    if len(sizes) and (sizes == sizes[0]).all():
+        return [(np.arange(len(sizes)), flat[ends[0] : ends[-1]].reshape(len(sizes), -1))]
     return [(rows := np.flatnonzero(sizes == d), np.stack([flat[ends[r] : ends[r + 1]] for r in rows])) for d in np.unique(sizes)]
 
 
@@ -158,13 +163,42 @@ def cells(classes: DataFrame, make_hasher) -> DataFrame:
     return arrow_map(classes.select("cls", "tag", "unit"), make, "key long, cls binary, home boolean")
 
 
+def met_before(hp: np.ndarray, pp: np.ndarray, hq: np.ndarray, pq: np.ndarray, key: int) -> np.ndarray:
+    """Which rows of two sets (homes and probes) also meet in a cell with a smaller key: at home both, or one at home and one
+    probing. Cells that one row alone has tell nothing; the others are columns of two tables of zeros and ones."""
+    t = hp.shape[1]
+    cells = np.concatenate((np.hstack((hp, pp)), np.hstack((hq, pq))))
+    row, column = np.nonzero(cells < key)
+    _, at, n = np.unique(cells[row, column], return_inverse=True, return_counts=True)
+    keep = n > 1
+    number = np.cumsum(keep) - 1
+    row, column, at = (x[keep[at]] for x in (row, column, at))
+    every = np.zeros((len(cells), int(keep.sum())), dtype=np.float32)
+    every[row, number[at]] = 1
+    home = np.zeros_like(every)
+    home[row[column < t], number[at[column < t]]] = 1
+    p, q = slice(0, len(hp)), slice(len(hp), None)
+    return (home[p] @ every[q].T + every[p] @ home[q].T) > 0
+
+
 def linked_blocks(blocks: DataFrame, make_hasher, at_least: float) -> DataFrame:
     """Of ``blocks`` (key, i, j, side, home, cls, tag, m, unit; each (key, i, j) together in a partition): per class
     ``links`` (partners, copies counted) and ``joined``, the first class of those it is linked with in the block."""
     names = ["key", "i", "j", "side", "home", "cls", "tag", "m", "unit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = make_hasher(), None
+        keys, held, known = make_hasher(), None, {}
+
+        def meeting(rows: np.ndarray, cls: list, tags: np.ndarray, units: dict, dims: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Homes and probes of ``rows``. A class comes back in other cells: what was found for it stays while there is room."""
+            if len(known) > KNOWN:
+                known.clear()
+            new = [r for name, r in {cls[r]: r for r in rows}.items() if name not in known]
+            for d in {dims[r] for r in new}:
+                some = [r for r in new if dims[r] == d]
+                for r, *found in zip(some, *keys(units[d][place[some]], tags[some])):
+                    known[cls[r]] = tuple(found)
+            return tuple(np.stack(x) for x in zip(*(known[cls[r]] for r in rows)))
 
         def solved(table: pa.Table) -> pa.RecordBatch | None:
             table = table.combine_chunks()
@@ -172,55 +206,58 @@ def linked_blocks(blocks: DataFrame, make_hasher, at_least: float) -> DataFrame:
             home = table.column("home").to_numpy()
             cls = table.column("cls").to_pylist()
             tags = table.column("tag").to_numpy().view(np.uint64)
-            homes, probes, units = [None] * len(cls), [None] * len(cls), [None] * len(cls)
+            units, dims, place = {}, np.zeros(len(cls), dtype=np.int64), np.zeros(len(cls), dtype=np.int64)
             for rows, unit in _stacked(table.column("unit").chunk(0)):
-                h, p = keys(unit, tags[rows])
-                for r, a, b, u in zip(rows, h, p, unit):
-                    homes[r], probes[r], units[r] = a, b, u
-            out_cls, out_links, out_joined = [], [], []
+                units[d := unit.shape[1]] = unit
+                dims[rows], place[rows] = d, np.arange(len(rows))
             border = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            for a, b in zip([0, *border], [*border, len(cls)]):
-                group = np.arange(a, b)
-                left, right = group[side[a:b] == 0], group[side[a:b] == 1] if i[a] != j[a] else group[side[a:b] == 0]
-                if not len(left) or not len(right) or len({len(units[r]) for r in group}) > 1:
+            starts, ends = np.array([0, *border]), np.array([*border, len(cls)])
+            # Most cells hold two classes: their cosines are taken at once, and those that are far apart are done with.
+            two = starts[(ends - starts == 2) & (i[starts] == j[starts])]
+            far = np.zeros(len(cls), dtype=bool)
+            for d, unit in units.items():
+                at = two[(dims[two] == d) & (dims[two + 1] == d)]
+                far[at] = np.einsum("nd,nd->n", unit[place[at]], unit[place[at + 1]]) < at_least - 1e-9
+            linked = []  # start, end, and the linked rows
+            for a, b in zip(starts, ends):
+                if far[a] or (dims[a:b] != dims[a]).any():
                     continue
-                x, y = np.stack([units[r] for r in left]), np.stack([units[r] for r in right])
-                link = (x @ y.T >= at_least) & (home[left][:, None] | home[right][None, :])
-                if i[a] == j[a]:
-                    np.fill_diagonal(link, False)
-                r, c = np.nonzero(link)
-                if not len(r):
+                x = units[dims[a]][place[a:b]]
+                own = i[a] == j[a]
+                left = np.flatnonzero(side[a:b] == 0)
+                right = left if own else np.flatnonzero(side[a:b] == 1)
+                if not len(left) or not len(right):
                     continue
-                counts = np.zeros(len(cls), dtype=np.int64)
-                first = np.arange(len(cls))
-                for at in range(0, len(r), 65536):
-                    p, q = left[r[at : at + 65536]], right[c[at : at + 65536]]
-                    hp, hq = np.stack([homes[k] for k in p]), np.stack([homes[k] for k in q])
-                    pp, pq = np.stack([probes[k] for k in p]), np.stack([probes[k] for k in q])
-                    # The smallest key of the cells in which the two meet: at home both, or one at home and one probing.
-                    t = hp.shape[1]
-                    pp, pq = pp.reshape(len(p), t, -1), pq.reshape(len(q), t, -1)
-                    none = np.iinfo(np.int64).max
-                    meet = np.minimum(
-                        np.where((hp == hq) | (hp[:, :, None] == pq).any(axis=2), hp, none).min(axis=1),
-                        np.where((hq[:, :, None] == pp).any(axis=2), hq, none).min(axis=1),
-                    )
-                    ok = meet == key[a]
-                    np.add.at(counts, p[ok], m[q[ok]])
-                    if i[a] != j[a]:
-                        np.add.at(counts, q[ok], m[p[ok]])
-                ends = (left[r], right[c])
+                link = (x[left] @ x[right].T >= at_least) & (home[a:b][left][:, None] | home[a:b][right][None, :])
+                if own:
+                    np.fill_diagonal(link, False)
+                if link.any():
+                    left, right, link = left[link.any(axis=1)], right[link.any(axis=0)], link[link.any(axis=1)][:, link.any(axis=0)]
+                    linked.append((a, b, left, right, link))
+            if not linked:
+                return None
+            # Where two classes meet is asked for linked ones only.
+            some = np.unique(np.concatenate([a + x for a, _, left, right, _ in linked for x in (left, right)]))
+            homes, probes = meeting(some, cls, tags, units, dims, place)
+            rank = np.zeros(len(cls), dtype=np.int64)
+            rank[some] = np.arange(len(some))
+            out_cls, out_links, out_joined = [], [], []
+            for a, b, left, right, link in linked:
+                p, q = rank[a + left], rank[a + right]
+                counted = link & ~met_before(homes[p], probes[p], homes[q], probes[q], key[a])
+                counts, first = np.zeros(b - a, dtype=np.int64), np.arange(b - a)
+                counts[left] += counted @ m[a + right]
+                if i[a] != j[a]:
+                    counts[right] += counted.T @ m[a + left]
                 while True:  # each class takes the first row that it is joined with
                     before = first.copy()
-                    np.minimum.at(first, ends[0], first[ends[1]])
-                    np.minimum.at(first, ends[1], first[ends[0]])
+                    first[left] = np.minimum(first[left], np.where(link, first[right], b).min(axis=1))
+                    first[right] = np.minimum(first[right], np.where(link, first[left][:, None], b).min(axis=0))
                     first = first[first]
                     if (first == before).all():
                         break
-                for k in np.unique(np.concatenate(ends)):
-                    out_cls.append(cls[k]), out_links.append(counts[k]), out_joined.append(cls[first[k]])
-            if not out_cls:
-                return None
+                for k in np.union1d(left, right):
+                    out_cls.append(cls[a + k]), out_links.append(counts[k]), out_joined.append(cls[a + first[k]])
             return pa.RecordBatch.from_arrays([pa.array(out_cls, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_joined, pa.binary())], ["cls", "links", "joined"])
 
         for batch in batches:
