@@ -7,7 +7,7 @@ windows, overlaps and contexts are then built from neighbouring pieces, so long
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,25 +109,35 @@ def chunk_sandwich(
 _LADDER = [re.compile(p) for p in (r"\n[ \t]*\n\s*", r"\n+", r"(?<=[.!?])[ \t]+", r"[ \t\r]+")]
 
 
+#: White space to ``str.split`` that does not end a word elsewhere (``text.words``).
+_WITHIN_WORDS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^ \t\n\r]+")
+
+
 def _n_words(text: str) -> int:
     return len(text.split())
 
 
+def _n_words_by_pattern(text: str) -> int:
+    return len(_WORD.findall(text))
+
+
 def _split_keep(text: str, sep: re.Pattern) -> list[str]:
     cuts = [0, *[m.end() for m in sep.finditer(text)], len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def recursive_pieces(text: str, cap: int, level: int = 0) -> list[str]:
+def recursive_pieces(text: str, cap: int, level: int = 0, n_words: Callable[[str], int] | None = None) -> list[str]:
     """Pieces of at most ``cap`` words that join back to ``text``; neighbours are merged while they fit."""
-    if _n_words(text) <= cap or level == len(_LADDER):
+    n_words = n_words or (_n_words_by_pattern if _WITHIN_WORDS.search(text) else _n_words)
+    if n_words(text) <= cap or level == len(_LADDER):
         return [text] if text else []
     out: list[str] = []
     room = 0
     for part in _split_keep(text, _LADDER[level]):
-        n = _n_words(part)
+        n = n_words(part)
         if n > cap:
-            out.extend(recursive_pieces(part, cap, level + 1))
+            out.extend(recursive_pieces(part, cap, level + 1, n_words))
             room = 0
         elif out and n <= room:
             out[-1] += part

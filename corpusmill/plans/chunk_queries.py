@@ -59,12 +59,17 @@ def recursive_chunks(documents: DataFrame) -> DataFrame:
 
 @query("C3", "SELECT doc_id, text, TRUE AS within_cap FROM {v_paragraphs}")
 def recursive_chunks_rejoined(v_paragraphs: DataFrame) -> DataFrame:
-    """The law of the ladder: pieces join back to the text and none is above the cap."""
-    pieces = chunking.chunk_recursive(v_paragraphs, 64)
-    return pieces.groupBy("doc_id").agg(
+    """The law of the ladder: pieces join back to the text and none is above the cap. Rows count one by one, as an id may come
+    twice; a text without characters, or none at all, has no pieces to join."""
+    has = F.length("text") > 0
+    rows = v_paragraphs.where(has).select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("of"), "text")
+    pieces = chunking.chunk_recursive(rows, 64, key="of")
+    joined = pieces.groupBy("of").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "content"))), lambda s: s["content"]), "").alias("text"),
         F.bool_and(F.size(T.words("content")) <= 64).alias("within_cap"),
     )
+    empty = v_paragraphs.where(~F.coalesce(has, F.lit(False))).select("doc_id", "text", F.lit(True).alias("within_cap"))
+    return joined.select("of.doc_id", "text", "within_cap").unionByName(empty)
 
 
 @query("C4")
