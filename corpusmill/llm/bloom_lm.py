@@ -4,8 +4,9 @@ Words and pairs of neighbouring words are counted over all training texts. A cou
 n-gram of level q is put into the filter q times, once with each number from 1 to q; reading a count means to ask for
 level after level until one is missing. The filter is made of one part for each bucket of hashes, eight bits for an
 entry, and holds every word and pair, so it grows with the texts. Up to ``max_bytes`` it goes to every worker; a larger
-one stays a table, and the distinct keys of each slice of texts (about 2 MB) go to the parts of their buckets and come
-back as levels. Both ways ask the same bits, so the scores do not depend on the bound.
+one stays a table, and the distinct keys of each slice of texts (about 2 MB) go to the parts of their buckets. A part
+reads what many slices ask at once, each key one time. Levels alone come back, in the order of the keys; the slice kept
+the places that its tokens have in it. Both ways ask the same bits, so the scores do not depend on the bound.
 
 A word's probability is that of the pair with absolute discounting, interpolated with add-one word probabilities. The
 weight of the latter follows from the number of different successors, taken as a power of the context's count; the power
@@ -261,13 +262,14 @@ def levels_in(bits: np.ndarray, keys: np.ndarray, begin: np.ndarray, width: np.n
     return level
 
 
-def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray, where_one: np.ndarray, counts=None) -> np.ndarray:
-    """log10 of each word's probability after the word before it; ``one[where_one]`` are the words. ``counts`` gives the
-    filter's counts of keys; by default they are read from the model's bits."""
-    _, pairs = pair_keys(words, sizes)
-    two, where_two = np.unique(pairs, return_inverse=True)
-    counts = counts or (lambda keys: counts_in_filter(model, keys))
-    cw, c2 = counts(one)[where_one], counts(two)[where_two]
+def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray, where_one: np.ndarray) -> np.ndarray:
+    """log10 of each word's probability after the word before it; ``one[where_one]`` are the words."""
+    two, where_two = np.unique(pair_keys(words, sizes)[1], return_inverse=True)
+    return logs_of_counts(model, counts_in_filter(model, one)[where_one], counts_in_filter(model, two)[where_two], sizes)
+
+
+def logs_of_counts(model: Model, cw: np.ndarray, c2: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of each word's probability by the filter's counts of the words and of the pairs that they end."""
     cv = np.empty_like(cw)
     cv[1:] = cw[:-1]
     cv[np.cumsum(sizes) - sizes] = model.n_texts
@@ -278,16 +280,38 @@ def log_probabilities(model: Model, words: np.ndarray, sizes: np.ndarray, one: n
     return np.log10(np.where(cv > 0, np.minimum(p2, 1.0), p1))
 
 
-def asked_keys(model: Model, words: np.ndarray, sizes: np.ndarray, one: np.ndarray) -> list[dict]:
-    """The distinct words and pairs of a slice of texts, dealt by bucket: ``bucket``, ``keys`` (ascending, packed)."""
-    keys = np.union1d(one, pair_keys(words, sizes)[1])
+def asked_keys(model: Model, words: np.ndarray, sizes: np.ndarray) -> tuple[list[dict], np.ndarray]:
+    """The distinct words and pairs of a slice of texts, dealt by bucket: ``bucket``, ``keys`` (ascending, packed); and the
+    place that each word, then each pair, has among them."""
+    keys, places = np.unique(np.concatenate([words, pair_keys(words, sizes)[1]]), return_inverse=True)
     full, starts = np.unique(buckets_of(model, keys), return_index=True)
-    return [{"bucket": b, "keys": some.tobytes()} for b, some in zip(full.tolist(), np.split(keys, starts[1:]))]
+    return [{"bucket": b, "keys": some.tobytes()} for b, some in zip(full.tolist(), np.split(keys, starts[1:]))], places
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Compressed 32-bit numbers, their lowest bytes first, then the next, as the high ones hardly differ."""
+    return pa.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    some = pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(some, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+#: Keys that are looked up at once, and tokens of the training texts for each task that looks up.
+ASKED, TASK_TOKENS = 1_000_000, 2_000_000
 
 
-def looked_up(asks: DataFrame, parts: DataFrame) -> DataFrame:
-    """``chunk``, ``bucket``, ``keys`` and ``levels`` (packed) of ``asks`` (chunk, bucket, keys). A task reads its buckets
-    one after another: first the part, then what is asked of it, so it holds one part whatever the number of slices."""
+def levels_of_asks(asks: list[np.ndarray], bits: np.ndarray, width: int) -> list[np.ndarray]:
+    """The levels of the keys of each ask in one part; what several ask is looked up once."""
+    keys, places = np.unique(np.concatenate(asks), return_inverse=True)
+    level = levels_in(bits, keys, np.zeros(len(keys), np.int64), np.full(len(keys), width)).astype(np.uint8)
+    return np.split(level[places], np.cumsum([len(a) for a in asks])[:-1])
+
+
+def looked_up(asks: DataFrame, parts: DataFrame, tasks: int) -> DataFrame:
+    """``chunk``, ``bucket`` and ``levels`` (packed) of ``asks`` (chunk, bucket, keys). A task reads its buckets one after
+    another: first the part, then what is asked of it, so it holds one part whatever the number of slices."""
     no = lambda kind: F.lit(None).cast(kind)
     rows = parts.select("bucket", no("long").alias("chunk"), "width", "bits", no("binary").alias("keys"))
     rows = rows.unionByName(asks.select("bucket", "chunk", no("long").alias("width"), no("binary").alias("bits"), "keys"))
@@ -297,54 +321,71 @@ def looked_up(asks: DataFrame, parts: DataFrame) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal have, width, bits
-            out = []
+            out: list[tuple] = []
+            held: list[tuple] = []
+            size = 0
+
+            def answer():
+                nonlocal held, size
+                if held:
+                    asked = [k for _, k in held]
+                    # A bucket without a part holds no n-gram.
+                    levels = levels_of_asks(asked, bits, width) if have == now else [np.zeros(len(k), np.uint8) for k in asked]
+                    out.extend((chunk, now, x.tobytes()) for (chunk, _), x in zip(held, levels))
+                held, size = [], 0
+
+            now = -1
             for bucket, chunk, w, part, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now or size >= ASKED:
+                    answer()
+                    now = bucket
                 if part is not None:
                     have, width, bits = bucket, w, np.frombuffer(part, dtype=np.uint8)
                     continue
-                k = np.frombuffer(keys, dtype=np.uint64)
-                # A bucket without a part holds no n-gram.
-                level = levels_in(bits, k, np.zeros(len(k), np.int64), np.full(len(k), width)) if have == bucket else np.zeros(len(k), np.int64)
-                out.append((chunk, bucket, keys, level.astype(np.uint8).tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 4, kinds)], ["chunk", "bucket", "keys", "levels"])
+                held.append((chunk, np.frombuffer(keys, dtype=np.uint64)))
+                size += len(held[-1][1])
+            answer()
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 3, kinds)], ["chunk", "bucket", "levels"])
 
         return each
 
     # Nulls come first: the part before the asks.
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "width", "bits", "keys")
-    return arrow_map(rows, make, "chunk long, bucket int, keys binary, levels binary", 2000)
+    rows = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "chunk").select("bucket", "chunk", "width", "bits", "keys")
+    return arrow_map(rows, make, "chunk long, bucket int, levels binary", 2000)
 
 
-def scores_by_table(first: DataFrame, parts: DataFrame, sent) -> DataFrame:
-    """``_row`` and ``by_table`` (the score) of the rows of ``first`` (row, chunk, words, asks), by the filter as a table."""
-    levels = looked_up(first.select("chunk", F.explode("asks").alias("a")).select("chunk", "a.*"), parts)
+def scores_by_table(first: DataFrame, parts: DataFrame, sent, tasks: int) -> DataFrame:
+    """``_row`` and ``by_table`` (the score) of the rows of ``first`` (row, slice, asks), by the filter as a table."""
+    levels = looked_up(first.select(F.col("row").alias("chunk"), F.explode("asks").alias("a")).select("chunk", "a.*"), parts, tasks)
     no = lambda kind: F.lit(None).cast(kind)
-    both = first.select("chunk", "row", "words", no("int").alias("bucket"), no("binary").alias("keys"), no("binary").alias("levels"))
-    both = both.unionByName(levels.select("chunk", no("long").alias("row"), no("binary").alias("words"), "bucket", "keys", "levels"))
-    both = both.repartition("chunk").sortWithinPartitions("chunk", "row", "bucket").select("chunk", "row", "words", "keys", "levels")
+    both = first.where("slice is not null").select(F.col("row").alias("chunk"), no("int").alias("bucket"), "slice.*", no("binary").alias("levels"))
+    both = both.unionByName(levels.select("chunk", "bucket", *[no("binary").alias(c) for c in ("rows", "sizes", "places")], "levels"))
+    # Nulls come first: the slice, then its levels, bucket after bucket, so in the order of all its keys.
+    both = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").select("rows", "sizes", "places", "levels")
 
     def run(batches):
         m = Model(*sent.value)
-        now, keys, levels = None, [], []
+        held, levels = None, []
+
+        def scores() -> pa.RecordBatch:
+            rows, sizes = (np.frombuffer(x, dtype=np.int64) for x in held[:2])
+            n = int(sizes.sum())
+            counts = MEANS[np.frombuffer(b"".join(levels), dtype=np.uint8)][unpacked(held[2], 2 * n)]
+            logs = logs_of_counts(m, counts[:n], counts[n:], sizes)
+            score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes))
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score)], ["_row", "by_table"])
 
         for batch in batches:
-            out = []
-            for chunk, row, words, k, q in zip(*(c.to_pylist() for c in batch.columns)):
-                if chunk != now:
-                    now, keys, levels = chunk, [], []
-                if row is None:  # the slice's levels, bucket after bucket, so all keys ascend
-                    keys.append(k)
-                    levels.append(q)
+            for *slice_, level in zip(*(c.to_pylist() for c in batch.columns)):
+                if level is not None:
+                    levels.append(level)
                     continue
-                if isinstance(keys, list):
-                    keys, levels = np.frombuffer(b"".join(keys), dtype=np.uint64), np.frombuffer(b"".join(levels), dtype=np.uint8)
-                own = np.frombuffer(words, dtype=np.uint64)
-                one, where_one = np.unique(own, return_inverse=True)
-                logs = log_probabilities(m, own, np.array([len(own)]), one, where_one, lambda x: MEANS[levels[np.searchsorted(keys, x)]])
-                out.append((row, float(logs.sum())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.float64()))], ["_row", "by_table"])
+                if held:
+                    yield scores()
+                held, levels = slice_, []
+        if held:
+            yield scores()
 
     return both.mapInArrow(run, "_row long, by_table double")
 
@@ -368,7 +409,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
             at = 0
             for slice_ in in_slices(texts):
                 some = hashed(slice_)
-                own, chunk, at = held[at : at + len(some)], rows_[at], at + len(some)
+                own, at = held[at : at + len(some)], at + len(some)
                 sizes = np.array([len(s) for s in some])
                 words, owner = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
                 one, where_one = np.unique(words, return_inverse=True)
@@ -387,12 +428,14 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
                 asked = np.split(words[ask].view(np.int64), np.cumsum(np.bincount(owner[ask], minlength=len(some)))[:-1])
                 more = []
                 if by_table:
-                    asks = [asked_keys(m, words, sizes, one)] + [None] * (len(some) - 1)
-                    more = [[chunk] * len(some), [s.tobytes() for s in some], asks]
+                    asks, places = asked_keys(m, words, sizes)
+                    own_rows = np.array(rows_[at - len(some) : at], dtype=np.int64)
+                    whole = {"rows": own_rows.tobytes(), "sizes": sizes.astype(np.int64).tobytes(), "places": packed(places)}
+                    more = [[x] + [None] * (len(some) - 1) for x in (whole, asks)]
                 out += zip(sizes.tolist(), known.tolist(), base.tolist(), score.tolist(), asked, *more)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
             if by_table:
-                kinds += (pa.int64(), pa.binary(), pa.list_(pa.struct([("bucket", pa.int32()), ("keys", pa.binary())])))
+                kinds += (pa.struct([(x, pa.binary()) for x in ("rows", "sizes", "places")]), pa.list_(pa.struct([("bucket", pa.int32()), ("keys", pa.binary())])))
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(x, k) for x, k in zip(zip(*out), kinds))], names)
 
         return each
@@ -401,8 +444,8 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "ask"]
     more = ""
     if by_table:
-        names += ["chunk", "words", "asks"]
-        more = ", chunk long, words binary, asks array<struct<bucket: int, keys: binary>>"
+        names += ["slice", "asks"]
+        more = ", slice struct<rows: binary, sizes: binary, places: binary>, asks array<struct<bucket: int, keys: binary>>"
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     first = stored(arrow_map(numbered, make, f"{fields}, n_tokens long, known long, base double, score double, ask array<long>{more}"), "lm-scores")
@@ -411,7 +454,8 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     asked = asked.groupBy(F.col("row").alias("_row")).agg(F.sum(F.log10(F.col("c") + 1) - total).alias("more_base"), F.sum((F.col("c") > 0).cast("bigint")).alias("more_known"))
     out = first.drop("ask").join(asked, F.col("row") == F.col("_row"), "left").drop("_row")
     if by_table:
-        out = out.join(scores_by_table(first.select("row", "chunk", "words", "asks"), parts, sent), F.col("row") == F.col("_row"))
+        tasks = min(len(model.begins), max(docs.sparkSession.sparkContext.defaultParallelism, model.tokens // TASK_TOKENS))
+        out = out.join(scores_by_table(first.select("row", "slice", "asks"), parts, sent, tasks), F.col("row") == F.col("_row"))
         out = out.withColumn("score", F.col("by_table"))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
